@@ -150,8 +150,8 @@ def latest_per_source(v: Views) -> DataFrame:
     with_views("latest") + f""", grid(candidate, metric, w) AS (VALUES
       ('equal','sentiment',CAST(1 AS DOUBLE)),('equal','approval',1),('equal','trust',1),('equal','satisfaction',1),('equal','issue_perception',1),
       ('trust_only','trust',1),('none','trust',0)),
-    r AS (SELECT project_id, candidate, l.value AS score, coalesce(g.w, CAST(0 AS DOUBLE)) AS w
-          FROM latest l, (SELECT DISTINCT candidate FROM grid) c LEFT JOIN grid g USING (candidate, metric))
+    r AS (SELECT project_id, c.candidate, l.value AS score, coalesce(g.w, CAST(0 AS DOUBLE)) AS w
+          FROM latest l CROSS JOIN (SELECT DISTINCT candidate FROM grid) c LEFT JOIN grid g ON g.candidate = c.candidate AND g.metric = l.metric)
     SELECT project_id, candidate, {he('sum(score*w)/CASE WHEN sum(w) = 0 THEN CAST(1 AS DOUBLE) ELSE sum(w) END', 2)} AS value FROM r GROUP BY 1, 2""",
 )
 def weight_preview_grid(v: Views) -> DataFrame:

@@ -71,9 +71,9 @@ def constraint_violations(v: Views) -> DataFrame:
 
 @query(
     "table_rule_counts",
-    with_views("mentions") + """, d AS (SELECT event_id, list_filter([CASE WHEN narrative IS NULL THEN 'TEXT_MISSING' END, CASE WHEN source NOT IN ('SURVEY', 'SOCIAL', 'MEDIA', 'DIGITAL') THEN 'SOURCE_UNKNOWN' END,
-        CASE WHEN sentiment < -1 OR sentiment > 1 THEN 'SENTIMENT_RANGE' END], x -> x IS NOT NULL) AS vs FROM mentions)
-    SELECT violation, count(*) AS n FROM (SELECT unnest(vs) AS violation FROM d) x GROUP BY 1""",
+    with_views("mentions") + """, d AS (SELECT 'TEXT_MISSING' AS violation FROM mentions WHERE narrative IS NULL UNION ALL SELECT 'SOURCE_UNKNOWN' FROM mentions WHERE source NOT IN ('SURVEY', 'SOCIAL', 'MEDIA', 'DIGITAL')
+        UNION ALL SELECT 'SENTIMENT_RANGE' FROM mentions WHERE sentiment < -1 OR sentiment > 1)
+    SELECT violation, count(*) AS n FROM d GROUP BY 1""",
 )
 def table_rule_counts(v: Views) -> DataFrame:
     rows = v.mentions().withColumnRenamed("narrative", "text")

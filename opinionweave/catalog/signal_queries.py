@@ -103,7 +103,7 @@ def influence_share(v: Views) -> DataFrame:
     "diff_in_diff",
     with_views("ev") + """, c AS (SELECT project_id, avg(CASE WHEN user_id % 2 = 1 AND ts >= TIMESTAMP '2024-01-16' THEN value END) AS tp, avg(CASE WHEN user_id % 2 = 1 AND ts < TIMESTAMP '2024-01-16' THEN value END) AS tb,
         avg(CASE WHEN user_id % 2 = 0 AND ts >= TIMESTAMP '2024-01-16' THEN value END) AS cp, avg(CASE WHEN user_id % 2 = 0 AND ts < TIMESTAMP '2024-01-16' THEN value END) AS cb,
-        count_if(user_id % 2 = 1) AS n_treated, count_if(user_id % 2 = 0) AS n_control FROM ev GROUP BY 1)
+        CAST(count_if(user_id % 2 = 1) AS BIGINT) AS n_treated, CAST(count_if(user_id % 2 = 0) AS BIGINT) AS n_control FROM ev GROUP BY 1)
     SELECT project_id, round(tp, 6) AS treated_post, round(tb, 6) AS treated_pre, round(cp, 6) AS control_post, round(cb, 6) AS control_pre, n_treated, n_control,
       round((tp - tb) - (cp - cb), 6) AS effect FROM c""",
 )
@@ -159,7 +159,7 @@ def exact_dedup(v: Views) -> DataFrame:
 
 @query("near_dedup_minhash")
 def near_dedup_minhash(v: Views) -> DataFrame:
-    return text.near_duplicates(v.raw("documents"))
+    return text.near_duplicates(v.raw("documents"), spread=v.spark.sparkContext.defaultParallelism)
 
 
 # --- vectors and topics -----------------------------------------------------

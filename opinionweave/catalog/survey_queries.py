@@ -73,11 +73,12 @@ def margin_by_province(v: Views) -> DataFrame:
     return sampling.margin_of_error(counts).select("survey_id", "province_code", "n", F.round("margin", 6).alias("margin"))
 
 
-_BALANCE = with_views("respondents", "census") + """,
+_BALANCE_STEPS = """,
     tot AS (SELECT project_id, survey_id, count(*) AS t FROM respondents GROUP BY 1, 2),
     got AS (SELECT project_id, survey_id, age_band, count(*) AS c FROM respondents GROUP BY 1, 2, 3),
     b AS (SELECT tot.project_id, tot.survey_id, census.age_band, coalesce(c, 0) AS achieved, coalesce(c, 0)/CAST(t AS DOUBLE) AS got, census_share, t
           FROM tot JOIN census USING (project_id) LEFT JOIN got ON got.survey_id = tot.survey_id AND got.project_id = tot.project_id AND got.age_band = census.age_band)"""
+_BALANCE = with_views("respondents", "census") + _BALANCE_STEPS
 
 
 @query(
@@ -234,7 +235,7 @@ def running_median(v: Views) -> DataFrame:
 
 @query(
     "straight_lining",
-    with_views("respondents", "responses") + """ SELECT survey_id, count(*) AS respondents, count_if(flat) AS straight_liners FROM respondents JOIN
+    with_views("respondents", "responses") + """ SELECT survey_id, count(*) AS respondents, CAST(count_if(flat) AS BIGINT) AS straight_liners FROM respondents JOIN
       (SELECT respondent_id, count(*) >= 6 AND min(value_num) = max(value_num) AS flat FROM responses GROUP BY 1) x USING (respondent_id) GROUP BY 1""",
 )
 def straight_lining(v: Views) -> DataFrame:
@@ -285,7 +286,7 @@ def response_quality_running(v: Views) -> DataFrame:
 
 @query(
     "short_durations",
-    with_views("respondents") + " SELECT survey_id, count_if(duration_sec < 100) AS flagged FROM respondents GROUP BY 1",
+    with_views("respondents") + " SELECT survey_id, CAST(count_if(duration_sec < 100) AS BIGINT) AS flagged FROM respondents GROUP BY 1",
 )
 def short_durations(v: Views) -> DataFrame:
     return responses.flag_short_durations(v.respondents(), 100).groupBy("survey_id").agg(
@@ -326,8 +327,9 @@ def out_of_quota(v: Views) -> DataFrame:
 @query(
     "dataset_quality",
     _quality_sql("SELECT survey_id, quantile_cont(duration_sec, 0.5) AS med FROM respondents GROUP BY 1").replace("MDKEY", "survey_id")
+    .replace("WITH respondents AS", with_views("census") + ",\nrespondents AS", 1)
     .replace("SELECT survey_id, respondent_id, med AS", ", q AS (SELECT survey_id, respondent_id, med AS", 1)
-    + ")" + _VECTOR_SQL + ", " + _BALANCE.split(",\n", 1)[1].replace("    tot AS", "cz AS (SELECT 1 AS one), tot AS", 1)
+    + ")" + _VECTOR_SQL + _BALANCE_STEPS
     + f""", dv AS (SELECT survey_id, {he('max(abs((got - census_share)*100))', 2)} AS mx FROM b GROUP BY 1),
     c AS (SELECT r.survey_id, count(*) AS total, count_if(r.age_band IS NOT NULL AND a.k = 8) AS complete, count_if(vec.copies > 1) AS duplicates,
             count_if(q.quality_flags <> '') AS flagged, count_if(contains(q.quality_flags, 'INCONSISTENT')) AS inconsistent,

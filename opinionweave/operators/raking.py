@@ -261,9 +261,7 @@ def _diagnostics(
     empties, untargeted = [], []
     for c, (variable, shares) in zip(codes_of, targets.items()):
         names = F.array(*[F.lit(x) for x in shares])
-        present = F.transform(F.col(f"_seen{c}"), lambda i, names=names: F.get(names, i))
-        missing = F.array_sort(F.array_except(names, present))
-        empties.append(F.transform(missing, lambda m, v=variable: F.concat(F.lit(f"{v}="), m)))
+        empties.append(_missing_categories(variable, names, F.col(f"_seen{c}")))
         untargeted.append(
             F.collect_set(
                 F.when(
@@ -290,6 +288,12 @@ def _diagnostics(
     )
 
 
+def _missing_categories(variable: str, names: Column, seen: Column) -> Column:
+    present = F.transform(seen, lambda i: F.get(names, i))
+    missing = F.array_sort(F.array_except(names, present))
+    return F.transform(missing, lambda m: F.concat(F.lit(f"{variable}="), m))
+
+
 def marginals(
     respondents: DataFrame, weights: DataFrame, variable: str, survey: str = "survey_id", row_id: str = "respondent_id"
 ) -> DataFrame:

@@ -53,8 +53,8 @@ def running_median(
         .join(ends, survey)
         .filter(F.col("_slice") < F.col("_last"))
         .select(
-            survey, value, F.col("_upto").alias("_c"),
-            F.explode(F.sequence(F.col("_slice") + 1, F.coalesce("_next", "_last"))).alias("_slice"),
+            F.col(survey).alias("_survey"), F.col(value).alias("_value"), F.col("_upto").alias("_c"),
+            F.explode(F.sequence(F.col("_slice") + 1, F.coalesce("_next", "_last"))).alias("_at"),
         )
     )
 
@@ -64,7 +64,7 @@ def running_median(
         rows = rows.sort_values(list(arrival), kind="stable")
         known = rows[value].notna().to_numpy()
         x = rows[value].to_numpy()[known].astype(float)
-        base_values = before[value].to_numpy(float)
+        base_values = before["_value"].to_numpy(float)
         universe = np.unique(np.concatenate([x, base_values]))
         if not len(universe):
             rows[name] = None
@@ -110,7 +110,7 @@ def running_median(
     fields = {f.name: f.dataType.simpleString() for f in sliced.schema.fields}
     schema = ", ".join(f"{c} {fields[c]}" for c in [survey, *arrival]) + f", {name} double"
     return (
-        sliced.groupBy(survey, "_slice").cogroup(history.groupBy(survey, "_slice")).applyInPandas(
+        sliced.groupBy(survey, "_slice").cogroup(history.groupBy("_survey", "_at")).applyInPandas(
             lambda rows, before: solve(rows, before), schema
         )
     )

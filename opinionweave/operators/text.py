@@ -25,12 +25,14 @@ def exact_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text"
 
 def shingles(text: Column, size: int = 3) -> Column:
     """Set of hashed runs of ``size`` words over the whole text."""
-    words = F.split(normalised(text), " ")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - size))
-    # out-of-range words are NULL, which the hash skips: short texts give one shingle
-    return F.array_distinct(
-        F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
-    )
+
+    def runs(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - size))
+        # out-of-range words are NULL, which the hash skips: short texts give one shingle
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
+
+    # binding the words to a lambda variable splits the text once, not once per shingle
+    return F.array_distinct(F.transform(F.array(F.split(normalised(text), " ")), runs)[0])
 
 
 def near_duplicates(
@@ -41,6 +43,7 @@ def near_duplicates(
     bands: int = 16,
     rows_per_band: int = 4,
     shingle_size: int = 3,
+    spread: int | None = None,
 ) -> DataFrame:
     """Keep-first near-duplicate removal: row_id, canonical_id, similarity.
 
@@ -52,6 +55,8 @@ def near_duplicates(
     that is first in all its buckets is kept, and the open members of its buckets
     are compared with it alone. So a round's pairs are linear in the bucket rows,
     whatever the bucket size, and no pair that decides a result is left out.
+    ``spread`` redistributes the texts over that many tasks first, for inputs
+    with fewer file splits than cores.
     """
     base = docs.select(F.col(row_id).alias("id"), F.sha2(normalised(F.col(text)), 256).alias("h"), F.col(text).alias("t"))
     firsts = base.groupBy("h").agg(F.min("id").alias("first_id"))
@@ -59,6 +64,8 @@ def near_duplicates(
 
     # a group of copies may be huge: only its first id is joined back to a text
     unique = base.join(firsts.select(F.col("first_id").alias("id")), "id", "left_semi")
+    if spread:
+        unique = unique.repartition(spread, "id")
     sets = cut_lineage(unique.select("id", shingles(F.col("t"), shingle_size).alias("s")))
     n_hash = bands * rows_per_band
     # exploded and combined in the same task: one row per text leaves it
