@@ -149,7 +149,7 @@ def audit_changes(
         o.join(n, list(keys), "full_outer")
         .filter(~F.col("_old").eqNullSafe(F.col("_new")))
         .select(
-            natural_id(F.lit(entity), *[F.col(k) for k in keys], at).alias("id"),
+            natural_id(F.lit(entity), *[F.col(k) for k in keys], at).alias("audit_id"),
             *keys,
             F.lit(entity).alias("entity"),
             F.concat(F.lit(f"{entity}:"), action).alias("action"),

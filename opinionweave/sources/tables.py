@@ -56,17 +56,17 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str, org: Any, fmt: str = "parquet") -> None:
         self.spark, self.root, self.org, self.fmt = spark, root.rstrip("/"), org, fmt
 
-    def load(self, name: str, **conditions: Any) -> DataFrame:
-        df = self.spark.read.schema(SCHEMAS[name]).format(self.fmt).load(f"{self.root}/{name}")
-        key = "id" if name == "organizations" else "org_id"
+    def load(self, table: str, /, **conditions: Any) -> DataFrame:
+        df = self.spark.read.schema(SCHEMAS[table]).format(self.fmt).load(f"{self.root}/{table}")
+        key = "id" if table == "organizations" else "org_id"
         return where_equal(scoped(df, self.org, key), **conditions)
 
-    def newest_first(self, name: str, **conditions: Any) -> DataFrame:
-        return self.load(name, **conditions).orderBy(F.col("created_at").desc(), F.col("id"))
+    def newest_first(self, table: str, /, **conditions: Any) -> DataFrame:
+        return self.load(table, **conditions).orderBy(F.col("created_at").desc(), F.col("id"))
 
-    def page(self, name: str, limit: int = 100, offset: int = 0, **conditions: Any) -> DataFrame:
+    def page(self, table: str, /, limit: int = 100, offset: int = 0, **conditions: Any) -> DataFrame:
         """One page of respondents, last completed first, missing times before all others."""
-        return page(self.load(name, **conditions), limit, offset)
+        return page(self.load(table, **conditions), limit, offset)
 
 
 def page(df: DataFrame, limit: int = 100, offset: int = 0, time: str = "completed_at", row_id: str = "id") -> DataFrame:
