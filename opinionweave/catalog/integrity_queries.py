@@ -241,7 +241,7 @@ def identity_split(v: Views) -> DataFrame:
     FROM orders JOIN responses ON respondent_id = o_orderkey GROUP BY 1""",
 )
 def ingest_documents(v: Views) -> DataFrame:
-    people, answers = split_documents(respondent_documents(v))
+    people, answers, _ = split_documents(respondent_documents(v))
     per_person = answers.groupBy("respondent_id").agg(F.count(F.lit(1)).alias("k"), F.sum("value_num").alias("s"))
     return people.join(per_person, "respondent_id").groupBy("survey_id").agg(
         F.count(F.lit(1)).alias("respondents"), F.sum("k").alias("answers"), F.round(F.sum("s") / F.sum("k"), 6).alias("mean_answer")

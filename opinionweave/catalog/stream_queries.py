@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import fresh_path
-from ..sources.views import QUESTION_COUNT, Views
+from ..sources.views import QUESTION_COUNT, TABLES, Views
 from ..streaming import mentions as ms
 from ..streaming.respondents import ingest_stream
 from .base_sql import he, joined, with_views
@@ -20,8 +20,7 @@ class StreamViews(Views):
         super().__init__(v.spark, v.root)
 
     def raw(self, name: str) -> DataFrame:
-        schema = self.spark.read.parquet(f"{self.root}/{name}.parquet").schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.root)
+        return self.spark.readStream.schema(TABLES[name]).option("pathGlobFilter", f"{name}.parquet").parquet(self.root)
 
 
 def run(v: Views, name: str, stream: DataFrame) -> DataFrame:

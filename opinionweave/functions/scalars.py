@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,19 +51,32 @@ def index_z(confidence: float) -> float:
 
 def contains_any(text: Column, terms: Iterable[str], whole_words: bool = False) -> Column:
     """Case-insensitive test for any of the terms (substring by default)."""
-    low = F.lower(text)
-    result = F.lit(False)
-    for term in terms:
-        if whole_words:
-            result = result | low.rlike(r"(^|[^\p{L}\p{N}])" + _quote(term) + r"($|[^\p{L}\p{N}])")
-        else:
-            result = result | low.contains(term.lower())
-    return result
+    terms = list(terms)
+
+    def test(low: Column) -> Column:
+        result = F.lit(False)
+        for term in terms:
+            if whole_words:
+                result = result | low.rlike(r"(^|[^\p{L}\p{N}])" + _quote(term) + r"($|[^\p{L}\p{N}])")
+            else:
+                result = result | low.contains(term.lower())
+        return result
+
+    return bind(F.lower(text), test)
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row.
+
+    Filters are pushed below projections by copying expressions; a value bound to
+    a lambda variable is not copied once per use.
+    """
+    return F.transform(F.array(value), use)[0]
 
 
 def matched_terms(text: Column, terms: Iterable[str]) -> Column:
-    low = F.lower(text)
-    return codes(*[(t, low.contains(t.lower())) for t in terms])
+    terms = list(terms)
+    return bind(F.lower(text), lambda low: codes(*[(t, low.contains(t.lower())) for t in terms]))
 
 
 def _quote(term: str) -> str:
@@ -106,8 +119,21 @@ def json_text(payload: Column, max_depth: int = C.MAX_PAYLOAD_DEPTH) -> Column:
     Strings nested in more than ``max_depth`` containers are dropped. A payload
     that is not a JSON container is taken as plain text.
     """
-    token = r'("(?:[^"\\]|\\.)*"\s*:?|[\[\]{}])'
-    tokens = F.regexp_extract_all(payload, F.lit(token), F.lit(1))
+    # escaped backslashes and quotes are masked by noncharacters, so that the token
+    # pattern needs no alternation and cannot recurse on long strings
+    slash, quote = "\ufdd0", "\ufdd1"
+    masked = F.replace(F.replace(payload, F.lit("\\\\"), F.lit(slash)), F.lit('\\"'), F.lit(quote))
+    tokens = F.regexp_extract_all(masked, F.lit(r'("[^"]*+"\s*+:?|[\[\]{}])'), F.lit(1))
+    literals = F.array_join(bind(tokens, lambda t: _json_values(t, max_depth)), ",")
+    plain = F.replace(F.replace(literals, F.lit(quote), F.lit('\\"')), F.lit(slash), F.lit("\\\\"))
+    # decode escapes by reading the kept literals as one JSON array
+    decoded = F.from_json(F.concat(F.lit("["), plain, F.lit("]")), "array<string>")
+    is_container = F.ltrim(payload).rlike(r"^[\[{]")
+    return F.when(is_container, F.array_join(decoded, " ")).otherwise(payload)
+
+
+def _json_values(tokens: Column, max_depth: int) -> Column:
+    """String literals among JSON tokens that are values within the depth."""
     opens = lambda t: t.isin("[", "{")
     closes = lambda t: t.isin("]", "}")
     is_value = lambda t: t.startswith('"') & ~t.endswith(":")
@@ -131,10 +157,4 @@ def json_text(payload: Column, max_depth: int = C.MAX_PAYLOAD_DEPTH) -> Column:
         ),
         lambda s: s["v"],
     )
-    kept = F.when(deepest <= max_depth, shallow).otherwise(cut)
-    # decode escapes by reading the kept literals as one JSON array
-    decoded = F.from_json(
-        F.concat(F.lit("["), F.array_join(kept, ","), F.lit("]")), "array<string>"
-    )
-    is_container = F.ltrim(payload).rlike(r"^[\[{]")
-    return F.when(is_container, F.array_join(decoded, " ")).otherwise(payload)
+    return F.when(deepest <= max_depth, shallow).otherwise(cut)

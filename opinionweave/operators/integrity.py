@@ -93,21 +93,13 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def keep_first(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], row_id: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """(first row per key, the others). ``row_id`` makes a row unique inside its key.
+    """(first row per key, the others). ``row_id`` is unique in the table and not NULL.
 
     Winners are pruned to one row per key before the shuffle; the others are found
-    by an anti join that includes the row id, so a hot key is spread.
+    by an anti join on the row id, so the rows of a hot key are spread.
     """
     winners = latest_per_key(df, keys, order)
-    # null-safe on the keys, so rows with a NULL key are neither lost nor doubled
-    mark = winners.select(
-        *[F.col(c).alias(f"_w_{c}") for c in [*keys, *row_id]]
-    )
-    cond = None
-    for c in [*keys, *row_id]:
-        part = F.col(c).eqNullSafe(F.col(f"_w_{c}"))
-        cond = part if cond is None else cond & part
-    return winners, df.join(mark, cond, "left_anti")
+    return winners, df.join(winners.select(*row_id), list(row_id), "left_anti").select(*df.columns)
 
 
 def orphans(child: DataFrame, column: str, parent: DataFrame, parent_key: str = "id") -> DataFrame:

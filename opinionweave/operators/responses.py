@@ -161,35 +161,35 @@ def response_quality(
         base = respondents.join(
             med.select(survey, F.col("median_duration_sec").alias("_med")), survey, "left"
         )
-    rows = base.join(stats, "respondent_id", "left").withColumn("scale_items", F.coalesce("scale_items", F.lit(0)))
-    median = F.coalesce("_med", F.lit(0.0))
-    duration = F.col("duration_sec")
-    if null_duration == "zero":
-        duration = F.coalesce(duration, F.lit(0))
-    speeding = F.coalesce((median > 0) & (duration < median * speeding_ratio), F.lit(False))
-    enough = F.col("scale_items") >= 6
-    flat = enough & (F.col("_lo") == F.col("_hi"))
-    low = enough & ~flat & (F.col("_sd") < 0.25)
+    rows = base.join(stats, "respondent_id", "left")
     at = {q: F.col(f"_q{i}") for i, q in enumerate(pair_items)}
     odd = F.lit(False)
     for a, b in trap_pairs:
         odd = odd | F.coalesce(F.abs(at[a] + at[b] - (scale_points + 1)) > 2, F.lit(False))
+    return rows.select(survey, "respondent_id", *quality_columns(odd, speeding_ratio, null_duration))
+
+
+def quality_columns(odd: Column, speeding_ratio: float = 0.35, null_duration: str = "zero") -> list[Column]:
+    """Score ladder over duration_sec, _med, scale_items, _lo, _hi and _sd of a respondent row."""
+    median = F.coalesce("_med", F.lit(0.0))
+    duration = F.coalesce("duration_sec", F.lit(0)) if null_duration == "zero" else F.col("duration_sec")
+    items = F.coalesce("scale_items", F.lit(0))
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    speeding = holds((median > 0) & (duration < median * speeding_ratio))
+    flat = holds((items >= 6) & (F.col("_lo") == F.col("_hi")))
+    low = holds((items >= 6) & (F.col("_lo") != F.col("_hi")) & (F.col("_sd") < 0.25))
     score = (
-        F.lit(100)
-        - F.when(speeding, 30).otherwise(0)
-        - F.when(F.coalesce(flat, F.lit(False)), 35).when(F.coalesce(low, F.lit(False)), 10).otherwise(0)
+        F.lit(100) - F.when(speeding, 30).otherwise(0) - F.when(flat, 35).when(low, 10).otherwise(0)
         - F.when(odd, 20).otherwise(0)
     )
     flags = [("SPEEDING", speeding), ("STRAIGHT_LINING", flat), ("INCONSISTENT", odd)]
-    return rows.select(
-        survey,
-        "respondent_id",
-        "scale_items",
+    return [
+        items.alias("scale_items"),
         median.alias("median_duration_sec"),
         F.greatest(F.lit(0), score).alias("quality_score"),
         codes(*flags).alias("quality_flags"),
         codes(flags[0], flags[1], ("LOW_VARIATION", low), flags[2]).alias("reasons"),
-    )
+    ]
 
 
 def flag_short_durations(respondents: DataFrame, threshold_sec: int) -> DataFrame:
@@ -289,17 +289,14 @@ def dataset_quality(counts: DataFrame) -> DataFrame:
     return out.withColumn("overall", half_even(overall / sum(C.DATASET_WEIGHTS.values()), 0).cast("int"))
 
 
-def ingest_batch(
-    docs: DataFrame,
-    stored_respondents: DataFrame | None = None,
-    questions: DataFrame | None = None,
-) -> dict[str, DataFrame]:
+def ingest_batch(docs: DataFrame, stored_respondents: DataFrame | None = None) -> dict[str, DataFrame]:
     """Nested documents -> accepted respondents (scored), responses and rejects.
 
     A repeated (survey, anon_code) keeps its first completed document and rejects
     the others whole; a repeated answer to one question keeps the first given.
     ``stored_respondents`` (already on file) also reject repeats and add their
-    durations to the survey median.
+    durations to the survey median. All answers of a respondent sit in one
+    document, so they are checked and summed up inside the row, without a shuffle.
     """
     numbered = cut_lineage(
         docs.withColumn("_doc", F.monotonically_increasing_id())
@@ -311,19 +308,30 @@ def ingest_batch(
         known = stored_respondents.select(*key)
         rejected = rejected.unionByName(first.join(known, key, "left_semi").select(*rejected.columns))
         first = first.join(known, key, "left_anti")
-    kept, answers = split_documents(first)
-    good, bad = keep_first(answers, ["respondent_id", "question_id"], [F.col("answer_no")], ["answer_no"])
-    pool = kept.select("survey_id", "respondent_id", "duration_sec", "completed_at")
+    kept, good, bad = split_documents(first)
+
+    durations = kept.select("survey_id", "duration_sec")
     if stored_respondents is not None:
-        pool = pool.unionByName(
-            stored_respondents.select("survey_id", "respondent_id", "duration_sec", "completed_at")
-        )
-    scored = response_quality(kept, good, questions, medians=median_duration(pool))
+        durations = durations.unionByName(stored_respondents.select("survey_id", "duration_sec"))
+    medians = median_duration(durations).select("survey_id", F.col("median_duration_sec").alias("_med"))
+    values = F.array_compact(F.transform("answers", lambda a: a["value_num"]))
+    mean = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x) / F.col("scale_items")
+    squares = F.aggregate("_v", F.lit(0.0), lambda s, x: s + (x - F.col("_mean")) * (x - F.col("_mean")))
+    people = (
+        kept.withColumn("_v", values)
+        .withColumn("scale_items", F.size("_v"))
+        .withColumn("_mean", F.when(F.col("scale_items") > 0, mean))
+        .withColumn("_sd", F.when(F.col("scale_items") > 0, F.sqrt(squares / F.col("scale_items"))))
+        .withColumn("_lo", F.array_min("_v"))
+        .withColumn("_hi", F.array_max("_v"))
+        .join(medians, "survey_id", "left")
+    )
+    columns = [c for c in kept.columns if c != "answers"]
     return {
-        "respondents": kept.join(
-            scored.select("respondent_id", "quality_score", "quality_flags"), "respondent_id"
+        "respondents": people.select(*columns, *quality_columns(F.lit(False))).drop(
+            "scale_items", "median_duration_sec", "reasons"
         ),
-        "responses": good.drop("answer_no"),
+        "responses": good,
         "rejected_documents": rejected.drop("_doc"),
         "rejected_responses": bad,
     }

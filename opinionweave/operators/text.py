@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import bind
 from ..plans.lineage import cut_lineage
 from ..plans.skew import salted_join
 
@@ -31,8 +32,8 @@ def shingles(text: Column, size: int = 3) -> Column:
         # out-of-range words are NULL, which the hash skips: short texts give one shingle
         return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
 
-    # binding the words to a lambda variable splits the text once, not once per shingle
-    return F.array_distinct(F.transform(F.array(F.split(normalised(text), " ")), runs)[0])
+    # the text is split once, not once per shingle
+    return F.array_distinct(bind(F.split(normalised(text), " "), runs))
 
 
 def near_duplicates(
@@ -44,6 +45,8 @@ def near_duplicates(
     rows_per_band: int = 4,
     shingle_size: int = 3,
     spread: int | None = None,
+    tail_rows: int = 20_000,
+    tail_values: int = 8_000_000,
 ) -> DataFrame:
     """Keep-first near-duplicate removal: row_id, canonical_id, similarity.
 
@@ -54,64 +57,53 @@ def near_duplicates(
     Each round settles, in every band bucket, only the smallest open text: a text
     that is first in all its buckets is kept, and the open members of its buckets
     are compared with it alone. So a round's pairs are linear in the bucket rows,
-    whatever the bucket size, and no pair that decides a result is left out.
+    whatever the bucket size, and no pair that decides a result is left out. Once
+    the open rest is below ``tail_rows`` bucket rows and ``tail_values`` shingles
+    (both counted), one task finishes it in id order with the same result.
     ``spread`` redistributes the texts over that many tasks first, for inputs
     with fewer file splits than cores.
     """
-    base = docs.select(F.col(row_id).alias("id"), F.sha2(normalised(F.col(text)), 256).alias("h"), F.col(text).alias("t"))
-    firsts = base.groupBy("h").agg(F.min("id").alias("first_id"))
-    copies = salted_join(base.select("id", "h"), firsts, ["h"], ["id"]).select("id", "first_id")
+    base = docs.select(F.col(row_id).alias("id"), F.col(text).alias("t"))
+    if spread:
+        base = base.repartition(spread, "id")
+    hashes = cut_lineage(base.select("id", F.sha2(normalised(F.col("t")), 256).alias("h")))
+    firsts = hashes.groupBy("h").agg(F.min("id").alias("first_id"))
+    copies = salted_join(hashes, firsts, ["h"], ["id"], sparse=True).select("id", "first_id")
 
     # a group of copies may be huge: only its first id is joined back to a text
     unique = base.join(firsts.select(F.col("first_id").alias("id")), "id", "left_semi")
-    if spread:
-        unique = unique.repartition(spread, "id")
     sets = cut_lineage(unique.select("id", shingles(F.col("t"), shingle_size).alias("s")))
-    n_hash = bands * rows_per_band
     # exploded and combined in the same task: one row per text leaves it
     signature = (
         sets.select("id", F.explode("s").alias("x"))
         .groupBy("id")
-        .agg(*[F.min(F.xxhash64(F.lit(k), F.col("x"))).alias(f"m{k}") for k in range(n_hash)])
+        .agg(*[F.min(F.xxhash64(F.lit(k), F.col("x"))).alias(f"m{k}") for k in range(bands * rows_per_band)])
     )
-    keys = F.array(*[
+    buckets = F.array(*[
         F.xxhash64(F.lit(b), *[F.col(f"m{b * rows_per_band + r}") for r in range(rows_per_band)])
         for b in range(bands)
     ])
-    open_rows = cut_lineage(_shared(signature.select("id", F.explode(keys).alias("bucket"))))
+    signature = cut_lineage(signature.select("id", buckets.alias("b")))
+    open_rows = cut_lineage(_shared(signature.select("id", F.explode("b").alias("bucket"))))
+    # from here on only texts that share a bucket matter
+    sets = cut_lineage(sets.join(open_rows.select("id").distinct(), "id", "left_semi"))
     settled: DataFrame | None = None
-    while not open_rows.isEmpty():
-        leaders = open_rows.groupBy("bucket").agg(F.min("id").alias("leader"))
-        marked = salted_join(open_rows, leaders, ["bucket"], ["id"])
-        kept = marked.groupBy("id").agg(F.bool_and(F.col("id") == F.col("leader")).alias("k")).filter("k").select("id")
-        pairs = (
-            marked.filter(F.col("id") != F.col("leader"))
-            .join(kept.select(F.col("id").alias("leader")), "leader", "left_semi")
-            .select("id", "leader").distinct()
-        )
-        # shared shingle counts: one leader may face very many texts, so its set is spread
-        with_own = pairs.join(sets, "id")
-        with_both = salted_join(
-            with_own, sets.select(F.col("id").alias("leader"), F.col("s").alias("ls")), ["leader"], ["id"]
-        )
-        common = F.size(F.array_intersect("s", "ls"))
-        similarity = common / (F.size("s") + F.size("ls") - common)
-        dropped = (
-            with_both.select("id", "leader", similarity.alias("similarity"))
-            .filter(F.col("similarity") >= threshold)
-            .groupBy("id")
-            .agg(F.min("leader").alias("canonical"), F.min_by("similarity", "leader").alias("similarity"))
-        )
-        now = cut_lineage(
-            dropped.unionByName(
-                kept.select("id", F.col("id").alias("canonical"), F.lit(1.0).alias("similarity"))
-            )
-        )
+    while True:
+        left = sets.join(open_rows.groupBy("id").agg(F.count(F.lit(1)).alias("b")), "id").agg(
+            F.coalesce(F.sum("b"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.size("s")), F.lit(0)).alias("values")
+        ).first()
+        if left.rows == 0:
+            break
+        small = left.rows <= tail_rows and left.values <= tail_values
+        step = _finish if small else _settle
+        now = cut_lineage(step(open_rows, sets, threshold))
         settled = now if settled is None else settled.unionByName(now)
+        if small:
+            break
         open_rows = cut_lineage(_shared(open_rows.join(now.select("id"), "id", "left_anti")))
 
     if settled is None:
-        settled = sets.select("id", F.col("id").alias("canonical"), F.lit(1.0).alias("similarity")).limit(0)
+        settled = sets.select("id", F.col("id").alias("canonical"), F.lit(1.0).alias("similarity"))
     per_first = copies.join(settled.withColumnRenamed("id", "first_id"), "first_id", "left")
     return per_first.select(
         F.col("id").alias(row_id),
@@ -120,7 +112,62 @@ def near_duplicates(
     )
 
 
+def _settle(open_rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """One round: texts kept because they lead all their buckets, and texts they drop."""
+    leaders = open_rows.groupBy("bucket").agg(F.min("id").alias("leader"))
+    marked = salted_join(open_rows, leaders, ["bucket"], ["id"], sparse=True)
+    kept = marked.groupBy("id").agg(F.bool_and(F.col("id") == F.col("leader")).alias("k")).filter("k").select("id")
+    pairs = (
+        marked.filter(F.col("id") != F.col("leader"))
+        .join(kept.select(F.col("id").alias("leader")), "leader", "left_semi")
+        .select("id", "leader").distinct()
+    )
+    # one leader may face very many texts, so its set is spread
+    own = pairs.join(sets, "id")
+    led = sets.select(F.col("id").alias("leader"), F.col("s").alias("ls"))
+    both = salted_join(own, led, ["leader"], ["id"], sparse=True)
+    common = F.size(F.array_intersect("s", "ls"))
+    dropped = (
+        both.select("id", "leader", (common / (F.size("s") + F.size("ls") - common)).alias("similarity"))
+        .filter(F.col("similarity") >= threshold)
+        .groupBy("id")
+        .agg(F.min("leader").alias("canonical"), F.min_by("similarity", "leader").alias("similarity"))
+    )
+    return dropped.unionByName(kept.select("id", F.col("id").alias("canonical"), F.lit(1.0).alias("similarity")))
+
+
+def _finish(open_rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The open rest, small by count, settled in id order in one task."""
+
+    def in_order(pdf):
+        import numpy as np
+        import pandas as pd
+
+        kept_in, members, out = {}, {}, []
+        for row in pdf.sort_values("id").itertuples():
+            own = np.asarray(row.s)
+            found = None
+            for k in sorted({k for b in row.buckets for k in kept_in.get(b, ())}):
+                common = len(np.intersect1d(own, members[k], assume_unique=True))
+                similarity = common / (len(own) + len(members[k]) - common)
+                if similarity >= threshold:
+                    found = (row.id, k, similarity)
+                    break
+            if found is None:
+                members[row.id] = own
+                for b in row.buckets:
+                    kept_in.setdefault(b, []).append(row.id)
+            out.append(found or (row.id, row.id, 1.0))
+        return pd.DataFrame(out, columns=["id", "canonical", "similarity"])
+
+    id_type = open_rows.schema["id"].dataType.simpleString()
+    rest = open_rows.groupBy("id").agg(F.collect_list("bucket").alias("buckets")).join(sets, "id")
+    return rest.groupBy(F.lit(0).alias("all")).applyInPandas(
+        in_order, f"id {id_type}, canonical {id_type}, similarity double"
+    )
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """Bucket rows of buckets that still hold more than one text."""
     busy = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
-    return salted_join(rows, busy, ["bucket"], ["id"])
+    return salted_join(rows, busy, ["bucket"], ["id"], sparse=True)

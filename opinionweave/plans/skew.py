@@ -17,17 +17,22 @@ def salted_join(
     spread_by: Sequence[str],
     salts: int = 16,
     how: str = "inner",
+    sparse: bool = False,
 ) -> DataFrame:
     """Join a side that may have hot keys to a side that has one row per key.
 
     Rows of a hot key are spread over ``salts`` tasks by a hash of ``spread_by``
     (a row id, so a retried task gives the same salt); the per-key side is
-    repeated once per salt. Left and inner joins only.
+    repeated once per salt, or with ``sparse`` only for the salts that occur (for
+    a per-key side that is large or has long rows). Left and inner joins only.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left")
     left = big.withColumn(SALT, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    right = small.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if sparse:
+        right = left.select(*keys, SALT).distinct().join(small, list(keys))
+    else:
+        right = small.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, SALT], how).drop(SALT)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import natural_id
+from ..functions.scalars import bind, natural_id
 from .schemas import INGEST_DOCUMENT, SCHEMAS
 
 
@@ -21,13 +21,23 @@ def read_mentions(spark: SparkSession, path: str, streaming: bool = False, fmt:
     return reader.schema(SCHEMAS["mentions"]).format(fmt).load(path)
 
 
-def split_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(respondents, responses) of nested documents; ids follow from the natural keys."""
+def split_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(respondents with their accepted answers, responses, repeated answers) of nested documents.
+
+    Ids follow from the natural keys. Only the first answer to a question is accepted.
+    """
+    # the question list is bound once per row
+    marked = bind(
+        F.transform("answers", lambda a: a["question_id"]),
+        lambda asked: F.transform(
+            F.col("answers"), lambda a, i: F.struct(a.alias("a"), F.coalesce(F.array_position(asked, a["question_id"]) == i + 1, F.lit(False)).alias("first"))
+        ),
+    )
     rid = natural_id(F.col("survey_id"), F.col("respondent.anon_code"))
-    respondents = docs.select(
-        rid.alias("respondent_id"), "org_id", "survey_id", "completed_at", "respondent.*"
+    split = docs.select(
+        rid.alias("respondent_id"), "org_id", "survey_id", "completed_at", "respondent.*", marked.alias("_m")
     )
-    responses = docs.select(
-        rid.alias("respondent_id"), "org_id", F.posexplode("answers").alias("answer_no", "a")
-    ).select("respondent_id", "org_id", "answer_no", "a.*")
-    return respondents, responses
+    pick = lambda first: F.transform(F.filter("_m", lambda m: m["first"] == F.lit(first)), lambda m: m["a"])
+    people = split.withColumn("answers", pick(True)).drop("_m")
+    exploded = lambda first: split.select("respondent_id", "org_id", F.inline(pick(first)))
+    return people, exploded(True), exploded(False)

@@ -12,7 +12,7 @@ from ..sources.sinks import overwrite_partitions
 PARTS = ("respondents", "responses", "rejected_documents", "rejected_responses")
 
 
-def ingest_stream(docs: DataFrame, root: str, checkpoint: str, questions: DataFrame | None = None):
+def ingest_stream(docs: DataFrame, root: str, checkpoint: str):
     """Start the stream; each micro-batch is scored against all respondents stored so far and itself.
 
     Every table is partitioned by batch number and a batch rewrites only its own
@@ -20,7 +20,7 @@ def ingest_stream(docs: DataFrame, root: str, checkpoint: str, questions: DataFr
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        result = ingest_batch(batch, _stored(batch, root, number), questions)
+        result = ingest_batch(batch, _stored(batch, root, number))
         for name in PARTS:
             overwrite_partitions(result[name].withColumn("batch", F.lit(number)), f"{root}/{name}", ["batch"])
 
@@ -38,6 +38,6 @@ def _stored(batch: DataFrame, root: str, number: int) -> DataFrame | None:
         return None
     return (
         stored.filter(F.col("batch") < number)
-        .select("survey_id", "anon_code", "respondent_id", "duration_sec", "completed_at")
+        .select("survey_id", "anon_code", "duration_sec")
         .join(batch.select("survey_id").distinct(), "survey_id", "left_semi")
     )
