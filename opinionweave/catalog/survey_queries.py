@@ -419,9 +419,11 @@ def province_table(v: Views) -> DataFrame:
     SELECT project_id, segment, n, {he('w/sum(w) OVER (PARTITION BY project_id)*100', 2)} AS size_pct, {he('sentiment', 2)} AS sentiment, {he('trust', 2)} AS trust FROM g""",
 )
 def segment_profile(v: Views) -> DataFrame:
-    mean = lambda d: F.avg(F.when(F.col("poi_dimension") == d, F.col("score"))).alias(d)
-    scores = signals.scored_items(v.responses(), v.questions()).groupBy("respondent_id").agg(mean("sentiment"), mean("trust"))
-    members = v.respondents().withColumnRenamed("age_band", "segment").join(scores, "respondent_id")
+    scores = signals.person_scores(v.responses(), v.questions(), ["sentiment", "trust"])
+    members = v.respondents().withColumnRenamed("age_band", "segment").join(scores, "respondent_id").select(
+        "project_id", "segment", "weight",
+        *[(F.col(f"_s_{d}") / F.col(f"_n_{d}")).alias(d) for d in ("sentiment", "trust")],
+    )
     return signals.segment_profile(members)
 
 

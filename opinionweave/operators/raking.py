@@ -90,7 +90,10 @@ def rake_weights(
     coded = respondents.select(
         survey, row_id, *[_code(v, s).alias(c) for c, (v, s) in zip(codes_of, targets.items())]
     )
-    weights = coded.join(raked.select(survey, *codes_of, "weight"), [survey, *codes_of]).select(
+    per_cell = raked.select(survey, *codes_of, "weight")
+    if raked.limit(cell_limit + 1).count() <= cell_limit:
+        per_cell = F.broadcast(per_cell)
+    weights = coded.join(per_cell, [survey, *codes_of]).select(
         survey, row_id, "weight"
     )
     return weights, _diagnostics(respondents, raked, targets, survey, codes_of)

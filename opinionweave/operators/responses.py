@@ -15,10 +15,9 @@ from ..functions import constants as C
 from ..functions.scalars import codes, half_even
 from ..plans.lineage import cut_lineage
 from ..plans.quantiles import median_of_integers
-from ..plans.ranking import group_rank, ordered_slices
+from ..plans.ranking import group_rank, latest_per_key, ordered_slices
 from ..plans.skew import salted_join
 from ..sources.ingest import split_documents
-from .integrity import keep_first
 
 
 def median_duration(respondents: DataFrame, survey: str = "survey_id") -> DataFrame:
@@ -158,9 +157,7 @@ def response_quality(
         base = respondents.join(med, [survey, "respondent_id"], "left")
     else:
         med = median_duration(respondents, survey) if medians is None else medians
-        base = respondents.join(
-            med.select(survey, F.col("median_duration_sec").alias("_med")), survey, "left"
-        )
+        base = respondents.join(med.withColumnRenamed("median_duration_sec", "_med"), survey, "left")
     rows = base.join(stats, "respondent_id", "left")
     at = {q: F.col(f"_q{i}") for i, q in enumerate(pair_items)}
     odd = F.lit(False)
@@ -303,17 +300,18 @@ def ingest_batch(docs: DataFrame, stored_respondents: DataFrame | None = None) -
         .withColumn("anon_code", F.col("respondent.anon_code"))
     )
     key = ["survey_id", "anon_code"]
-    first, rejected = keep_first(numbered, key, [F.col("completed_at"), F.col("_doc")], ["_doc"])
+    # the rank sees only keys and times, not the answers
+    first = latest_per_key(numbered, key, [F.col("completed_at"), F.col("_doc")]).select("_doc", *key)
     if stored_respondents is not None:
-        known = stored_respondents.select(*key)
-        rejected = rejected.unionByName(first.join(known, key, "left_semi").select(*rejected.columns))
-        first = first.join(known, key, "left_anti")
-    kept, good, bad = split_documents(first)
+        first = first.join(stored_respondents.select(*key), key, "left_anti")
+    marked = cut_lineage(numbered.join(first.select("_doc", F.lit(True).alias("_kept")), "_doc", "left"))
+    rejected = marked.filter(F.col("_kept").isNull()).select(*docs.columns, "anon_code")
+    kept, good, bad = split_documents(marked.filter("_kept"))
 
     durations = kept.select("survey_id", "duration_sec")
     if stored_respondents is not None:
         durations = durations.unionByName(stored_respondents.select("survey_id", "duration_sec"))
-    medians = median_duration(durations).select("survey_id", F.col("median_duration_sec").alias("_med"))
+    medians = median_duration(durations).withColumnRenamed("median_duration_sec", "_med")
     values = F.array_compact(F.transform("answers", lambda a: a["value_num"]))
     mean = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x) / F.col("scale_items")
     squares = F.aggregate("_v", F.lit(0.0), lambda s, x: s + (x - F.col("_mean")) * (x - F.col("_mean")))
@@ -332,6 +330,6 @@ def ingest_batch(docs: DataFrame, stored_respondents: DataFrame | None = None) -
             "scale_items", "median_duration_sec", "reasons"
         ),
         "responses": good,
-        "rejected_documents": rejected.drop("_doc"),
+        "rejected_documents": rejected,
         "rejected_responses": bad,
     }

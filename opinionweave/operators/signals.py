@@ -31,30 +31,50 @@ def scored_items(responses: DataFrame, questions: DataFrame) -> DataFrame:
     )
 
 
-def item_scores(
-    respondents: DataFrame, responses: DataFrame, questions: DataFrame, keys: Sequence[str] = ("survey_id",)
+def person_scores(
+    responses: DataFrame, questions: DataFrame, dimensions: Sequence[str] = tuple(C.DEFAULT_INDEX_WEIGHTS)
 ) -> DataFrame:
-    """Respondent-weighted mean score per dimension.
+    """One row per respondent with sum and count of item scores for every dimension.
 
-    Answers are first reduced to one row per respondent and dimension, so the
-    join moves those rows and not every answer.
+    Answers leave their partition as one partial row per respondent, already in
+    the partitioning that the join with the respondents needs.
     """
-    per_person = _person_scores(responses, questions)
+    of = lambda d: F.col("poi_dimension") == d
+    aggs = []
+    for d in dimensions:
+        aggs += [F.sum(F.when(of(d), F.col("score"))).alias(f"_s_{d}"), F.count_if(of(d)).alias(f"_n_{d}")]
+    return scored_items(responses, questions).groupBy("respondent_id").agg(*aggs)
+
+
+def _by_dimension(joined: DataFrame, columns: Sequence[str], dimensions: Sequence[str], name: str) -> DataFrame:
+    """Wide person scores as one row per answered dimension."""
+    rows = F.array_compact(F.array(*[
+        F.when(
+            F.col(f"_n_{d}") > 0,
+            F.struct(F.lit(d).alias(name), F.col(f"_s_{d}").alias("_sum"), F.col(f"_n_{d}").alias("_n")),
+        )
+        for d in dimensions
+    ]))
+    return joined.select(*columns, F.inline(rows))
+
+
+def item_scores(
+    respondents: DataFrame, responses: DataFrame, questions: DataFrame, keys: Sequence[str] = ("survey_id",),
+    dimensions: Sequence[str] = tuple(C.DEFAULT_INDEX_WEIGHTS),
+) -> DataFrame:
+    """Respondent-weighted mean score per dimension."""
     w = F.col("weight").cast("double")
-    joined = respondents.select(*keys, "respondent_id", "weight").join(per_person, "respondent_id")
-    return joined.groupBy(*keys, "poi_dimension").agg(
+    joined = respondents.select(*keys, "respondent_id", "weight").join(
+        person_scores(responses, questions, dimensions), "respondent_id"
+    )
+    rows = _by_dimension(joined, [*keys, "weight"], dimensions, "poi_dimension")
+    return rows.groupBy(*keys, "poi_dimension").agg(
         (F.sum(w * F.col("_sum")) / F.sum(w * F.col("_n"))).alias("score"),
         F.count(F.lit(1)).alias("respondents"),
         F.sum("_n").alias("answers"),
     )
 
 
-def _person_scores(responses: DataFrame, questions: DataFrame) -> DataFrame:
-    return scored_items(responses, questions).groupBy("respondent_id", "poi_dimension").agg(
-        F.sum("score").alias("_sum"), F.count(F.lit(1)).alias("_n")
-    )
-
-
 def produce_snapshots(
     respondents: DataFrame,
     responses: DataFrame,
@@ -64,19 +84,18 @@ def produce_snapshots(
     segment: str = "age_band",
     confidence: float = 0.95,
     min_n: int = C.MIN_EFFECTIVE_N,
+    dimensions: Sequence[str] = tuple(C.DEFAULT_INDEX_WEIGHTS),
 ) -> DataFrame:
     """Metric snapshots: national, per province and per segment, with Kish n and margin.
 
     A NULL province and segment is the whole sample. Values with too small an
     effective n are kept and flagged, the publication gate withholds them later.
     """
-    per_person = _person_scores(responses, questions)
-    w = F.col("weight").cast("double")
-    rows = (
-        respondents.select(*keys, "respondent_id", "weight", F.col(province).alias("province_code"), F.col(segment).alias("segment"))
-        .join(per_person, "respondent_id")
-        .select(*keys, F.col("poi_dimension").alias("metric"), "province_code", "segment", w.alias("w"), "_sum", "_n")
-    )
+    joined = respondents.select(
+        *keys, "respondent_id", F.col("weight").cast("double").alias("w"),
+        F.col(province).alias("province_code"), F.col(segment).alias("segment"),
+    ).join(person_scores(responses, questions, dimensions), "respondent_id")
+    rows = _by_dimension(joined, [*keys, "province_code", "segment", "w"], dimensions, "metric")
     fixed = [*keys, "metric"]
     sets = rows.groupingSets(
         [

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import cut_lineage
 from .ranking import ordered_slices, slice_carry
 
 BUCKET_WIDTH = 65_536
@@ -32,36 +33,38 @@ def _locate(pieces: DataFrame, keys: Sequence[str], piece: str) -> DataFrame:
 def _pick(rows: DataFrame, keys: Sequence[str], piece: str, value: str, name: str) -> DataFrame:
     """Middle values out of the located pieces; mean of lower and upper middle."""
     run = W.partitionBy(*keys, piece).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    upto = F.sum("_w").over(run) + F.col("_before")
-    has = lambda r: (F.col("_from") <= r) & (r < F.col("_to"))
-    return (
-        rows.withColumn("_to", upto)
-        .withColumn("_from", F.col("_to") - F.col("_w"))
-        .groupBy(*keys)
-        .agg(
-            (
-                (
-                    F.max(F.when(has(F.col("_lo")), F.col(value)))
-                    + F.max(F.when(has(F.col("_hi")), F.col(value)))
-                ).cast("double") / 2
-            ).alias(name)
-        )
-    )
+    return _middle(rows.withColumn("_to", F.sum("_w").over(run) + F.col("_before")), keys, value, name)
+
 
+def _middle(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Mean of the values whose rank ranges (``_to`` exclusive) hold ``_lo`` and ``_hi``."""
+    has = lambda r: (F.col("_to") - F.col("_w") <= r) & (r < F.col("_to"))
+    at = lambda r: F.max(F.when(has(F.col(r)), F.col(value)))
+    return rows.groupBy(*keys).agg(((at("_lo") + at("_hi")).cast("double") / 2).alias(name))
 
-def median_of_integers(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+
+def median_of_integers(
+    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", one_level_rows: int = 1_000_000
+) -> DataFrame:
     """Exact interpolated median of a 32-bit integer column per group; NULLs ignored.
 
-    Two-level counting: values are first counted per distinct value (combined on
-    the map side), then per bucket of 65,536 values, so no task ever holds more
-    than 65,536 rows of a group at either level.
+    Rows are first counted per distinct value, combined on the map side, and kept.
+    Up to ``one_level_rows`` such counts are ranked directly, and the result, no
+    larger than that, may be broadcast. Beyond it a second level of buckets of
+    65,536 values makes sure that no task holds more than 65,536 rows of a group.
     """
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_w"))
-        .withColumn("_bucket", F.floor(F.col(value) / BUCKET_WIDTH))
+    counts = cut_lineage(
+        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
     )
+    if counts.limit(one_level_rows + 1).count() <= one_level_rows:
+        run, everything = W.partitionBy(*keys).orderBy(value), W.partitionBy(*keys)
+        last = F.sum("_w").over(everything) - 1
+        rows = counts.select(
+            *keys, value, "_w", F.floor(last / 2).alias("_lo"), F.ceil(last / 2).alias("_hi"),
+            F.sum("_w").over(run.rowsBetween(W.unboundedPreceding, 0)).alias("_to"),
+        )
+        return F.broadcast(_middle(rows, keys, value, name))
+    counts = counts.withColumn("_bucket", F.floor(F.col(value) / BUCKET_WIDTH))
     buckets = counts.groupBy(*keys, "_bucket").agg(F.sum("_w").alias("_c"))
     hit = _locate(buckets, keys, "_bucket")
     return _pick(counts.join(hit, [*keys, "_bucket"]), keys, "_bucket", value, name)

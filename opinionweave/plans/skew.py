@@ -1,4 +1,4 @@
-"""Joins and broadcasts that stay safe when one key holds much of the data."""
+"""Joins that stay safe when one key holds much of the data."""
 
 from __future__ import annotations
 
@@ -34,10 +34,3 @@ def salted_join(
     else:
         right = small.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, SALT], how).drop(SALT)
-
-
-def broadcast_if_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only after the row count was checked; otherwise a plain join side."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
