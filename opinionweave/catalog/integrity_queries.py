@@ -58,6 +58,16 @@ def respondents_page(v: Views) -> DataFrame:
     return tables.page(v.respondents().select("respondent_id", "completed_at"), 100, 200, row_id="respondent_id")
 
 
+@query(
+    "newest_first",
+    with_views("mentions") + " SELECT event_id, published_at FROM mentions WHERE source = 'SOCIAL' AND narrative IN ('A', 'B') ORDER BY published_at DESC, event_id LIMIT 50",
+)
+def newest_first(v: Views) -> DataFrame:
+    rows = tables.where_in(tables.where_equal(v.mentions(), source="SOCIAL", project_id=None), "narrative", ["A", "B"])
+    listed = rows.orderBy(F.col("published_at").desc(), F.col("event_id")).limit(50)
+    return listed.select("event_id", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+
+
 @query(
     "constraint_violations",
     f"""SELECT c_custkey, {joined(('C_ACCTBAL_RANGE', 'c_acctbal < 0 OR c_acctbal > 9000'), ('C_MKTSEGMENT_UNKNOWN', "c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING')"), ('C_NAME_FORMAT', "NOT (regexp_full_match(lower(c_name), '[a-z0-9\\-]+') AND length(c_name) BETWEEN 2 AND 60)"))} AS violations FROM customer""",

@@ -99,7 +99,8 @@ def respondent_documents(v: Views) -> DataFrame:
 )
 def stream_respondent_ingest(v: Views) -> DataFrame:
     root = fresh_path(v.spark, "respondent-ingest")
-    ingest_stream(respondent_documents(StreamViews(v)), root, f"{root}/offsets").awaitTermination()
+    cores = v.spark.sparkContext.defaultParallelism
+    ingest_stream(respondent_documents(StreamViews(v)), root, f"{root}/offsets", cores).awaitTermination()
     return v.spark.read.parquet(f"{root}/respondents").select(
         "survey_id", "anon_code", "quality_score", F.array_join("quality_flags", ",").alias("quality_flags")
     )

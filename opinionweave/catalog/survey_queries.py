@@ -215,6 +215,33 @@ def rake_marginals(v: Views) -> DataFrame:
     return raking.marginals(v.respondents(), weights, "gender").withColumn("weighted_share", F.round("weighted_share", 6))
 
 
+@query(
+    "rake_store_weights",
+    raking_sql(TARGETS, f"SELECT r.survey_id, r.gender, r.urbanicity, count(*) AS respondents, {he('any_value(w)', 4)} AS weight FROM respondents r "
+               "JOIN final f ON f.survey_id = r.survey_id AND f.gender = r.gender AND f.urbanicity = r.urbanicity GROUP BY 1, 2, 3"),
+)
+def rake_store_weights(v: Views) -> DataFrame:
+    weights, _ = raking.rake_weights(v.respondents(), TARGETS)
+    stored = raking.store_weights(v.respondents(), weights)
+    return stored.groupBy("survey_id", "gender", "urbanicity").agg(
+        F.count(F.lit(1)).alias("respondents"), F.max("weight").cast("double").alias("weight")
+    )
+
+
+GAP_TARGETS = {"gender": {"F": 0.5, "O": 0.4, "X": 0.1}}
+
+
+@query(
+    "rake_coverage_warnings",
+    with_views("respondents") + """, g AS (SELECT survey_id, gender FROM respondents GROUP BY 1, 2)
+    SELECT survey_id, string_agg('gender=' || gender, ',' ORDER BY gender) FILTER (gender NOT IN ('F', 'O', 'X')) AS untargeted_categories,
+           concat_ws(',', CASE WHEN bool_or(gender = 'F') THEN NULL ELSE 'gender=F' END, CASE WHEN bool_or(gender = 'O') THEN NULL ELSE 'gender=O' END, CASE WHEN bool_or(gender = 'X') THEN NULL ELSE 'gender=X' END) AS empty_targets FROM g GROUP BY 1""",
+)
+def rake_coverage_warnings(v: Views) -> DataFrame:
+    _, diag = raking.rake_weights(v.respondents(), GAP_TARGETS)
+    return flat(diag, "untargeted_categories", "empty_targets").select("survey_id", "untargeted_categories", "empty_targets")
+
+
 # --- response quality -------------------------------------------------------------
 @query(
     "median_duration",

@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.scalars import codes, half_even, literal_map
+from ..functions.scalars import codes, half_even, literal_map, stored_weight
 from ..plans.lineage import cut_lineage
 from ..plans.quantiles import weighted_median
+from ..sources.sinks import replace_columns
 
 Targets = Mapping[str, Mapping[str, float]]
 
@@ -57,14 +58,16 @@ def rake_weights(
     tolerance: float = 1e-3,
     trim_ratio: float = 3.0,
     rescale_targets: bool = False,
-    null_mode: str = "reference",
+    null_mode: str = "keep",
     cell_limit: int = 2_000_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(weights per respondent, diagnostics per survey).
 
     Variables are adjusted in the order of ``targets``. ``rescale_targets``
     divides by the sum over present categories; ``null_mode='hold_share'`` lets
-    the targets apply to the respondents with a targeted category only.
+    the targets apply to the respondents with a targeted category only. With the
+    defaults a NULL or untargeted group keeps its weights but counts in the total,
+    so its share shrinks every round and raking need not converge.
     """
     problems = check_targets(targets)
     if problems:
@@ -73,8 +76,8 @@ def rake_weights(
         raise ValueError("max_iterations must be within 1..100")
     if not (1 <= trim_ratio <= 10):
         raise ValueError("trim_ratio must be within 1..10")
-    if null_mode not in ("reference", "hold_share"):
-        raise ValueError("null_mode must be 'reference' or 'hold_share'")
+    if null_mode not in ("keep", "hold_share"):
+        raise ValueError("null_mode must be 'keep' or 'hold_share'")
 
     codes_of = [f"_c{i}" for i in range(len(targets))]
     cells = rake_cells(respondents, targets, survey)
@@ -297,6 +300,14 @@ def _missing_categories(variable: str, names: Column, seen: Column) -> Column:
     return F.transform(missing, lambda m: F.concat(F.lit(f"{variable}="), m))
 
 
+def store_weights(
+    respondents: DataFrame, weights: DataFrame, survey: str = "survey_id", row_id: str = "respondent_id"
+) -> DataFrame:
+    """Respondents with their weight column replaced, rounded half to even to four decimals."""
+    rounded = weights.select(survey, row_id, stored_weight(F.col("weight")).alias("weight"))
+    return replace_columns(respondents.withColumn("weight", stored_weight(F.col("weight"))), rounded, [survey, row_id])
+
+
 def marginals(
     respondents: DataFrame, weights: DataFrame, variable: str, survey: str = "survey_id", row_id: str = "respondent_id"
 ) -> DataFrame:

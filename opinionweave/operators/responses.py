@@ -286,7 +286,9 @@ def dataset_quality(counts: DataFrame) -> DataFrame:
     return out.withColumn("overall", half_even(overall / sum(C.DATASET_WEIGHTS.values()), 0).cast("int"))
 
 
-def ingest_batch(docs: DataFrame, stored_respondents: DataFrame | None = None) -> dict[str, DataFrame]:
+def ingest_batch(
+    docs: DataFrame, stored_respondents: DataFrame | None = None, spread: int | None = None
+) -> dict[str, DataFrame]:
     """Nested documents -> accepted respondents (scored), responses and rejects.
 
     A repeated (survey, anon_code) keeps its first completed document and rejects
@@ -294,9 +296,12 @@ def ingest_batch(docs: DataFrame, stored_respondents: DataFrame | None = None) -
     ``stored_respondents`` (already on file) also reject repeats and add their
     durations to the survey median. All answers of a respondent sit in one
     document, so they are checked and summed up inside the row, without a shuffle.
+    ``spread`` redistributes the documents over that many tasks first, for batches
+    that arrive in fewer files than there are cores.
     """
     numbered = cut_lineage(
-        docs.withColumn("_doc", F.monotonically_increasing_id())
+        (docs.repartition(spread) if spread else docs)
+        .withColumn("_doc", F.monotonically_increasing_id())
         .withColumn("anon_code", F.col("respondent.anon_code"))
     )
     key = ["survey_id", "anon_code"]

@@ -12,7 +12,7 @@ from ..sources.sinks import overwrite_partitions
 PARTS = ("respondents", "responses", "rejected_documents", "rejected_responses")
 
 
-def ingest_stream(docs: DataFrame, root: str, checkpoint: str):
+def ingest_stream(docs: DataFrame, root: str, checkpoint: str, spread: int | None = None):
     """Start the stream; each micro-batch is scored against all respondents stored so far and itself.
 
     Every table is partitioned by batch number and a batch rewrites only its own
@@ -20,7 +20,7 @@ def ingest_stream(docs: DataFrame, root: str, checkpoint: str):
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        result = ingest_batch(batch, _stored(batch, root, number))
+        result = ingest_batch(batch, _stored(batch, root, number), spread)
         for name in PARTS:
             overwrite_partitions(result[name].withColumn("batch", F.lit(number)), f"{root}/{name}", ["batch"])
 
