@@ -199,7 +199,7 @@ def flag_short_durations(respondents: DataFrame, threshold_sec: int) -> DataFram
 def answer_vectors(responses: DataFrame) -> DataFrame:
     """Hash of a respondent's whole answer set (bounded by the questionnaire length)."""
     answers = F.sort_array(F.collect_list(F.struct("question_id", "value_num")))
-    return responses.groupBy("respondent_id").agg(F.sha2(F.to_json(answers), 256).alias("vector"))
+    return responses.groupBy("respondent_id").agg(F.unhex(F.sha2(F.to_json(answers), 256)).alias("vector"))
 
 
 def duplicate_suspects(respondents: DataFrame, responses: DataFrame, survey: str = "survey_id") -> DataFrame:
@@ -208,7 +208,10 @@ def duplicate_suspects(respondents: DataFrame, responses: DataFrame, survey: str
     Counts are combined before the shuffle; the join back spreads a vector held
     by very many respondents over several tasks.
     """
-    vectors = respondents.select(survey, "respondent_id").join(answer_vectors(responses), "respondent_id")
+    # used twice; kept as 32 bytes per respondent instead of reading all answers again
+    vectors = cut_lineage(
+        respondents.select(survey, "respondent_id").join(answer_vectors(responses), "respondent_id")
+    )
     repeated = (
         vectors.groupBy(survey, "vector").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
     )

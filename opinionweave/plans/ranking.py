@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .lineage import cut_lineage
+from .skew import null_safe_join
 
 # Up to this limit Spark prunes each partition to n rows per group before the shuffle
 # (spark.sql.optimizer.windowGroupLimitThreshold, default 1000).
@@ -58,10 +59,12 @@ def ordered_slices(
 ) -> DataFrame:
     """Range-partition by (keys, order) and stamp each row with its slice number.
 
-    A hot group is cut into many slices of bounded size. The stamped rows are
-    checkpointed, so the slice numbers cannot change between two uses.
+    A hot group is cut into many slices of bounded size. The rows are kept before
+    (they are counted, sampled and shuffled) and after stamping, so the slice
+    numbers cannot change between two uses.
     """
     spark = df.sparkSession
+    df = cut_lineage(df)
     rows = df.count()
     at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = max(1, min(at_least, rows)) if rows <= at_least * rows_per_slice else -(-rows // rows_per_slice)
@@ -95,7 +98,7 @@ def group_rank(
     carry = slice_carry(sliced, keys, F.count(F.lit(1))).select(*keys, "_slice", "_carry")
     w = W.partitionBy(*keys, "_slice").orderBy(*order)
     return (
-        sliced.join(carry, [*keys, "_slice"])
+        null_safe_join(sliced, carry, [*keys, "_slice"])
         .withColumn(name, F.row_number().over(w) + F.col("_carry"))
         .drop("_slice", "_carry")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,13 @@ from pyspark.sql import functions as F
 SALT = "_salt"
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys where NULL equals NULL; the key columns of the left side are kept."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(named, condition, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,

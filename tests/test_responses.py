@@ -92,6 +92,11 @@ def test_rank_over_slices(spark):
         assert [got[d[1]] for d in order] == list(range(1, len(order) + 1))
 
 
+def test_rank_keeps_null_groups(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, t int")
+    assert {(r.k, r.rk) for r in group_rank(df, ["k"], ["t"], "rk").collect()} == {(None, 1), (None, 2), ("a", 1)}
+
+
 def quality(spark, total, complete, dup=0, flagged=0, incons=0, dev=0.0, meta=1.0):
     df = spark.createDataFrame(
         [(total, complete, dup, flagged, incons, dev, meta)],
