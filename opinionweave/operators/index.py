@@ -102,8 +102,8 @@ def opinion_index(
         F.sum(w).alias("_w"),
         F.count_if(survey).alias("_survey_dims"),
         F.min(F.when(survey & (F.col("effective_n") != 0), F.col("effective_n"))).alias("_n_min"),
-        F.count_if(~F.col("score").between(0, 100)).alias("_bad_score"),
-        F.count_if(w < 0).alias("_bad_weight"),
+        F.count_if(~F.coalesce(F.col("score").between(0, 100), F.lit(False))).alias("_bad_score"),
+        F.count_if(F.coalesce(w < 0, F.lit(True))).alias("_bad_weight"),
         F.count_if(~F.col("source").isin(*C.SOURCES)).alias("_bad_source"),
         *per_source,
     )

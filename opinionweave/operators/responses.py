@@ -60,7 +60,7 @@ def running_median(
     def solve(rows, before):
         import numpy as np
 
-        rows = rows.sort_values(list(arrival), kind="stable")
+        rows = rows.sort_values(list(arrival), kind="stable", na_position="first")
         known = rows[value].notna().to_numpy()
         x = rows[value].to_numpy()[known].astype(float)
         base_values = before["_value"].to_numpy(float)

@@ -33,7 +33,7 @@ def shingles(text: Column, size: int = 3) -> Column:
         return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
 
     # the text is split once, not once per shingle
-    return F.array_distinct(bind(F.split(normalised(text), " "), runs))
+    return F.when(text.isNotNull(), F.array_distinct(bind(F.split(normalised(text), " "), runs)))
 
 
 def near_duplicates(
@@ -66,7 +66,11 @@ def near_duplicates(
     base = docs.select(F.col(row_id).alias("id"), F.col(text).alias("t"))
     if spread:
         base = base.repartition(spread, "id")
-    hashes = cut_lineage(base.select("id", F.sha2(normalised(F.col("t")), 256).alias("h")))
+    # a row without text is nobody's copy
+    no_text = F.concat(F.lit("no text "), F.col("id").cast("string"))
+    hashes = cut_lineage(
+        base.select("id", F.coalesce(F.sha2(normalised(F.col("t")), 256), no_text).alias("h"))
+    )
     firsts = hashes.groupBy("h").agg(F.min("id").alias("first_id"))
     copies = salted_join(hashes, firsts, ["h"], ["id"], sparse=True).select("id", "first_id")
 

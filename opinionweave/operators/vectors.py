@@ -50,7 +50,7 @@ def cosine_topk(
     ])
     result = None
     for ids, rows in _blocks(queries, query_id, vector):
-        part = base.select(base_id, vector).mapInPandas(_scan_for(ids, rows, k, base_id, query_id, vector, digits), schema)
+        part = base.filter(F.col(vector).isNotNull()).select(base_id, vector).mapInPandas(_scan_for(ids, rows, k, base_id, query_id, vector, digits), schema)
         result = part if result is None else result.unionByName(part)
     if result is None:
         return base.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
@@ -101,7 +101,7 @@ def nearest_centroid(
     """Topic with the highest cosine per vector (ties to the smaller topic), no shuffle.
 
     Centroids go to the tasks in bounded blocks; each further block compares with
-    the best so far.
+    the best so far. A row without a vector keeps a NULL topic.
     """
     id_type, topic_type = vectors.schema[row_id].dataType, centroids.schema[topic].dataType
     names = [f.simpleString() for f in (id_type, topic_type)]
@@ -124,16 +124,22 @@ def _assign_from(ids, rows, topic, vector, digits):
         q = unit(np.asarray(rows, dtype=float))
         names = pd.Series(ids)
         for pdf in batches:
-            if not len(pdf):
-                continue
-            sims = np.round(unit(np.vstack(pdf[vector].to_numpy()).astype(float)) @ q.T, digits)
-            at = sims.argmax(axis=1)
-            top = sims[np.arange(len(at)), at]
-            old = pdf["similarity"].to_numpy(dtype=float)
-            better = np.isnan(old) | (top > old)
-            pdf[topic] = np.where(better, names.iloc[at].to_numpy(), pdf[topic].to_numpy())
-            pdf["similarity"] = np.where(better, top, old)
-            pdf[topic] = pdf[topic].astype(names.dtype)
+            known = pdf[vector].notna().to_numpy()
+            if known.any():
+                m = np.vstack(pdf[vector].to_numpy()[known]).astype(float)
+                sims = np.round(unit(m) @ q.T, digits)
+                at = sims.argmax(axis=1)
+                top = sims[np.arange(len(at)), at]
+                best = pdf["similarity"].to_numpy(dtype=float, copy=True)
+                labels = pdf[topic].to_numpy(dtype=object, copy=True)
+                old = best[known]
+                better = np.isnan(old) | (top > old)
+                labels[known] = np.where(better, names.iloc[at].to_numpy(dtype=object), labels[known])
+                best[known] = np.where(better, top, old)
+                pdf[topic] = pd.Series(labels, index=pdf.index, dtype=object).where(pd.notna(labels), None)
+                pdf["similarity"] = best
+                if known.all():
+                    pdf[topic] = pdf[topic].astype(names.dtype)
             yield pdf
 
     return assign

@@ -54,7 +54,7 @@ def test_missing_n_gives_no_interval(spark, n):
 
 @pytest.mark.parametrize(
     "row,code",
-    [((140.0, 1.0, "SURVEY", 500), "SCORE_RANGE"), ((50.0, -1.0, "SURVEY", 500), "NEGATIVE_WEIGHT"), ((50.0, 0.0, "SURVEY", 500), "NO_WEIGHT")],
+    [((140.0, 1.0, "SURVEY", 500), "SCORE_RANGE"), ((50.0, -1.0, "SURVEY", 500), "NEGATIVE_WEIGHT"), ((50.0, 0.0, "SURVEY", 500), "NO_WEIGHT"), ((None, 1.0, "SURVEY", 500), "SCORE_RANGE"), ((50.0, 1.0, "RADIO", 500), "UNKNOWN_SOURCE")],
 )
 def test_invalid_dimensions(spark, row, code):
     r = one(index.opinion_index(dims(spark, row)))

@@ -74,6 +74,14 @@ def test_running_median(spark, per_slice):
             assert got[i] == (median(seen) if seen else None)
 
 
+def test_running_median_with_missing_times(spark):
+    data = [(1, 1, None, 9), (1, 2, datetime(2024, 1, 1), 1), (1, 3, None, 5), (1, 4, datetime(2023, 1, 1), 2)]
+    df = spark.createDataFrame(data, "survey_id int, respondent_id int, completed_at timestamp, duration_sec int")
+    for size in (1, 100):
+        got = {r.respondent_id: r.running_median_sec for r in responses.running_median(df, rows_per_slice=size).collect()}
+        assert got == {1: 9.0, 3: 7.0, 4: 5.0, 2: 3.5}
+
+
 def test_medians_of_large_groups(spark):
     data, df = people_of(spark, 9)
     got = {r.survey_id: r.median for r in median_of_integers(df, ["survey_id"], "duration_sec").collect()}

@@ -116,6 +116,14 @@ def test_top_n_beyond_the_pruning_limit(spark):
     assert out.count() == 1500 and out.agg(F.min("id")).first()[0] == 3500
 
 
+def test_latest_is_pruned_before_the_shuffle(spark):
+    from opinionweave.plans.ranking import latest_per_key
+
+    df = spark.range(100).withColumn("k", F.col("id") % 3)
+    plan = latest_per_key(df, ["k"], [F.col("id").desc()])._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+
+
 def test_province_table_and_drops(spark):
     snaps = spark.createDataFrame(
         [(1, p, m, "SURVEY", "2024", v, n) for p, v, n in (("JB", 60.0, 500), ("DK", 70.0, 300), ("NT", 90.0, 100)) for m in ("poi", "trust", "approval")],

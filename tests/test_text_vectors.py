@@ -49,9 +49,34 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
 
 
 def test_short_and_empty_texts(spark):
-    df = spark.createDataFrame([(1, "a"), (2, "a b"), (3, "a b c"), (4, ""), (5, "")], "doc_id long, text string")
+    df = spark.createDataFrame(
+        [(1, "a"), (2, "a b"), (3, "a b c"), (4, ""), (5, ""), (6, None), (7, None)], "doc_id long, text string"
+    )
     out = {r.doc_id: r.canonical_id for r in text.near_duplicates(df).collect()}
-    assert out == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
+    assert out == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7}
+
+
+@pytest.mark.parametrize("tail", [0, 20_000])
+def test_rounds_and_the_last_step_agree(spark, corpus, tail):
+    out = text.near_duplicates(spark.createDataFrame(corpus, "doc_id long, text string"), threshold=0.6, tail_rows=tail)
+    sets = {i: shingle_set(t) for i, t in corpus}
+    kept = {r.doc_id for r in out.filter("doc_id = canonical_id").collect()}
+    for r in out.collect():
+        assert r.canonical_id in kept and r.similarity == pytest.approx(jaccard(sets[r.doc_id], sets[r.canonical_id]))
+    both.setdefault("kept", kept)
+    assert both["kept"] == kept
+
+
+both = {}
+
+
+def test_missing_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    topics = spark.createDataFrame([(10, [1.0, 0.1]), (20, [0.0, 1.0])], "topic long, embedding array<double>")
+    assert {r.vec_id: r.topic for r in vectors.nearest_centroid(df, topics).collect()} == {1: 10, 2: None, 3: 20}
+    top = vectors.cosine_topk(df, topics, 5, query_id="topic")
+    assert top.count() == 4 and top.filter("vec_id = 2").count() == 0
 
 
 def test_exact_duplicates(spark):
