@@ -56,6 +56,26 @@ def opinion_index(v: Views) -> DataFrame:
     return flat(index.opinion_index(dims), "limitations").select("project_id", *INDEX_COLUMNS)
 
 
+@query(
+    "current_index",
+    with_views("latest", "weights") + index_sql("project_id", LATEST_DIMS)
+    + f""", mx AS (SELECT project_id, string_agg(source || '=' || share, ',' ORDER BY source) AS source_mix FROM
+          (SELECT project_id, source, {he('sum(weight)/any_value(t)', 4)} AS share FROM dims
+           JOIN (SELECT project_id, sum(weight) AS t FROM dims GROUP BY 1) x USING (project_id) GROUP BY 1, 2) y GROUP BY 1)
+      SELECT project_id, CASE WHEN effective_n >= 250 THEN value END AS value, CASE WHEN effective_n >= 250 THEN ci_low END AS ci_low,
+          CASE WHEN effective_n >= 250 THEN ci_high END AS ci_high, effective_n, NOT coalesce(effective_n >= 250, FALSE) AS insufficient_data,
+          generalisable_share, source_mix, 'WEIGHTED_MEAN_OF_DIMENSIONS' AS method, limitations FROM idx JOIN mx USING (project_id)""",
+)
+def current_index(v: Views) -> DataFrame:
+    """Current index per project as it may be shown: gated, with source mix and method."""
+    gated = index.publication_gate(index.opinion_index(index.index_dimensions(v.snapshots())))
+    mix = F.array_sort(F.transform(F.map_entries("source_mix"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    return flat(gated.withColumn("source_mix", mix), "source_mix", "limitations").select(
+        "project_id", "value", "ci_low", "ci_high", "effective_n", "insufficient_data",
+        "generalisable_share", "source_mix", "method", "limitations",
+    )
+
+
 @query(
     "opinion_index_kish",
     with_views("latest", "weights", "respondents") + index_sql("project_id", LATEST_DIMS).replace(

@@ -14,4 +14,4 @@ def test_names_agree():
 @pytest.mark.skipif(not os.path.isdir(contract.ENTRY_DIR), reason="test tables not present")
 def test_entry(spark):
     rows = contract.entry(spark).collect()
-    assert len(rows) == 5 and all("BELOW_MIN_N" in r.limitations for r in rows)
+    assert len(rows) == 5 and all(r.insufficient_data and r.value is None and "BELOW_MIN_N" in r.limitations for r in rows)
