@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, licenses, quality, suffix_tree
+from . import chat_tools, language, licenses, line_dedup, merkle, oracles, quality, suffix_tree
 from .common import remainder, table
 
 QUERIES: dict = {}
@@ -41,3 +41,20 @@ def op3(spark, sf_dir):
 @query("op6_language_id")
 def op6(spark, sf_dir):
     return language.identify_languages(table(spark, sf_dir, "documents"), remainder(3) == 1)
+
+
+@query("op7_document_fingerprints", oracles.FINGERPRINTS)
+def op7(spark, sf_dir):
+    prints = merkle.document_fingerprints(table(spark, sf_dir, "documents"))
+    return prints.withColumn("edited_paragraphs", F.array_join(F.col("edited_paragraphs").cast("array<string>"), ","))
+
+
+@query("op9_line_dedup", oracles.LINES)
+def op9(spark, sf_dir):
+    return line_dedup.line_decisions(table(spark, sf_dir, "documents"))
+
+
+@query("op10_chat_formatting", oracles.CHATS)
+def op10(spark, sf_dir):
+    schemas = spark.createDataFrame(chat_tools.SCHEMAS, "tool string, name string, type string, required boolean")
+    return chat_tools.format_chats(chat_tools.calls_from_turns(table(spark, sf_dir, "conversations")), schemas)
