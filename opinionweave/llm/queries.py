@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_tools, language, licenses, line_dedup, merkle, oracles, quality, suffix_tree
+from . import chat_tools, language, licenses, line_dedup, merkle, ngram_join, oracles, quality, suffix_tree
 from .common import remainder, table
 
 QUERIES: dict = {}
@@ -58,3 +58,8 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     schemas = spark.createDataFrame(chat_tools.SCHEMAS, "tool string, name string, type string, required boolean")
     return chat_tools.format_chats(chat_tools.calls_from_turns(table(spark, sf_dir, "conversations")), schemas)
+
+
+@query("op5_ngram_jaccard_join")
+def op5(spark, sf_dir):
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
