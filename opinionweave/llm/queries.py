@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_tools, language, licenses, line_dedup, merkle, ngram_join, oracles, quality, suffix_tree
+from . import chat_tools, decontaminate, language, licenses, line_dedup, merkle, ngram_join, oracles, quality, suffix_tree
 from .common import remainder, table
 
 QUERIES: dict = {}
@@ -63,3 +63,8 @@ def op10(spark, sf_dir):
 @query("op5_ngram_jaccard_join")
 def op5(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op8_benchmark_decontamination")
+def op8(spark, sf_dir):
+    return decontaminate.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
