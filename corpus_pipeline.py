@@ -1,4 +1,9 @@
-"""Corpus pipeline over ``documents``: each stage calls one operator and works on what the stage before it kept."""
+"""Corpus pipeline over ``documents``: each stage calls one operator and works on what the stage before it kept.
+
+The stages: language ID, line dedup, n-gram Jaccard join, benchmark decontamination, mixing to target weights. All
+but the last return the columns of their input; the last adds ``rate`` and ``copies``. Nulls, empty and repeated rows
+are treated as the operators say; a stage over an empty table returns none.
+"""
 
 from __future__ import annotations
 
@@ -7,22 +12,61 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinionweave.llm import language
+from opinionweave.llm import decontaminate, language, line_dedup, mixing, ngram_join
 from opinionweave.llm.common import table, written
 
 
+def _columns(df: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID learned from the stage's own rows with a language; rows without letters go."""
     model = language.train(docs, F.lit(True))
+    found = language.predict(docs, model, {c: F.col(f"`{c}`") for c in docs.columns})
+    return found.filter(F.col("lang_pred") != language.UNKNOWN).drop("lang_pred", "score")
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document or line has, or has but for one word, go, and so do documents without any left."""
+    kept = line_dedup.dedup_lines(docs).filter((F.size("kept") > 0) & (F.trim("text") != ""))
+    return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*_columns(docs))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id; rows repeated in whole count once."""
+    groups = ngram_join.jaccard_components(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias("_id")).agg(
+        F.min("component_id").alias("_group"), F.max("n_links").alias("_links")
+    )
+    kept = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("_id")))
+    alone = kept.filter("_links = 0").select(*_columns(docs))
+    first = kept.filter("_links > 0 and doc_id <=> _group").dropDuplicates(["doc_id"]).select(*_columns(docs))
+    return alone.unionByName(first)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    leaks = decontaminate.benchmark_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their rate and ``copies``, the rate rounded; those with no copy go."""
     keep = {c: F.col(f"`{c}`") for c in docs.columns}
-    return language.predict(docs, model, keep).filter(F.col("lang_pred") != language.UNKNOWN).drop("lang_pred", "score")
+    rated = mixing.mixing_rates(docs, table(spark, sf_dir, "labels"), keep)
+    copies = F.floor(F.col("rate") + 0.5).cast("bigint")
+    return rated.select(*_columns(docs), "rate", copies.alias("copies")).filter("copies > 0")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", known_language),
+    ("line_dedup", without_repeated_lines),
+    ("ngram_jaccard_join", without_near_copies),
+    ("benchmark_decontamination", without_benchmark),
+    ("mixing", mixed),
 ]
 
-ORACLE_SQL = None  # trained stages have no SQL
+ORACLE_SQL = None  # SQL cannot train the first and the last stage
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

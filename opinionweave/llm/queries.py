@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_tools, decontaminate, language, licenses, line_dedup, merkle, ngram_join, oracles, quality, suffix_tree
+from . import chat_tools, decontaminate, language, licenses, line_dedup, merkle, mixing, ngram_join, oracles, quality, suffix_tree
 from .common import remainder, table
 
 QUERIES: dict = {}
@@ -68,3 +68,8 @@ def op5(spark, sf_dir):
 @query("op8_benchmark_decontamination")
 def op8(spark, sf_dir):
     return decontaminate.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_mixing_rates")
+def op4(spark, sf_dir):
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
