@@ -60,7 +60,7 @@ VIEWS = {
          CASE conv_id % 3 WHEN 0 THEN 'SURVEY' WHEN 1 THEN 'SOCIAL' ELSE 'MEDIA' END AS ev_source,
          CAST((conv_id*7 + turn*3) % 400 AS INTEGER) AS ev_n, conv_id % 5 = 0 AS is_simulation,
          CASE WHEN conv_id % 10 = 0 THEN 'hasil simulasi, bukan prediksi' WHEN conv_id % 13 = 0 THEN '' ELSE 'satu gelombang survei' END AS limitations,
-         text[1:40] AS ev_label
+         text AS ev_label
   FROM conversations WHERE role = 'assistant')""",
     "weights": "weights(metric, weight) AS (VALUES "
     + ", ".join(f"('{k}', CAST({w} AS DOUBLE))" for k, w in DEFAULT_INDEX_WEIGHTS.items()) + ")",

@@ -81,13 +81,15 @@ def payload_text(v: Views) -> DataFrame:
 
 
 _REVIEW = f""", r AS (SELECT id, CASE WHEN ev_n < 250 AND confidence <> 'LOW' THEN 'LOW' WHEN confidence = 'HIGH' AND ev_source <> 'SURVEY' THEN 'MEDIUM' ELSE confidence END AS confidence,
-    limitations || CASE WHEN ev_n < 250 AND confidence <> 'LOW' THEN '{g.SMALL_EVIDENCE_NOTE}' ELSE '' END AS limitations,
+    array_to_string(list_filter([CASE WHEN ev_n < 250 AND confidence <> 'LOW' THEN 'SMALL_SAMPLE_EVIDENCE' END,
+        CASE WHEN confidence = 'HIGH' AND ev_source <> 'SURVEY' THEN 'NO_SURVEY_EVIDENCE' END,
+        CASE WHEN {_any('ev_label', C.SENSITIVE_HINTS)} THEN 'SENSITIVE_LABEL' END], lambda x: x IS NOT NULL), ',') AS review_codes,
     CASE WHEN {_any('ev_label', C.SENSITIVE_HINTS)} THEN 'NEEDS_REVIEW' ELSE 'PENDING' END AS human_review FROM outputs)"""
 
 
 @query("review_downgrade", BASE + _REVIEW + " SELECT * FROM r")
 def review_downgrade(v: Views) -> DataFrame:
-    return g.review(v.ai_outputs()).select("id", "confidence", "limitations", "human_review")
+    return g.review(v.ai_outputs()).select("id", "confidence", F.array_join("review_codes", ",").alias("review_codes"), "human_review")
 
 
 @query(

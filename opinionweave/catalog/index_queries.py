@@ -113,7 +113,7 @@ def publication_gate(v: Views) -> DataFrame:
              FROM idx WINDOW w AS (PARTITION BY project_id ORDER BY period_end)),
       d AS (SELECT *, {he('value - pv', 2)} AS delta FROM p WHERE pv IS NOT NULL)
       SELECT project_id, period_end, value, pv AS previous_value, delta,
-             CASE WHEN delta > 0 THEN 'naik' WHEN delta < 0 THEN 'turun' ELSE 'tetap' END AS direction,
+             CASE WHEN delta > 0 THEN 'UP' WHEN delta < 0 THEN 'DOWN' ELSE 'EQUAL' END AS direction,
              coalesce(ci_low > ph OR ci_high < pl, FALSE) AS intervals_separated FROM d""",
 )
 def index_change(v: Views) -> DataFrame:
@@ -322,14 +322,17 @@ def risk_components(v: Views) -> DataFrame:
         "issue_growth": share(late),
         "narrative_polarization": share(F.abs("sentiment") > 0.5),
         "influencer_amplification": 100.0 * F.sum(F.when(F.col("engagement") >= 100, F.col("engagement")).otherwise(0)) / F.sum("engagement"),
-        "geographic_spread": F.bitmap_count(F.bitmap_construct_agg(F.col("topic_id").cast("long"))) * 10.0,
         "media_escalation": share(F.col("source") == "MEDIA"),
         "trust_decline": fall("signup"),
         "approval_decline": fall("purchase"),
     }
-    wide = m.groupBy("project_id").agg(*[x.alias(k) for k, x in raw.items()])
+    # distinct topics are counted first, so their numbers may have any size
+    topics = m.select("project_id", "topic_id").filter("topic_id is not null").distinct().groupBy("project_id").agg(
+        (F.count(F.lit(1)) * 10.0).alias("geographic_spread")
+    )
+    wide = m.groupBy("project_id").agg(*[x.alias(k) for k, x in raw.items()]).join(topics, "project_id", "left").fillna(0.0, ["geographic_spread"])
     bounded = lambda k: F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col(k)))
-    rows = F.array(*[F.struct(F.lit(k).alias("component"), bounded(k).alias("value")) for k in raw])
+    rows = F.array(*[F.struct(F.lit(k).alias("component"), bounded(k).alias("value")) for k in [*raw, "geographic_spread"]])
     return wide.select("project_id", F.inline(rows))
 
 

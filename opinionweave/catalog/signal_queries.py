@@ -63,8 +63,8 @@ def narrative_momentum(v: Views) -> DataFrame:
 _ISSUES = with_views("mentions") + f""", ic AS (SELECT project_id, CAST(CAST(date_trunc('week', published_at) AS DATE) + 6 AS DATE) AS period_end, topic_id AS issue, count(*) AS n FROM mentions GROUP BY ALL),
     sh AS (SELECT *, 100*n/CAST(sum(n) OVER (PARTITION BY project_id, period_end) AS DOUBLE) AS share FROM ic),
     dl AS (SELECT *, {he('share - lag(share) OVER (PARTITION BY project_id, issue ORDER BY period_end)', 2)} AS delta_pp FROM sh),
-    iss AS (SELECT project_id, period_end, issue, n, {he('share', 2)} AS share_pct, delta_pp, CASE WHEN delta_pp IS NULL THEN 'emerging' WHEN delta_pp >= 5 THEN 'naik cepat'
-              WHEN delta_pp > 1.5 THEN 'naik' WHEN delta_pp >= -1.5 THEN 'stabil' ELSE 'melandai' END AS momentum FROM dl)"""
+    iss AS (SELECT project_id, period_end, issue, n, {he('share', 2)} AS share_pct, delta_pp, CASE WHEN delta_pp IS NULL THEN 'NEW' WHEN delta_pp >= 5 THEN 'RISING_FAST'
+              WHEN delta_pp > 1.5 THEN 'RISING' WHEN delta_pp >= -1.5 THEN 'STABLE' ELSE 'FALLING' END AS momentum FROM dl)"""
 
 
 def issue_table(v: Views) -> DataFrame:
@@ -157,7 +157,28 @@ def exact_dedup(v: Views) -> DataFrame:
     return text.exact_duplicates(v.raw("documents"))
 
 
-@query("near_dedup_minhash")
+_KEYS = ", ".join(
+    f"({b}, concat_ws('-', {', '.join(f'm[{(i + k) % 16 + 1}]' for k in range(n))}))"
+    for b, (i, n) in enumerate([(i, 2) for i in range(0, 16, 2)] + [(i, 4) for i in range(0, 16, 2)])
+)
+
+
+@query(
+    "near_dedup_minhash",
+    f"""WITH RECURSIVE d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents),
+    f AS (SELECT t, min(doc_id) AS id FROM d GROUP BY 1), w AS (SELECT id, string_split(t, ' ') AS w FROM f WHERE t IS NOT NULL),
+    s AS (SELECT id, list_distinct(list_transform(range(greatest(1, len(w) - 2)), lambda i: md5(array_to_string(w[i + 1:i + 3], ' ')))) AS s FROM w),
+    m AS (SELECT id, list_transform(string_split('0123456789abcdef', ''), lambda c: coalesce(list_min(list_filter(s, lambda h: h[1] = c)), '')) AS m FROM s),
+    k AS (SELECT id, unnest([{_KEYS}]) AS k FROM m), b AS (SELECT id, k[1] AS band, k[2] AS key FROM k WHERE length(k[2]) > 3),
+    l AS (SELECT band, key, min(id) AS leader FROM b GROUP BY 1, 2),
+    p AS (SELECT DISTINCT id, leader FROM b JOIN l USING (band, key) WHERE id <> leader),
+    e AS (SELECT p.id AS a, leader AS b FROM p JOIN s x ON x.id = p.id JOIN s y ON y.id = leader
+          WHERE len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) >= 0.8),
+    g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    r AS (SELECT id, id AS o FROM s UNION SELECT r.id, g.b FROM r JOIN g ON g.a = r.o),
+    c AS (SELECT id, min(o) AS canonical_id FROM r GROUP BY 1)
+    SELECT d.doc_id, coalesce(canonical_id, d.doc_id) AS canonical_id FROM d LEFT JOIN f ON f.t = d.t LEFT JOIN c ON c.id = f.id""",
+)
 def near_dedup_minhash(v: Views) -> DataFrame:
     return text.near_duplicates(v.raw("documents"), spread=v.spark.sparkContext.defaultParallelism)
 
@@ -202,9 +223,25 @@ def nearest_centroid(v: Views) -> DataFrame:
     return vectors.nearest_centroid(v.raw("embeddings"), topic_vectors(v))
 
 
-@query("kmeans_topics")
+def _kmeans_sql(k: int, rounds: int) -> str:
+    steps = [f"c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS topic, CAST(embedding AS DOUBLE[]) AS c FROM embeddings ORDER BY vec_id LIMIT {k})"]
+    for r in range(rounds + 1):
+        steps.append(
+            f"a{r} AS (SELECT vec_id, embedding, topic FROM (SELECT e.vec_id, e.embedding, x.topic, row_number() OVER (PARTITION BY e.vec_id "
+            f"ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), x.c), 6) DESC, x.topic) AS rn FROM embeddings e, c{r} x) WHERE rn = 1)"
+        )
+        if r < rounds:
+            steps.append(
+                f"p{r} AS (SELECT topic, pos, avg(CAST(x AS DOUBLE)) AS x FROM (SELECT topic, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM a{r}) GROUP BY 1, 2), "
+                f"n{r} AS (SELECT topic, list(x ORDER BY pos) AS n FROM p{r} GROUP BY 1), "
+                f"c{r + 1} AS (SELECT topic, coalesce(n, c) AS c FROM c{r} LEFT JOIN n{r} USING (topic))"
+            )
+    return f"WITH {', '.join(steps)} SELECT vec_id, topic FROM a{rounds}"
+
+
+@query("kmeans_topics", _kmeans_sql(10, 5))
 def kmeans_topics(v: Views) -> DataFrame:
-    return vectors.kmeans_topics(v.raw("embeddings"), 10)
+    return vectors.kmeans_topics(v.raw("embeddings"), 10, rounds=5)
 
 
 @query(

@@ -104,7 +104,7 @@ def opinion_index(
         F.min(F.when(survey & (F.col("effective_n") != 0), F.col("effective_n"))).alias("_n_min"),
         F.count_if(~F.coalesce(F.col("score").between(0, 100), F.lit(False))).alias("_bad_score"),
         F.count_if(F.coalesce(w < 0, F.lit(True))).alias("_bad_weight"),
-        F.count_if(~F.col("source").isin(*C.SOURCES)).alias("_bad_source"),
+        F.count_if(~F.coalesce(F.col("source").isin(*C.SOURCES), F.lit(False))).alias("_bad_source"),
         *per_source,
     )
     if respondent_weights is not None:
@@ -208,7 +208,7 @@ def index_change(series: DataFrame, keys: Sequence[str] = ("project_id",), perio
         .withColumn("delta", delta)
         .withColumn(
             "direction",
-            F.when(F.col("delta") > 0, "naik").when(F.col("delta") < 0, "turun").otherwise("tetap"),
+            F.when(F.col("delta") > 0, "UP").when(F.col("delta") < 0, "DOWN").otherwise("EQUAL"),
         )
         .withColumn("intervals_separated", bounds & F.coalesce(apart, F.lit(False)))
         .drop("_p")
@@ -244,15 +244,22 @@ def set_index_weights(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(projects with new weights, audit rows, rejected updates).
 
-    ``updates``: project_id, new_weights. A total <= 0 or an unknown project is
-    rejected. The audit keeps old and new weights.
+    ``updates``: project_id, new_weights. Missing weights, a total <= 0, an unknown
+    project and several updates of one project are rejected. The audit keeps old
+    and new weights.
     """
-    total = map_total(F.col("new_weights"))
-    seen = updates.join(
+    weights = F.col("new_weights")
+    total = map_total(weights)
+    missing = weights.isNull() | F.exists(F.map_values(weights), lambda x: x.isNull())
+    times = updates.groupBy("project_id").agg(F.count(F.lit(1)).alias("_times"))
+    seen = updates.join(times, "project_id", "left").join(
         projects.select("project_id", "org_id", F.col("poi_weights").alias("old_weights")),
         "project_id", "left",
     ).withColumn(
-        "violations", codes(("TOTAL_NOT_POSITIVE", total <= 0), ("UNKNOWN_PROJECT", F.col("org_id").isNull()))
+        "violations", codes(
+            ("MISSING_WEIGHTS", missing), ("TOTAL_NOT_POSITIVE", total <= 0), ("UNKNOWN_PROJECT", F.col("org_id").isNull()),
+            ("REPEATED_PROJECT", F.coalesce(F.col("_times") > 1, F.lit(False))),
+        )
     )
     good = seen.filter(F.size("violations") == 0)
     changed = (

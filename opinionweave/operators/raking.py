@@ -11,7 +11,6 @@ beyond ``cell_limit`` all surveys advance together as DataFrame joins.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +18,6 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.scalars import codes, half_even, literal_map, stored_weight
 from ..plans.lineage import cut_lineage
-from ..plans.quantiles import weighted_median
 from ..sources.sinks import replace_columns
 
 Targets = Mapping[str, Mapping[str, float]]
@@ -59,7 +57,6 @@ def rake_weights(
     trim_ratio: float = 3.0,
     rescale_targets: bool = False,
     null_mode: str = "keep",
-    cell_limit: int = 2_000_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(weights per respondent, diagnostics per survey).
 
@@ -68,6 +65,9 @@ def rake_weights(
     the targets apply to the respondents with a targeted category only. With the
     defaults a NULL or untargeted group keeps its weights but counts in the total,
     so its share shrinks every round and raking need not converge.
+
+    Respondents are counted per demographic cell first. A survey has at most
+    prod(categories + 1) cells whatever its size; one task iterates those.
     """
     problems = check_targets(targets)
     if problems:
@@ -81,21 +81,17 @@ def rake_weights(
 
     codes_of = [f"_c{i}" for i in range(len(targets))]
     cells = rake_cells(respondents, targets, survey)
-    possible = reduce(lambda a, b: a * b, (len(s) + 1 for s in targets.values()), 1)
     options = dict(
         max_iterations=max_iterations, tolerance=tolerance, trim_ratio=trim_ratio,
         rescale_targets=rescale_targets, hold_share=null_mode == "hold_share",
     )
-    run = _rake_in_groups if possible <= cell_limit else _rake_by_joins
     # the weights feed both results: keep them once instead of iterating twice
-    raked = cut_lineage(run(cells, targets, survey, codes_of, **options))
+    raked = cut_lineage(_rake_in_groups(cells, targets, survey, codes_of, **options))
 
     coded = respondents.select(
         survey, row_id, *[_code(v, s).alias(c) for c, (v, s) in zip(codes_of, targets.items())]
     )
     per_cell = raked.select(survey, *codes_of, "weight")
-    if raked.limit(cell_limit + 1).count() <= cell_limit:
-        per_cell = F.broadcast(per_cell)
     weights = coded.join(per_cell, [survey, *codes_of]).select(
         survey, row_id, "weight"
     )
@@ -170,87 +166,6 @@ def _rake_in_groups(
     return cells.groupBy(survey).applyInPandas(one_survey, schema)
 
 
-def _rake_by_joins(
-    cells: DataFrame, targets: Targets, survey: str, codes_of: list[str], *,
-    max_iterations: int, tolerance: float, trim_ratio: float, rescale_targets: bool, hold_share: bool,
-) -> DataFrame:
-    """Same iteration as joins, for cell tables too large for one task.
-
-    Only the sums per (survey, category) leave a partition; finished surveys are
-    frozen by ``_active``. Each round is cut with a checkpoint.
-    """
-    state = cut_lineage(
-        cells.withColumn("weight", F.lit(1.0)).withColumn("_active", F.lit(True))
-        .withColumn("iterations", F.lit(0)).withColumn("converged", F.lit(False))
-        .withColumn("degenerate", F.lit(False))
-    )
-    mass = F.col("weight") * F.col("_cnt")
-    for step in range(1, max_iterations + 1):
-        changes = None
-        for code, shares in zip(codes_of, (list(s.values()) for s in targets.values())):
-            wanted = F.get(F.array(*[F.lit(float(x)) for x in shares]), F.col(code))
-            sums = state.filter("_active").groupBy(survey, code).agg(F.sum(mass).alias("_s"))
-            live = (F.col(code) >= 0) & (F.col("_s") > 0)
-            per_survey = sums.groupBy(survey).agg(
-                F.sum(F.when(live, F.col("_s")) if hold_share else F.col("_s")).alias("_total"),
-                F.sum(F.when(live, wanted)).alias("_present"),
-                F.sum("_s").alias("_all"),
-            )
-            target = wanted / F.col("_present") if rescale_targets else wanted
-            factors = (
-                sums.join(per_survey, survey)
-                .withColumn(
-                    "_f", F.when(live & (F.col("_all") > 0), target / (F.col("_s") / F.col("_total")))
-                )
-                .select(survey, code, "_f", (F.col("_all") <= 0).alias("_dead"))
-            )
-            change = factors.groupBy(survey).agg(
-                F.max(F.abs(F.col("_f") - 1)).alias("_change"), F.max("_dead").alias("_dead")
-            )
-            changes = change if changes is None else changes.unionByName(change)
-            state = (
-                state.join(factors.select(survey, code, "_f"), [survey, code], "left")
-                .withColumn("weight", F.col("weight") * F.coalesce("_f", F.lit(1.0)))
-                .drop("_f")
-            )
-        verdict = changes.groupBy(survey).agg(
-            F.coalesce(F.max("_change"), F.lit(0.0)).alias("_change"), F.max("_dead").alias("_now_dead")
-        )
-        done = F.col("_active") & (F.col("_change") < tolerance) & ~F.col("_now_dead")
-        state = cut_lineage(
-            state.join(verdict, survey, "left")
-            .withColumn("iterations", F.when(F.col("_active") & ~F.col("_now_dead"), step).otherwise(F.col("iterations")))
-            .withColumn("converged", F.col("converged") | F.coalesce(done, F.lit(False)))
-            .withColumn("degenerate", F.col("degenerate") | F.coalesce(F.col("_active") & F.col("_now_dead"), F.lit(False)))
-            .withColumn("_active", ~F.col("converged") & ~F.col("degenerate"))
-            .drop("_change", "_now_dead")
-        )
-        if state.filter("_active").isEmpty():
-            break
-
-    def to_mean_one(df: DataFrame) -> DataFrame:
-        mean = df.groupBy(survey).agg((F.sum(mass) / F.sum("_cnt")).alias("_mean"))
-        return (
-            df.join(mean, survey)
-            .withColumn("weight", F.when(F.col("_mean") > 0, F.col("weight") / F.col("_mean")).otherwise(F.col("weight")))
-            .drop("_mean")
-        )
-
-    state = cut_lineage(to_mean_one(state.drop("_active")))
-    middle = weighted_median(state, [survey], "weight", F.col("_cnt"), "_middle")
-    over = (F.col("_middle") > 0) & (F.col("weight") > F.col("_middle") * trim_ratio)
-    capped = state.join(middle, survey).withColumn("_over", over)
-    trimmed = capped.groupBy(survey).agg(
-        F.coalesce(F.sum(F.when(F.col("_over"), F.col("_cnt"))), F.lit(0)).cast("long").alias("trimmed_count")
-    )
-    capped = (
-        capped.withColumn("weight", F.when(F.col("_over"), F.col("_middle") * trim_ratio).otherwise(F.col("weight")))
-        .drop("_middle", "_over")
-        .join(trimmed, survey)
-    )
-    return to_mean_one(capped)
-
-
 def _diagnostics(
     respondents: DataFrame, raked: DataFrame, targets: Targets, survey: str, codes_of: list[str]
 ) -> DataFrame:

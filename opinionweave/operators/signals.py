@@ -213,7 +213,7 @@ def issue_shares(
     """Share of each issue per period, change in pp and a momentum label.
 
     ``counts``: keys, period, issue, n. The change is against the issue's previous
-    period; the first period of an issue has none and is labelled emerging.
+    period; the first period of an issue has none and is NEW.
     """
     totals = counts.groupBy(*keys, period).agg(F.sum("n").alias("_t"))
     rows = counts.join(totals, [*keys, period]).withColumn("_share", 100 * F.col("n") / F.col("_t"))
@@ -225,8 +225,8 @@ def issue_shares(
         .withColumn("share_pct", half_even(F.col("_share"), 2))
         .withColumn(
             "momentum",
-            F.when(d.isNull(), "emerging").when(d >= fast_pp, "naik cepat").when(d > stable_pp, "naik")
-            .when(d >= -stable_pp, "stabil").otherwise("melandai"),
+            F.when(d.isNull(), "NEW").when(d >= fast_pp, "RISING_FAST").when(d > stable_pp, "RISING")
+            .when(d >= -stable_pp, "STABLE").otherwise("FALLING"),
         )
         .select(*keys, period, issue, "n", "share_pct", "delta_pp", "momentum")
     )

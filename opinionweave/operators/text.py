@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bind
-from ..plans.lineage import cut_lineage
+from ..plans.components import components
+from ..plans.lineage import written
 from ..plans.skew import salted_join
 
 
@@ -25,153 +26,63 @@ def exact_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text"
 
 
 def shingles(text: Column, size: int = 3) -> Column:
-    """Set of hashed runs of ``size`` words over the whole text."""
+    """Set of hashed runs of ``size`` words over the whole text; a shorter text is one run."""
 
     def runs(words: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - size))
-        # out-of-range words are NULL, which the hash skips: short texts give one shingle
-        return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
+        return F.transform(starts, lambda i: F.md5(F.array_join(F.slice(words, i + 1, F.lit(size)), " ")))
 
     # the text is split once, not once per shingle
     return F.when(text.isNotNull(), F.array_distinct(bind(F.split(normalised(text), " "), runs)))
 
 
+DIGITS = "0123456789abcdef"
+
+
+def band_keys(sets: DataFrame) -> DataFrame:
+    """(id, band, key): MinHash in one permutation.
+
+    The first digit of a hash deals it into one of 16 bins, whose least hashes are the signature. Two bins are a
+    band, and two neighbouring bands are one more, narrower key; bins that are all empty give none.
+    """
+    least = sets.select("id", F.explode("s").alias("h")).groupBy("id").agg(
+        *[F.min(F.when(F.substring("h", 1, 1) == d, F.col("h"))).alias(f"m{d}") for d in DIGITS]
+    )
+    bins = [F.coalesce(F.col(f"m{d}"), F.lit("")) for d in DIGITS]
+    keys = [F.concat_ws("-", *bins[i : i + 2]) for i in range(0, 16, 2)] + [F.concat_ws("-", *(bins * 2)[i : i + 4]) for i in range(0, 16, 2)]
+    listed = F.array(*[F.struct(F.lit(b).alias("band"), F.md5(k).alias("key"), (F.length(k) > 3).alias("some")) for b, k in enumerate(keys)])
+    return least.select("id", F.explode(listed).alias("b")).filter("b.some").select("id", "b.band", "b.key")
+
+
 def near_duplicates(
-    docs: DataFrame,
-    row_id: str = "doc_id",
-    text: str = "text",
-    threshold: float = 0.8,
-    bands: int = 16,
-    rows_per_band: int = 4,
-    shingle_size: int = 3,
-    spread: int | None = None,
-    tail_rows: int = 20_000,
-    tail_values: int = 8_000_000,
+    docs: DataFrame, row_id: str = "doc_id", text: str = "text", threshold: float = 0.8, shingle_size: int = 3, spread: int | None = None,
 ) -> DataFrame:
-    """Keep-first near-duplicate removal: row_id, canonical_id, similarity.
-
-    In id order a text is dropped when an earlier kept text that shares a MinHash
-    band has word-shingle Jaccard >= threshold; ``canonical_id`` is such a kept
-    text. Exact copies are collapsed first and follow their first copy.
-
-    Each round settles, in every band bucket, only the smallest open text: a text
-    that is first in all its buckets is kept, and the open members of its buckets
-    are compared with it alone. So a round's pairs are linear in the bucket rows,
-    whatever the bucket size, and no pair that decides a result is left out. Once
-    the open rest is below ``tail_rows`` bucket rows and ``tail_values`` shingles
-    (both counted), one task finishes it in id order with the same result.
-    ``spread`` redistributes the texts over that many tasks first, for inputs
-    with fewer file splits than cores.
+    """(row_id, canonical_id): the smallest id among the texts that verified links lead to.
+
+    Every text is compared with the first text of each of its band buckets, and linked if their word shingles have
+    a Jaccard similarity of ``threshold`` or more; components of the links share a canonical text. So comparisons
+    are linear in the bucket rows however large a bucket is, its minimum is combined before the shuffle, and rounds
+    grow with the logarithm of the links. Exact copies are collapsed first. A row without text is nobody's copy.
+    ``spread`` redistributes the texts over that many tasks first, for inputs with fewer file splits than cores.
     """
     base = docs.select(F.col(row_id).alias("id"), F.col(text).alias("t"))
     if spread:
         base = base.repartition(spread, "id")
-    # a row without text is nobody's copy
     no_text = F.concat(F.lit("no text "), F.col("id").cast("string"))
-    hashes = cut_lineage(
-        base.select("id", F.coalesce(F.sha2(normalised(F.col("t")), 256), no_text).alias("h"))
-    )
+    hashes = written(base.select("id", F.coalesce(F.sha2(normalised(F.col("t")), 256), no_text).alias("h")), "hashes")
     firsts = hashes.groupBy("h").agg(F.min("id").alias("first_id"))
     copies = salted_join(hashes, firsts, ["h"], ["id"], sparse=True).select("id", "first_id")
-
     # a group of copies may be huge: only its first id is joined back to a text
     unique = base.join(firsts.select(F.col("first_id").alias("id")), "id", "left_semi")
-    sets = cut_lineage(unique.select("id", shingles(F.col("t"), shingle_size).alias("s")))
-    # exploded and combined in the same task: one row per text leaves it
-    signature = (
-        sets.select("id", F.explode("s").alias("x"))
-        .groupBy("id")
-        .agg(*[F.min(F.xxhash64(F.lit(k), F.col("x"))).alias(f"m{k}") for k in range(bands * rows_per_band)])
-    )
-    buckets = F.array(*[
-        F.xxhash64(F.lit(b), *[F.col(f"m{b * rows_per_band + r}") for r in range(rows_per_band)])
-        for b in range(bands)
-    ])
-    signature = cut_lineage(signature.select("id", buckets.alias("b")))
-    open_rows = cut_lineage(_shared(signature.select("id", F.explode("b").alias("bucket"))))
-    # from here on only texts that share a bucket matter
-    sets = cut_lineage(sets.join(open_rows.select("id").distinct(), "id", "left_semi"))
-    settled: DataFrame | None = None
-    while True:
-        left = sets.join(open_rows.groupBy("id").agg(F.count(F.lit(1)).alias("b")), "id").agg(
-            F.coalesce(F.sum("b"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.size("s")), F.lit(0)).alias("values")
-        ).first()
-        if left.rows == 0:
-            break
-        small = left.rows <= tail_rows and left.values <= tail_values
-        step = _finish if small else _settle
-        now = cut_lineage(step(open_rows, sets, threshold))
-        settled = now if settled is None else settled.unionByName(now)
-        if small:
-            break
-        open_rows = cut_lineage(_shared(open_rows.join(now.select("id"), "id", "left_anti")))
-
-    if settled is None:
-        settled = sets.select("id", F.col("id").alias("canonical"), F.lit(1.0).alias("similarity"))
-    per_first = copies.join(settled.withColumnRenamed("id", "first_id"), "first_id", "left")
-    return per_first.select(
-        F.col("id").alias(row_id),
-        F.coalesce("canonical", "first_id").alias("canonical_id"),
-        F.coalesce("similarity", F.lit(1.0)).alias("similarity"),
-    )
-
-
-def _settle(open_rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """One round: texts kept because they lead all their buckets, and texts they drop."""
-    leaders = open_rows.groupBy("bucket").agg(F.min("id").alias("leader"))
-    marked = salted_join(open_rows, leaders, ["bucket"], ["id"], sparse=True)
-    kept = marked.groupBy("id").agg(F.bool_and(F.col("id") == F.col("leader")).alias("k")).filter("k").select("id")
-    pairs = (
-        marked.filter(F.col("id") != F.col("leader"))
-        .join(kept.select(F.col("id").alias("leader")), "leader", "left_semi")
-        .select("id", "leader").distinct()
-    )
+    sets = written(unique.select("id", shingles(F.col("t"), shingle_size).alias("s")).filter("s is not null"), "shingles")
+    keys = written(band_keys(sets), "bands")
+    leaders = keys.groupBy("band", "key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").drop("last")
+    pairs = keys.join(leaders, ["band", "key"]).filter("id <> leader").select("id", "leader").distinct()
     # one leader may face very many texts, so its set is spread
-    own = pairs.join(sets, "id")
     led = sets.select(F.col("id").alias("leader"), F.col("s").alias("ls"))
-    both = salted_join(own, led, ["leader"], ["id"], sparse=True)
+    both = salted_join(pairs.join(sets, "id"), led, ["leader"], ["id"], sparse=True)
     common = F.size(F.array_intersect("s", "ls"))
-    dropped = (
-        both.select("id", "leader", (common / (F.size("s") + F.size("ls") - common)).alias("similarity"))
-        .filter(F.col("similarity") >= threshold)
-        .groupBy("id")
-        .agg(F.min("leader").alias("canonical"), F.min_by("similarity", "leader").alias("similarity"))
-    )
-    return dropped.unionByName(kept.select("id", F.col("id").alias("canonical"), F.lit(1.0).alias("similarity")))
-
-
-def _finish(open_rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The open rest, small by count, settled in id order in one task."""
-
-    def in_order(pdf):
-        import numpy as np
-        import pandas as pd
-
-        kept_in, members, out = {}, {}, []
-        for row in pdf.sort_values("id").itertuples():
-            own = np.asarray(row.s)
-            found = None
-            for k in sorted({k for b in row.buckets for k in kept_in.get(b, ())}):
-                common = len(np.intersect1d(own, members[k], assume_unique=True))
-                similarity = common / (len(own) + len(members[k]) - common)
-                if similarity >= threshold:
-                    found = (row.id, k, similarity)
-                    break
-            if found is None:
-                members[row.id] = own
-                for b in row.buckets:
-                    kept_in.setdefault(b, []).append(row.id)
-            out.append(found or (row.id, row.id, 1.0))
-        return pd.DataFrame(out, columns=["id", "canonical", "similarity"])
-
-    id_type = open_rows.schema["id"].dataType.simpleString()
-    rest = open_rows.groupBy("id").agg(F.collect_list("bucket").alias("buckets")).join(sets, "id")
-    return rest.groupBy(F.lit(0).alias("all")).applyInPandas(
-        in_order, f"id {id_type}, canonical {id_type}, similarity double"
-    )
-
-
-def _shared(rows: DataFrame) -> DataFrame:
-    """Bucket rows of buckets that still hold more than one text."""
-    busy = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
-    return salted_join(rows, busy, ["bucket"], ["id"], sparse=True)
+    links = both.filter(common / (F.size("s") + F.size("ls") - common) >= threshold)
+    roots = components(links.select(F.col("id").alias("a"), F.col("leader").alias("b")))
+    named = copies.join(roots.withColumnRenamed("node", "first_id"), "first_id", "left")
+    return named.select(F.col("id").alias(row_id), F.coalesce("root", "first_id").alias("canonical_id"))

@@ -8,23 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, DoubleType
 
-from ..plans.lineage import cut_lineage
+from ..plans.lineage import cut_lineage, written
 from ..plans.ranking import top_n_per_key
 
 # Query vectors carried to every task in one pass; more queries mean more passes.
-BLOCK_BYTES = 64 * 1024 * 1024
+BLOCK_ROWS = 8192
+# Similarities held at once in a task.
+CELLS = 4 * 1024 * 1024
 
 
 def _blocks(queries: DataFrame, query_id: str, vector: str):
-    """Query vectors as driver-side blocks of at most BLOCK_BYTES, one at a time."""
-    ids, rows, size = [], [], 0
+    """Query vectors in blocks of at most BLOCK_ROWS, one at a time."""
+    ids, rows = [], []
     for r in queries.select(query_id, vector).orderBy(query_id).toLocalIterator(prefetchPartitions=False):
         ids.append(r[0])
         rows.append(r[1])
-        size += 8 * len(r[1])
-        if size >= BLOCK_BYTES:
+        if len(ids) == BLOCK_ROWS:
             yield ids, rows
-            ids, rows, size = [], [], 0
+            ids, rows = [], []
     if ids:
         yield ids, rows
 
@@ -42,7 +43,8 @@ def cosine_topk(
 
     Each task multiplies its batches with a bounded block of queries and keeps its
     own k best per query; only those meet in the shuffle. Further blocks of
-    queries are further passes over the base, so memory never grows with them.
+    queries are further passes over the base; the result of each is written before
+    the next is read, so memory does not grow with them.
     """
     id_field, q_field = base.schema[base_id], queries.schema[query_id]
     schema = StructType([
@@ -51,6 +53,8 @@ def cosine_topk(
     result = None
     for ids, rows in _blocks(queries, query_id, vector):
         part = base.filter(F.col(vector).isNotNull()).select(base_id, vector).mapInPandas(_scan_for(ids, rows, k, base_id, query_id, vector, digits), schema)
+        if len(ids) == BLOCK_ROWS:
+            part = written(part, "topk")
         result = part if result is None else result.unionByName(part)
     if result is None:
         return base.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
@@ -68,9 +72,8 @@ def _scan_for(ids, rows, k, base_id, query_id, vector, digits):
 
         q = unit(np.asarray(rows, dtype=float))
         best = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        step = max(1, CELLS // max(1, len(q)))
+        for pdf in (whole.iloc[i : i + step] for whole in batches for i in range(0, len(whole), step)):
             sims = np.round(unit(np.vstack(pdf[vector].to_numpy()).astype(float)) @ q.T, digits)
             keep = min(k, len(pdf))
             bar = np.partition(sims, len(pdf) - keep, axis=0)[len(pdf) - keep]
@@ -109,6 +112,8 @@ def nearest_centroid(
     schema = f"{row_id} {names[0]}, {vector} {vectors.schema[vector].dataType.simpleString()}, {topic} {names[1]}, similarity double"
     for ids, rows in _blocks(centroids, topic, vector):
         out = out.mapInPandas(_assign_from(ids, rows, topic, vector, digits), schema)
+        if len(ids) == BLOCK_ROWS:
+            out = written(out, "assigned")
     return out.drop(vector)
 
 
@@ -127,9 +132,12 @@ def _assign_from(ids, rows, topic, vector, digits):
             known = pdf[vector].notna().to_numpy()
             if known.any():
                 m = np.vstack(pdf[vector].to_numpy()[known]).astype(float)
-                sims = np.round(unit(m) @ q.T, digits)
-                at = sims.argmax(axis=1)
-                top = sims[np.arange(len(at)), at]
+                at, top = np.empty(len(m), np.int64), np.empty(len(m))
+                step = max(1, CELLS // len(q))
+                for i in range(0, len(m), step):
+                    sims = np.round(unit(m[i : i + step]) @ q.T, digits)
+                    at[i : i + step] = sims.argmax(axis=1)
+                    top[i : i + step] = sims.max(axis=1)
                 best = pdf["similarity"].to_numpy(dtype=float, copy=True)
                 labels = pdf[topic].to_numpy(dtype=object, copy=True)
                 old = best[known]
@@ -158,22 +166,38 @@ def centroids(vectors: DataFrame, keys: Sequence[str] = ("topic",), vector: str
     )
 
 
-def kmeans_topics(vectors: DataFrame, k: int, row_id: str = "vec_id", vector: str = "embedding", seed: int = 7) -> DataFrame:
-    """Distributed k-means topics on unit vectors."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def kmeans_topics(
+    vectors: DataFrame, k: int, row_id: str = "vec_id", vector: str = "embedding", rounds: int = 20, tolerance: float = 0.0
+) -> DataFrame:
+    """Spherical k-means: topic per vector after ``rounds`` of assignment and averaging.
 
-    data = vectors.select(row_id, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=20).fit(data)
-    return model.transform(data).select(row_id, F.col("prediction").alias("topic"))
+    The vectors of the k smallest ids are the first centroids, so results repeat; ties go to the smaller topic, a
+    topic that loses all vectors keeps its centroid, and a row without a vector has no topic. Rounds end early when
+    no centroid moves by more than ``tolerance``.
+    """
+    data = vectors.select(row_id, vector)
+    seeds = data.filter(F.col(vector).isNotNull()).orderBy(row_id).limit(k).select(row_id, F.col(vector).cast("array<double>").alias(vector))
+    # k rows
+    current = [(i, r[1]) for i, r in enumerate(seeds.collect())]
+    schema = f"topic bigint, {vector} array<double>"
+    for _ in range(rounds):
+        assigned = nearest_centroid(data, vectors.sparkSession.createDataFrame(current, schema), row_id, vector=vector)
+        means = centroids(assigned.select(row_id, "topic").join(data, row_id).filter("topic is not null"), vector=vector)
+        moved = {r["topic"]: r[vector] for r in means.collect()}
+        after = [(i, moved.get(i, c)) for i, c in current]
+        still = all(max((abs(x - y) for x, y in zip(a[1], b[1])), default=0.0) <= tolerance for a, b in zip(current, after))
+        current = after
+        if still:
+            break
+    return nearest_centroid(data, vectors.sparkSession.createDataFrame(current, schema), row_id, vector=vector).select(row_id, "topic")
 
 
-def topic_rollup(topics: DataFrame, volumes: DataFrame, max_depth: int = 64) -> DataFrame:
+def topic_rollup(topics: DataFrame, volumes: DataFrame) -> DataFrame:
     """Own volume and subtree volume per topic.
 
     ``topics``: topic, parent (NULL for a root). ``volumes``: topic, volume, already
-    one row per topic. The tree is walked upwards level by level; a walk longer
-    than ``max_depth`` means a cycle and is an error.
+    one row per topic. The tree is walked upwards level by level; as each level is
+    a step nearer to the roots, more levels than topics mean a cycle, an error.
     """
     own = topics.join(volumes, "topic", "left").select("topic", "parent", F.coalesce("volume", F.lit(0)).alias("volume"))
     own = cut_lineage(own)
@@ -181,7 +205,7 @@ def topic_rollup(topics: DataFrame, volumes: DataFrame, max_depth: int = 64) ->
     walk = own.select("topic", F.col("topic").alias("ancestor"), "volume", F.col("parent").alias("next"))
     reached = walk.select("ancestor", "volume")
     frontier = walk.filter(F.col("next").isNotNull())
-    for _ in range(max_depth):
+    for _ in range(own.count() + 1):
         # sums of equal ancestors are merged at every level, so the walk shrinks upwards
         level = cut_lineage(
             frontier.groupBy(F.col("next").alias("at")).agg(F.sum("volume").alias("volume")).join(parents, "at")
@@ -191,6 +215,6 @@ def topic_rollup(topics: DataFrame, volumes: DataFrame, max_depth: int = 64) ->
         reached = reached.unionByName(level.select(F.col("at").alias("ancestor"), "volume"))
         frontier = level.filter(F.col("up").isNotNull()).select("volume", F.col("up").alias("next"))
     else:
-        raise ValueError("topic tree has a cycle or is deeper than max_depth")
+        raise ValueError("topic tree has a cycle")
     total = reached.groupBy("ancestor").agg(F.sum("volume").alias("subtree_volume"))
     return own.join(total, own.topic == total.ancestor).select("topic", "parent", "volume", "subtree_volume")

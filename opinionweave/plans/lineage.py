@@ -7,6 +7,8 @@ reliable ``checkpoint()`` in the folder the cluster names in
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach; sets a temporary one only in local mode."""
+    """Folder all executors can reach. Only where none is named and all is one process, a temporary one, removed at the end."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -23,9 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     current = sc.getCheckpointDir()
     if current is None:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="opinionweave-"))
+        folder = tempfile.mkdtemp(prefix="opinionweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
         current = sc.getCheckpointDir()
     return current
 
@@ -38,3 +42,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: later steps read files, not the history."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -44,26 +44,17 @@ def _middle(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> Data
 
 
 def median_of_integers(
-    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", one_level_rows: int = 1_000_000
+    df: DataFrame, keys: Sequence[str], value: str, name: str = "median"
 ) -> DataFrame:
     """Exact interpolated median of a 32-bit integer column per group; NULLs ignored.
 
     Rows are first counted per distinct value, combined on the map side, and kept.
-    Up to ``one_level_rows`` such counts are ranked directly, and the result, no
-    larger than that, may be broadcast. Beyond it a second level of buckets of
-    65,536 values makes sure that no task holds more than 65,536 rows of a group.
+    The middle is located among buckets of 65,536 values, then among the values of
+    the bucket, so no task holds more than 65,536 rows of a group.
     """
     counts = cut_lineage(
         df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
     )
-    if counts.limit(one_level_rows + 1).count() <= one_level_rows:
-        run, everything = W.partitionBy(*keys).orderBy(value), W.partitionBy(*keys)
-        last = F.sum("_w").over(everything) - 1
-        rows = counts.select(
-            *keys, value, "_w", F.floor(last / 2).alias("_lo"), F.ceil(last / 2).alias("_hi"),
-            F.sum("_w").over(run.rowsBetween(W.unboundedPreceding, 0)).alias("_to"),
-        )
-        return F.broadcast(_middle(rows, keys, value, name))
     counts = counts.withColumn("_bucket", F.floor(F.col(value) / BUCKET_WIDTH))
     buckets = counts.groupBy(*keys, "_bucket").agg(F.sum("_w").alias("_c"))
     hit = _locate(buckets, keys, "_bucket")

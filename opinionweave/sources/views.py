@@ -225,7 +225,7 @@ class Views:
                 F.array(
                     F.struct(
                         F.lit("metric_snapshot").alias("kind"),
-                        F.substring("text", 1, 40).alias("label"),
+                        F.col("text").alias("label"),
                         ((conv * 7 + turn * 3) % 400).cast("int").alias("n"),
                         source.alias("source"),
                     )

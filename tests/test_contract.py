@@ -3,12 +3,13 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from opinionweave.catalog import QUERIES, SQL
 
 
 def test_names_agree():
     queries, sql = contract.queries(), contract.oracle_sql()
     assert set(sql) <= set(queries)
-    assert set(queries) - set(sql) == {"near_dedup_minhash", "kmeans_topics"}
+    assert set(QUERIES) == set(SQL)
 
 
 @pytest.mark.skipif(not os.path.isdir(contract.ENTRY_DIR), reason="test tables not present")

@@ -84,9 +84,9 @@ def test_change(spark):
         "project_id long, period_end string, value double, ci_low double, ci_high double",
     )
     out = {r.period_end: r for r in index.index_change(s).collect()}
-    assert out["2024-01-14"].delta == -0.2 and not out["2024-01-14"].intervals_separated and out["2024-01-14"].direction == "turun"
+    assert out["2024-01-14"].delta == -0.2 and not out["2024-01-14"].intervals_separated and out["2024-01-14"].direction == "DOWN"
     assert out["2024-01-21"].intervals_separated
-    assert out["2024-01-28"].direction == "tetap" and not out["2024-01-28"].intervals_separated
+    assert out["2024-01-28"].direction == "EQUAL" and not out["2024-01-28"].intervals_separated
     assert len(out) == 3
 
 

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from opinionweave.catalog import QUERIES
 
 SF = contract.ENTRY_DIR
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
@@ -25,7 +26,7 @@ def canonical(rows, columns):
     return sorted((tuple(tidy(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sql, name):
     df = contract.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -88,8 +88,6 @@ def test_medians_of_large_groups(spark):
     also = {r.survey_id: r.median for r in weighted_median(df, ["survey_id"], "duration_sec", F.lit(1)).collect()}
     want = {s: median(d[3] for d in data if d[0] == s and d[3] is not None) for s in (1, 2)}
     assert got == want and also == want
-    deep = median_of_integers(df, ["survey_id"], "duration_sec", one_level_rows=10)
-    assert {r.survey_id: r.median for r in deep.collect()} == want
 
 
 def test_rank_over_slices(spark):

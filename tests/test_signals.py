@@ -56,8 +56,8 @@ def test_issue_labels(spark):
         "project_id int, period_end string, issue string, n int",
     )
     got = {(r.period_end, r.issue): (r.share_pct, r.delta_pp, r.momentum) for r in signals.issue_shares(df).collect()}
-    assert got[("1", "x")] == (10.0, None, "emerging") and got[("2", "x")] == (20.0, 10.0, "naik cepat")
-    assert got[("2", "y")][2] == "melandai" and got[("3", "x")][2] == "stabil"
+    assert got[("1", "x")] == (10.0, None, "NEW") and got[("2", "x")] == (20.0, 10.0, "RISING_FAST")
+    assert got[("2", "y")][2] == "FALLING" and got[("3", "x")][2] == "STABLE"
 
 
 def test_diff_in_diff(spark):
