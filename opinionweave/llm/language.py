@@ -10,7 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS_ONLY, shared, text_bytes, written
+from ..plans.lineage import written
+from .common import LETTERS_ONLY, shared, text_bytes
 
 UNKNOWN = "und"
 ENTRIES_HELD = 300_000
@@ -19,11 +20,6 @@ LONGEST = 4
 WORD_PIECE = 40
 
 
-def _grams(word: str, n: int) -> list[str]:
-    padded = f"^{word}$"
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
-
-
 def word_counts(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, word, n) over the whole texts that are learned from; words are runs of letters and other non-ASCII."""
 
@@ -53,27 +49,29 @@ def word_counts(docs: DataFrame, learn: Column, text_col: str = "text", lang_col
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
-    """(lang, gram, n): character n-grams of 1 to LONGEST characters, words weighted by their counts."""
+    """(lang, gram, n): character n-grams of 1 to LONGEST characters over the distinct words."""
 
     def run(batches):
-        held: Counter = Counter()
+        held: dict[str, Counter] = {}
         for batch in batches:
-            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = word.decode("utf-8", "replace").lower()
+                own = held.setdefault(lang, Counter())
                 for at in range(0, len(text), WORD_PIECE):
-                    for size in range(1, LONGEST + 1):
-                        for g in _grams(text[at : at + WORD_PIECE], size):
-                            held[lang, g] += n
-            if len(held) >= ENTRIES_HELD:
+                    padded = f"^{text[at : at + WORD_PIECE]}$"
+                    own.update([padded[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(padded) - n + 1)])
+            if sum(map(len, held.values())) >= ENTRIES_HELD:
                 yield _gram_rows(held)
         yield _gram_rows(held)
 
-    return words.mapInArrow(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    slim = words.select("lang", "word")
+    return slim.mapInArrow(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _gram_rows(held: Counter) -> pa.RecordBatch:
+def _gram_rows(held: dict[str, Counter]) -> pa.RecordBatch:
     out = pa.RecordBatch.from_arrays([
-        pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(list(held.values()), pa.int64()),
+        pa.array([k for k, c in held.items() for _ in c], pa.string()), pa.array([g for c in held.values() for g in c], pa.string()),
+        pa.array([n for c in held.values() for n in c.values()], pa.int64()),
     ], ["lang", "gram", "n"])
     held.clear()
     return out
@@ -84,28 +82,39 @@ class Backoff:
 
     def __init__(self, langs: list[str], words: dict[bytes, np.ndarray], grams: dict[str, np.ndarray], discount: float):
         """Counts per language; discount: log10 lost with every step to a shorter n-gram."""
-        self.langs, self.discount, n = langs, discount, len(langs)
+        self.langs, n = langs, len(langs)
         everything = sum(words.values(), np.zeros(n))
         self.words = pa.array(list(words), pa.binary())
-        table = np.array(list(words.values())).reshape(-1, n)
+        table = np.array(list(words.values())).reshape(len(words), n)
         self.word_logs = np.log10((table + 0.5) / (everything + 0.5))
         totals = {k: sum((v for g, v in grams.items() if len(g) == k), np.zeros(n)) for k in range(1, LONGEST + 1)}
-        self.grams = {g: np.log10((v + 0.5) / (totals[len(g)] + 0.5)) for g, v in grams.items()}
-        self.nothing = np.zeros(n)
-
-    def unseen(self, word: bytes) -> np.ndarray:
-        """Mean over the word's places: the longest known n-gram that starts there."""
-        text = word.decode("utf-8", "replace").lower()
-        out, places = np.zeros(len(self.langs)), 0
+        self.grams = {g: i for i, g in enumerate(grams)}
+        self.gram_logs = np.array([
+            np.log10((v + 0.5) / (totals[len(g)] + 0.5)) - discount * (LONGEST - len(g)) for g, v in grams.items()
+        ]).reshape(len(grams), n)
+
+    def _places(self, word: bytes) -> list[int]:
+        """The longest known n-gram that starts at each place of a word."""
+        text, out, known = word.decode("utf-8", "replace").lower(), [], self.grams
         for at in range(0, len(text), WORD_PIECE):
             padded = f"^{text[at : at + WORD_PIECE]}$"
             for i in range(len(padded) - 1):
-                places += 1
-                for k in range(min(LONGEST, len(padded) - i), 0, -1):
-                    if (found := self.grams.get(padded[i : i + k])) is not None:
-                        out += found - self.discount * (LONGEST - k)
+                for k in range(LONGEST, 0, -1):
+                    if (found := known.get(padded[i : i + k])) is not None:
+                        out.append(found)
                         break
-        return out / max(1, places)
+        return out
+
+    def unseen(self, words: list[bytes]) -> np.ndarray:
+        """Mean over the places of each word; 0 where no n-gram is known."""
+        places = [self._places(w) for w in words]
+        sizes = np.fromiter(map(len, places), np.int64, len(places))
+        out = np.zeros((len(words), len(self.langs)))
+        if sizes.sum():
+            flat = np.concatenate([np.array(p, np.int64) for p in places if p])
+            starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+            out[sizes > 0] = np.add.reduceat(self.gram_logs[flat], starts, axis=0) / sizes[sizes > 0, None]
+        return out
 
     def tables(self, distinct: list[bytes]) -> np.ndarray:
         """Scores of distinct words, one row each."""
@@ -113,8 +122,8 @@ class Backoff:
         places = pc.index_in(pa.array(distinct, pa.binary()), value_set=self.words) if len(self.words) else pa.nulls(len(distinct), pa.int32())
         place = places.fill_null(-1).to_numpy(zero_copy_only=False)
         out[place >= 0] = self.word_logs[place[place >= 0]]
-        for i in np.flatnonzero(place < 0):
-            out[i] = self.unseen(distinct[i])
+        new = np.flatnonzero(place < 0)
+        out[new] = self.unseen([distinct[i] for i in new])
         return out
 
 
