@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinionweave.llm import decontaminate, language, line_dedup, mixing, ngram_join
-from opinionweave.llm.common import table, written
+from opinionweave.llm.common import table
+from opinionweave.plans.lineage import written
 
 
 def _columns(df: DataFrame) -> list:

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import fresh_path
-
 #: Lower-cases A-Z and turns every other ASCII byte that is no digit or letter into a blank.
 WORDS_ONLY = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -31,13 +29,6 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: later steps read files, not the history."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def shared(spark: SparkSession, model) -> Callable[[], object]:
     """Send a model of bounded size to the executors once; what is returned gives it back inside a task."""
     kind, state = type(model), spark.sparkContext.broadcast(vars(model))

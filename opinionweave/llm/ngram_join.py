@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, written
-from .components import components
+from ..plans.components import components
+from ..plans.lineage import written
+from .common import text_bytes
 
 SHINGLE = 5
 PARTS, SHORT = 65, 64

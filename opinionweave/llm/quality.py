@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_bytes, written
+from ..plans.lineage import written
+from .common import text_bytes
 
 FEATURES = 16
 _CLASSES = np.zeros(256, np.int64)

@@ -18,7 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared, text_bytes, written
+from ..plans.lineage import written
+from .common import shared, text_bytes
 
 END = 0xFF  # no byte of UTF-8; also stands before the first symbol
 PIECE = 512
@@ -98,7 +99,7 @@ class SuffixTree:
         self.number = np.full(256, len(seen), np.int64)  # the last number: symbols never seen
         self.number[seen] = np.arange(len(seen))
         size = len(seen) + 1
-        counts: dict[bytes, np.ndarray] = {}
+        counts: dict[bytes, np.ndarray] = {b"": np.zeros(size)}
         for d, code, s, n in rows:
             counts.setdefault(code.to_bytes(d), np.zeros(size))[self.number[s]] += n
         smooth: dict[bytes, np.ndarray] = {}
