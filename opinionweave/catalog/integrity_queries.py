@@ -23,9 +23,15 @@ def tenant_scope(v: Views) -> DataFrame:
     return tables.scoped(v.respondents(), 1, "project_id").groupBy("survey_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("tenant_no_context", with_views("respondents") + " SELECT survey_id, count(*) AS n FROM respondents WHERE FALSE GROUP BY 1")
+@query(
+    "tenant_no_context",
+    with_views("respondents") + " SELECT 'tenant 1' AS context, count(*) AS n FROM respondents WHERE project_id = 1 UNION ALL SELECT 'none', 0",
+)
 def tenant_no_context(v: Views) -> DataFrame:
-    return tables.scoped(v.respondents(), None, "project_id").groupBy("survey_id").agg(F.count(F.lit(1)).alias("n"))
+    seen = lambda tenant, name: tables.scoped(v.respondents(), tenant, "project_id").agg(
+        F.lit(name).alias("context"), F.count(F.lit(1)).alias("n")
+    )
+    return seen(1, "tenant 1").unionByName(seen(None, "none"))
 
 
 @query(

@@ -19,10 +19,6 @@ def half_even(value: Column, digits: int = 0) -> Column:
     return F.bround(F.round(value, 9), digits)
 
 
-def half_even_int(value: Column) -> Column:
-    return half_even(value, 0).cast("int")
-
-
 def clamp(value: Column, low: float, high: float) -> Column:
     """Clamp that keeps NULL (greatest/least alone would skip it)."""
     return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
@@ -95,11 +91,6 @@ def map_total(weights: Column) -> Column:
     return F.aggregate(F.map_values(weights), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def map_value(weights: Column, key: Column | str) -> Column:
-    key = F.lit(key) if isinstance(key, str) else key
-    return F.coalesce(F.try_element_at(weights, key), F.lit(0.0))
-
-
 def prompt_hash(system: Column, user: Column) -> Column:
     return F.substring(F.sha2(F.concat(system, F.lit("\x00"), user), 256), 1, 16)
 
@@ -132,6 +123,18 @@ def json_text(payload: Column, max_depth: int = C.MAX_PAYLOAD_DEPTH) -> Column:
     return F.when(is_container, F.array_join(decoded, " ")).otherwise(payload)
 
 
+def json_too_deep(payload: Column, max_depth: int = C.MAX_PAYLOAD_DEPTH) -> Column:
+    """Whether a JSON container nests more than ``max_depth`` containers, whose strings ``json_text`` leaves out."""
+    plain = F.regexp_replace(payload, r'"(?:[^"\\\\]|\\\\.)*+"', "")
+    brackets = F.regexp_extract_all(plain, F.lit(r"([\[\]{}])"), F.lit(1))
+    depth = F.aggregate(
+        brackets, F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")),
+        lambda s, t: bind(s["d"] + F.when(t.isin("[", "{"), 1).otherwise(-1), lambda d: F.struct(d.alias("d"), F.greatest(s["m"], d).alias("m"))),
+        lambda s: s["m"],
+    )
+    return F.coalesce(F.ltrim(payload).rlike(r"^[\[{]") & (depth > max_depth), F.lit(False))
+
+
 def _json_values(tokens: Column, max_depth: int) -> Column:
     """String literals among JSON tokens that are values within the depth."""
     opens = lambda t: t.isin("[", "{")

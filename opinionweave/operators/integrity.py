@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.scalars import codes, natural_id, not_blank, slug_ok
 from ..plans.ranking import latest_per_key
+from ..sources.sinks import once_per_key
 
 Rule = tuple[str, Column]
 
@@ -114,12 +115,14 @@ def cascade_delete(child: DataFrame, column: str, deleted: DataFrame, deleted_ke
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``changes`` replace or extend ``base`` (one change per key)."""
+    """Rows of ``changes`` replace or extend ``base``; keys that are repeated in ``changes`` are not applied."""
+    changes = once_per_key(changes, keys)
     return base.join(changes.select(*keys), list(keys), "left_anti").unionByName(changes)
 
 
 def partial_update(base: DataFrame, patch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Only the non-NULL fields of the patch overwrite the base."""
+    """Only the non-NULL fields of the patch overwrite the base; keys repeated in the patch are not applied."""
+    patch = once_per_key(patch, keys)
     fields = [c for c in patch.columns if c not in keys]
     p = patch.select(*keys, *[F.col(c).alias(f"_p_{c}") for c in fields])
     joined = base.join(p, list(keys), "left")

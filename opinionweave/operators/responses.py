@@ -304,12 +304,14 @@ def ingest_batch(
     """
     numbered = cut_lineage(
         (docs.repartition(spread) if spread else docs)
+        # numbers follow the content among equal keys, so a batch that is run again keeps the same documents
+        .withColumn("_hash", F.xxhash64(*docs.columns))
         .withColumn("_doc", F.monotonically_increasing_id())
         .withColumn("anon_code", F.col("respondent.anon_code"))
     )
     key = ["survey_id", "anon_code"]
     # the rank sees only keys and times, not the answers
-    first = latest_per_key(numbered, key, [F.col("completed_at"), F.col("_doc")]).select("_doc", *key)
+    first = latest_per_key(numbered, key, [F.col("completed_at"), F.col("_hash"), F.col("_doc")]).select("_doc", *key)
     if stored_respondents is not None:
         first = first.join(stored_respondents.select(*key), key, "left_anti")
     marked = cut_lineage(numbered.join(first.select("_doc", F.lit(True).alias("_kept")), "_doc", "left"))

@@ -30,7 +30,8 @@ def risk_score(
 
     ``components``: keys, component, value (0..100). Components without a weight
     are ignored; a missing weighted component withholds the score. Ties keep the
-    order of ``weights``. At most ``len(weights)`` rows per key are gathered.
+    order of ``weights``. The largest of repeated components counts, and both repeats
+    and values outside 0..100 are reported. At most ``len(weights)`` rows per key are gathered.
     """
     total = sum(weights.values())
     names = list(weights)
@@ -48,7 +49,11 @@ def risk_score(
         ).alias("_all"),
         F.collect_set("component").alias("_have"),
     )
-    everyone = components.select(*keys).distinct()
+    weighted = rows.filter(F.col("_w").isNotNull()).groupBy(*keys, "component").agg(
+        F.count(F.lit(1)).alias("_n"), F.bool_or(~F.coalesce(F.col("value").between(0, 100), F.lit(True))).alias("_bad")
+    )
+    faults = weighted.groupBy(*keys).agg(F.bool_or(F.col("_n") > 1).alias("_repeated"), F.bool_or("_bad").alias("_outside"))
+    everyone = components.select(*keys).distinct().join(faults, list(keys), "left")
     out = everyone.join(present, list(keys), "left").withColumn(
         "missing",
         F.array_except(
@@ -68,7 +73,10 @@ def risk_score(
                 lambda x: F.struct(x["component"].alias("component"), half_even(x["_c"], 2).alias("contribution")),
             ),
         ).alias("top_contributors"),
-        codes(("MISSING_COMPONENTS", ~ok)).alias("violations"),
+        codes(
+            ("MISSING_COMPONENTS", ~ok), ("REPEATED_COMPONENT", F.coalesce(F.col("_repeated"), F.lit(False))),
+            ("VALUE_OUT_OF_RANGE", F.coalesce(F.col("_outside"), F.lit(False))),
+        ).alias("violations"),
         "missing",
     )
 

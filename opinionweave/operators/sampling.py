@@ -151,14 +151,3 @@ def stratum_balance(
         )
     )
     return strata_out, report
-
-
-def sorted_strata(strata: DataFrame, keys: Sequence[str], stratum: str) -> DataFrame:
-    return strata.orderBy(*keys, stratum)
-
-
-def shares(df: DataFrame, keys: Sequence[str], category: str, weight: str | None = None) -> DataFrame:
-    """Count (or weight) and share of each category inside its group."""
-    amount = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = df.groupBy(*keys, category).agg(amount.alias("amount"))
-    return counts.withColumn("share", F.col("amount") / F.sum("amount").over(W.partitionBy(*keys)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,12 +12,27 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ("org_id",))
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def _times(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumn("_times", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+
+
+def once_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key no other row has."""
+    return _times(df, keys).filter("_times = 1").drop("_times")
+
+
+def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The other rows, as violations."""
+    return _times(df, keys).filter("_times > 1").drop("_times").withColumn("violation", F.lit("REPEATED_KEY"))
+
+
 def replace_columns(base: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Base rows with the columns of ``new`` taken from it; rows without a match keep theirs.
 
-    ``new`` has at most one row per key. Files have no UPDATE, so the caller
+    A key that ``new`` repeats is not applied. Files have no UPDATE, so the caller
     writes the result over the affected partitions.
     """
+    new = once_per_key(new, keys)
     changed = [c for c in new.columns if c not in keys]
     marked = new.select(
         *keys, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in changed]

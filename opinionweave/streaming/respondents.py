@@ -34,7 +34,9 @@ def _stored(batch: DataFrame, root: str, number: int) -> DataFrame | None:
     """Respondents of earlier batches, only of the surveys in this batch."""
     try:
         stored = batch.sparkSession.read.parquet(f"{root}/respondents")
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # a broken table is an error
+            raise
         return None
     return (
         stored.filter(F.col("batch") < number)

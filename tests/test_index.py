@@ -123,3 +123,15 @@ def test_half_even(spark):
         half_even(F.lit(2.5) - 1e-13).alias("noise"),
     ).first()
     assert (r.a, r.b, r.c, r.noise) == (0.12, 0.0, 2.0, 2.0)
+
+
+def test_weight_updates_that_cannot_be_applied(spark):
+    projects = spark.createDataFrame([(1, 9, {"a": 1.0}), (2, 9, {"a": 1.0}), (3, 9, {"a": 1.0})], "project_id long, org_id long, poi_weights map<string,double>")
+    updates = spark.createDataFrame(
+        [(1, None), (2, {"a": 2.0}), (2, {"a": 3.0}), (3, {"a": 4.0}), (7, {"a": None})], "project_id long, new_weights map<string,double>"
+    )
+    changed, audit, rejected = index.set_index_weights(projects, updates, "me", F.current_timestamp())
+    assert {r.project_id: r.poi_weights for r in changed.collect()} == {1: {"a": 1.0}, 2: {"a": 1.0}, 3: {"a": 4.0}}
+    assert [r.entity_id for r in audit.collect()] == ["3"]
+    found = sorted((r.project_id, tuple(r.violations)) for r in rejected.collect())
+    assert found == [(1, ("MISSING_WEIGHTS",)), (2, ("REPEATED_PROJECT",)), (2, ("REPEATED_PROJECT",)), (7, ("MISSING_WEIGHTS", "UNKNOWN_PROJECT"))]

@@ -108,3 +108,15 @@ def test_page_puts_missing_times_first(spark):
     df = spark.createDataFrame([(1, "2024-01-01"), (2, None), (3, "2024-02-01")], "id int, completed_at string")
     assert [r.id for r in tables.page(df, 2).collect()] == [2, 3]
     assert [r.id for r in tables.page(df, 2, 2).collect()] == [1]
+
+
+def test_repeated_keys_are_held_back(spark):
+    from opinionweave.sources import sinks
+
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, x string")
+    new = spark.createDataFrame([(1, "A"), (2, "B"), (2, "BB"), (4, "D")], "id long, x string")
+    pairs = lambda df: sorted(map(tuple, df.collect()))
+    assert pairs(it.upsert(base, new, ["id"])) == [(1, "A"), (2, "b"), (3, "c"), (4, "D")]
+    assert pairs(it.partial_update(base, new, ["id"])) == [(1, "A"), (2, "b"), (3, "c")]
+    assert pairs(sinks.replace_columns(base, new, ["id"])) == [(1, "A"), (2, "b"), (3, "c")]
+    assert pairs(sinks.repeated_keys(new, ["id"])) == [(2, "B", "REPEATED_KEY"), (2, "BB", "REPEATED_KEY")]
