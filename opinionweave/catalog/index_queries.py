@@ -56,6 +56,28 @@ def opinion_index(v: Views) -> DataFrame:
     return flat(index.opinion_index(dims), "limitations").select("project_id", *INDEX_COLUMNS)
 
 
+def project_weights(v: Views) -> DataFrame:
+    """Each project doubles the weight of one dimension and leaves out another, by its number."""
+    names = sorted(C.DEFAULT_INDEX_WEIGHTS)
+    n, p = len(names), F.col("project_id")
+    weights = F.create_map(*[
+        x for i, k in enumerate(names)
+        for x in (F.lit(k), F.when(p % n == i, 2 * C.DEFAULT_INDEX_WEIGHTS[k]).when((p + 1) % n == i, 0.0).otherwise(C.DEFAULT_INDEX_WEIGHTS[k]))
+    ])
+    return v.snapshots().select("project_id").distinct().select("project_id", weights.alias("poi_weights"))
+
+
+_OWN_DIMS = """SELECT project_id, value AS score, source, effective_n, w AS weight FROM (
+    SELECT l.*, CASE WHEN project_id % 6 = i THEN 2*weight WHEN (project_id + 1) % 6 = i THEN 0 ELSE weight END AS w
+    FROM latest l JOIN (SELECT metric, weight, row_number() OVER (ORDER BY metric) - 1 AS i FROM weights) x USING (metric)) y WHERE w > 0"""
+
+
+@query("opinion_index_own_weights", with_views("latest", "weights") + index_sql("project_id", _OWN_DIMS) + " SELECT * FROM idx")
+def opinion_index_own_weights(v: Views) -> DataFrame:
+    dims = index.index_dimensions(v.snapshots(), project_weights(v))
+    return flat(index.opinion_index(dims), "limitations").select("project_id", *INDEX_COLUMNS)
+
+
 @query(
     "current_index",
     with_views("latest", "weights") + index_sql("project_id", LATEST_DIMS)

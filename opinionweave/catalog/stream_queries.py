@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import fresh_path
+from ..sources.ingest import read_mentions
 from ..sources.views import QUESTION_COUNT, TABLES, Views
 from ..streaming import mentions as ms
 from ..streaming.respondents import ingest_stream
@@ -104,3 +105,22 @@ def stream_respondent_ingest(v: Views) -> DataFrame:
     return v.spark.read.parquet(f"{root}/respondents").select(
         "survey_id", "anon_code", "quality_score", F.array_join("quality_flags", ",").alias("quality_flags")
     )
+
+
+@query(
+    "mention_landing",
+    with_views("mentions") + " SELECT project_id, count(*) AS n, round(avg(sentiment), 6) AS mean_sentiment, min(external_id) AS first_id FROM mentions GROUP BY 1",
+)
+def mention_landing(v: Views) -> DataFrame:
+    """Mentions written as a connector drops them, one JSON object a line, and read again by the landing reader."""
+    path = fresh_path(v.spark, "mention-landing")
+    m = v.mentions()
+    m.select(
+        F.col("project_id").cast("string").alias("project_id"), F.lit("feed").alias("connector"),
+        F.col("external_id").cast("string").alias("external_id"), "source", "published_at", "sentiment",
+    ).write.json(path)
+    got = read_mentions(v.spark, path)
+    return got.groupBy(F.col("project_id").cast("bigint").alias("project_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("sentiment").cast("double")), 6).alias("mean_sentiment"),
+        F.min(F.col("external_id").cast("bigint")).alias("first_id"),
+    )

@@ -475,3 +475,14 @@ def crosstab(v: Views) -> DataFrame:
 def crosstab_chi2_stat(v: Views) -> DataFrame:
     test = signals.crosstab_test(signals.crosstab(v.respondents(), "gender", "age_band"), "gender", "age_band")
     return test.select("project_id", F.round("n", 6).alias("n"), F.round("chi2", 6).alias("chi2"), "dof", F.round("cramers_v", 6).alias("cramers_v"))
+
+
+@query(
+    "crosstab_p_value",
+    _CROSS + """, g AS (SELECT project_id, sum((o - e)*(o - e)/e) + sum(o) - sum(e) AS chi2, (count(DISTINCT gender) - 1)*(count(DISTINCT age_band) - 1) AS dof FROM ce GROUP BY 1),
+    h AS (SELECT project_id, chi2/2 AS x, dof/CAST(2 AS DOUBLE) AS a FROM g)
+    SELECT project_id, round(CASE WHEN x >= 200 THEN 0 ELSE greatest(0, 1 - list_sum(list_transform(range(401), lambda n: exp((a + n)*ln(x) - x - lgamma(a + n + 1))))) END, 6) AS p_value FROM h""",
+)
+def crosstab_p_value(v: Views) -> DataFrame:
+    test = signals.crosstab_test(signals.crosstab(v.respondents(), "gender", "age_band"), "gender", "age_band")
+    return test.select("project_id", F.round("p_value", 6).alias("p_value"))

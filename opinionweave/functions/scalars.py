@@ -91,6 +91,27 @@ def map_total(weights: Column) -> Column:
     return F.aggregate(F.map_values(weights), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def chi_square_tail(chi2: Column, dof: Column, terms: int = 400) -> Column:
+    """Chance that a chi-square variable of ``dof`` degrees exceeds ``chi2``.
+
+    The series of the lower incomplete gamma function, kept in logarithms; beyond
+    chi2 = 2 ``terms`` / 2 it is below any double that matters and taken as 0.
+    """
+    a, x = dof / 2, chi2 / 2
+    # ln gamma(a + 1): a (a - 1) ... down to gamma(1) = 1 or gamma(1 / 2) = sqrt(pi)
+    steps = F.sequence(F.lit(0), F.ceil(a).cast("int") - 1)
+    start = F.when(dof % 2 == 1, F.log(F.pi()) / 2).otherwise(0.0)
+    ln_gamma = F.aggregate(steps, start, lambda s, k: s + F.log(a - k))
+    first = F.exp(a * F.log(x) - x - ln_gamma)
+    total = F.aggregate(
+        F.sequence(F.lit(1), F.lit(terms)), F.struct(first.alias("t"), first.alias("s")),
+        lambda s, n: bind(s["t"] * x / (a + n), lambda t: F.struct(t.alias("t"), (s["s"] + t).alias("s"))),
+        lambda s: s["s"],
+    )
+    tail = F.when(x >= terms / 2, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - total))
+    return F.when(dof > 0, F.when(chi2 <= 0, 1.0).otherwise(tail))
+
+
 def prompt_hash(system: Column, user: Column) -> Column:
     return F.substring(F.sha2(F.concat(system, F.lit("\x00"), user), 256), 1, 16)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.scalars import half_even, index_z
+from ..functions.scalars import chi_square_tail, half_even, index_z
 from ..plans.ranking import top_n_per_key
 
 
@@ -304,7 +304,7 @@ def crosstab(
 
 
 def crosstab_test(table: DataFrame, row: str, column: str, keys: Sequence[str] = ("project_id",)) -> DataFrame:
-    """Chi-square, degrees of freedom and Cramer's V of a full contingency table.
+    """Chi-square, degrees of freedom, p-value and Cramer's V of a full contingency table.
 
     Cells that do not occur add their expected count to chi-square.
     """
@@ -317,9 +317,11 @@ def crosstab_test(table: DataFrame, row: str, column: str, keys: Sequence[str] =
     )
     chi2 = F.col("_part") + (F.col("n") - F.col("_seen"))
     smaller = F.least(F.col("r"), F.col("c")) - 1
+    dof = ((F.col("r") - 1) * (F.col("c") - 1)).cast("int")
     return g.select(
         *keys, "n",
         chi2.alias("chi2"),
-        ((F.col("r") - 1) * (F.col("c") - 1)).cast("int").alias("dof"),
+        dof.alias("dof"),
+        chi_square_tail(chi2, dof).alias("p_value"),
         F.when(smaller > 0, F.sqrt(chi2 / (F.col("n") * smaller))).alias("cramers_v"),
     )
