@@ -1,7 +1,8 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Symbols are words. A CGK walk reads a window and writes three times as many symbols; after each one it steps on when
-a random bit of (step, symbol) says so, so that few edits leave most of two outputs equal. A repetition samples
+Symbols are words. A CGK walk reads a window and writes symbols; after each one it steps on when
+a random bit of (step, symbol) says so, so that few edits leave most of two outputs equal. The first 2 n symbols count:
+in so many steps a walk about reaches the end of its n words, and what follows is filling. A repetition samples
 ``bits`` output places; windows and items that agree on all of them in one repetition become candidates, and a
 semi-global edit distance decides. A window is hashed only if it holds enough of the word pairs of items of its size:
 each edit breaks two pairs at most, so no window within the bound is passed over.
@@ -46,14 +47,17 @@ class Matcher:
         self.max_edit, size = max_edit, len(self.vocabulary) + 1
         pairs = [x[:-1] * size + x[1:] for x in self.items]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+        #: per size how often each pair occurs in an item, at most
         self.of_size: dict[int, np.ndarray] = {}
         for x, p in zip(self.items, pairs, strict=True):
-            member = self.of_size.setdefault(len(x), np.zeros(len(self.pairs), bool))
-            member[np.searchsorted(self.pairs, p)] = True
+            most = self.of_size.setdefault(len(x), np.zeros(len(self.pairs), np.int64))
+            own, times = np.unique(np.searchsorted(self.pairs, p), return_counts=True)
+            most[own] = np.maximum(most[own], times)
         self.longest = max(map(len, self.items), default=0)
+        self.fewest = min((max(1, n - 1 - 2 * self.allowed(n)) for n in self.of_size), default=1)
         rng = np.random.default_rng(seed)
         # one more symbol: everything outside the vocabulary and after the end
-        self.walk = rng.integers(0, 2, (3 * self.longest, size, repetitions), dtype=np.int8)
+        self.walk = rng.integers(0, 2, (2 * self.longest, size, repetitions), dtype=np.int8)
         self.places = rng.random((bits, repetitions))
         self.odd = rng.integers(1, 1 << 62, (bits + 1, repetitions)) * 2 + 1
         lengths = np.array([len(x) for x in self.items], np.int64)
@@ -80,9 +84,9 @@ class Matcher:
             wide = np.hstack([part, np.full((len(part), 1), len(self.vocabulary), np.int64)])
             rows = np.arange(len(part))[:, None]
             at = np.zeros((len(part), repetitions), np.int64)
-            sampled = np.floor(self.places[None] * (3 * n)[:, None, None]).astype(np.int64)
+            sampled = np.floor(self.places[None] * (2 * n)[:, None, None]).astype(np.int64)
             key = n[:, None] * self.odd[-1]
-            for step in range(3 * int(n.max())):
+            for step in range(2 * int(n.max())):
                 symbol = wide[rows, at]
                 for b in range(len(self.places)):
                     hit = sampled[:, b] == step
@@ -93,7 +97,11 @@ class Matcher:
         return np.vstack(out) if out else np.empty((0, repetitions), np.int64)
 
     def windows(self, words: np.ndarray) -> list[tuple[int, int]]:
-        """(start, size) of the windows that hold enough word pairs of items of that size."""
+        """(start, size) of the windows that hold enough word pairs of items of that size.
+
+        Of overlapping windows those with the most pairs stay, ties included: where a passage starts, a shift by up
+        to a quarter of its size holds fewer of its pairs.
+        """
         size = len(self.vocabulary) + 1
         inside = words < len(self.vocabulary)
         at = np.flatnonzero(inside[:-1] & inside[1:])
@@ -101,18 +109,33 @@ class Matcher:
         spot = np.minimum(np.searchsorted(self.pairs, code), max(0, len(self.pairs) - 1))
         true = self.pairs[spot] == code if len(self.pairs) else np.zeros(len(at), bool)
         at, spot = at[true], spot[true]
+        if len(at) < self.fewest:
+            return []
         out = []
-        for n, member in self.of_size.items():
+        for n, most in self.of_size.items():
             need = max(1, n - 1 - 2 * self.allowed(n))
-            places = at[member[spot]]
+            mine = most[spot] > 0
+            places, pairs = at[mine], spot[mine]
             if len(places) < need:
                 continue
             first, last = places[: len(places) - need + 1], places[need - 1 :]
             good = last - first <= n - 2
-            starts = {int(p) for a, b in zip(first[good], last[good], strict=True) for p in range(max(0, int(b) - n + 2), int(a) + 1)}
-            out += [(p, n) for p in sorted(starts)]
+            if not good.any():
+                continue
+            starts = np.unique(np.concatenate([np.arange(max(0, b - n + 2), a + 1) for a, b in zip(first[good], last[good], strict=True)]))
+            begin, end = np.searchsorted(places, starts, "left"), np.searchsorted(places, starts + n - 2, "right")
+            held = np.array([self._held(pairs[a:b], most) for a, b in zip(begin, end, strict=True)])
+            starts, held = starts[held >= need], held[held >= need]
+            low, high = np.searchsorted(starts, starts - n // 4), np.searchsorted(starts, starts + n // 4, "right")
+            out += [(int(p), n) for p, h, a, b in zip(starts, held, low, high, strict=True) if h == held[a:b].max()]
         return out
 
+    @staticmethod
+    def _held(pairs: np.ndarray, most: np.ndarray) -> int:
+        """Word pairs of a window, each as often as an item has it."""
+        own, times = np.unique(pairs, return_counts=True)
+        return int(np.minimum(times, most[own]).sum())
+
     def candidates(self, rows: list[np.ndarray], lengths: list[int]):
         """(window, item) numbers that share a key in some repetition."""
         keys = self.sketch(self._padded(rows), np.array(lengths, np.int64))
