@@ -9,8 +9,11 @@ binary search. Blocks of many shingles are cut into chunks, and every pair of ch
 Signatures. Sets of up to 64 shingles: the T = 2 prefix filter, exactly: the smallest n - ceil(0.8 n) + 2 hashes of
 linked sets have two in common, and every pair of them is a signature. Larger sets: the hash range is cut into about
 n / 2 parts by powers of two (both cuts near a power); linked sets differ in n / 4 hashes at most, so at threshold a
-part is equal and not empty with a chance of 0.4 or more, and 65 parts are signatures. All fail with a chance below
-1e-14 a link.
+part is equal and has two hashes or more with a chance of a third or more, and 65 parts are signatures. All fail with
+a chance below 1e-11 a link.
+
+Only sets whose sizes are within a quarter can link, so a block is searched by bands of sizes: every task takes one
+band and the next.
 """
 
 from __future__ import annotations
@@ -83,7 +86,8 @@ def signatures(s: np.ndarray) -> np.ndarray:
             if len(part):
                 start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 sums = np.add.reduceat(_mix(s[: len(part)]), start)
-                out.append(_mix(sums + part[start] * _M1 + np.uint64(k)))
+                several = np.diff(np.r_[start, len(part)]) > 1
+                out.append(_mix(sums + part[start] * _M1 + np.uint64(k))[several])
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
 
 
@@ -104,10 +108,11 @@ def set_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.mapInArrow(run, f"_id {kind}, n bigint, node bigint, sigs array<bigint>")
 
 
-def block_links(sets: list[np.ndarray], chunk: np.ndarray, copies: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Root and number of linked rows of every set among these; with ``cross`` only links between chunks count.
+def block_links(sets: list[np.ndarray], first_band: np.ndarray, chunk: np.ndarray, copies: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Root and number of linked rows of every set among these.
 
-    Sets come in ascending size. DivideSkip: of the lists of a set, the longest T / (0.01 log2 M + 1) are long.
+    ``first_band`` marks the sets of the lower band; links among the others belong to the next task. With ``cross`` only
+    links between chunks count. Sets come in ascending size. DivideSkip: of the lists of a set, the longest T / (0.01 log2 M + 1) are long.
     """
     n = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, n)
@@ -128,7 +133,7 @@ def block_links(sets: list[np.ndarray], chunk: np.ndarray, copies: np.ndarray, c
             x = root[x]
         return x
 
-    for q in range(n):
+    for q in np.flatnonzero(first_band):  # the lower band has the smaller sets
         size = int(sizes[q])
         most = int(np.searchsorted(sizes, size * 5 // 4, "right"))
         at = place[offset[q] : offset[q + 1]]
@@ -175,11 +180,12 @@ def _search(rows: DataFrame) -> DataFrame:
 
     def solve(key, held):
         best = {}
-        for node, shingles, chunk, copies in held:
-            best.setdefault(node, (np.frombuffer(shingles, np.uint64), chunk, copies))
+        for node, shingles, low, chunk, copies in held:
+            best.setdefault(node, (np.frombuffer(shingles, np.uint64), chunk, copies, low))
         nodes = sorted(best, key=lambda x: (len(best[x][0]), x))
         root, links = block_links(
-            [best[x][0] for x in nodes], np.array([best[x][1] for x in nodes]), np.array([best[x][2] for x in nodes]), key[1] != key[2]
+            [best[x][0] for x in nodes], np.array([best[x][3] for x in nodes], bool), np.array([best[x][1] for x in nodes]),
+            np.array([best[x][2] for x in nodes]), key[2] != key[3],
         )
         return pa.RecordBatch.from_arrays(
             [pa.array(nodes, pa.int64()), pa.array([nodes[r] for r in root], pa.int64()), pa.array(links)], ["node", "root", "links"]
@@ -188,24 +194,24 @@ def _search(rows: DataFrame) -> DataFrame:
     def run(batches):
         key, held = None, []
         for batch in batches:
-            for *task, node, shingles, chunk, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *task, node, shingles, low, chunk, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if task != key:
                     if held:
                         yield solve(key, held)
                     key, held = task, []
-                held.append((node, shingles, chunk, copies))
+                held.append((node, shingles, low, chunk, copies))
         if held:
             yield solve(key, held)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j")
-    return dealt.select("block", "i", "j", "node", "shingles", "chunk", "copies").mapInArrow(run, "node bigint, root bigint, links bigint")
+    dealt = rows.repartition(parts, "block", "band", "i", "j").sortWithinPartitions("block", "band", "i", "j")
+    return dealt.select("block", "band", "i", "j", "node", "shingles", "low", "chunk", "copies").mapInArrow(run, "node bigint, root bigint, links bigint")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``wanted`` with the set of their representative's text."""
     slim = docs.select(F.col(id_col).alias("_id"), text_bytes(text_col).alias("text"))
-    both = slim.join(wanted, slim["_id"].eqNullSafe(wanted["rep"])).select("text", "node", "block", "k", "chunk", "copies")
+    both = slim.join(wanted, slim["_id"].eqNullSafe(wanted["rep"])).select("text", "node", "tasks", "copies")
 
     def run(batches):
         shingler = Shingler()
@@ -214,10 +220,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
             sets = [shingler(t) for t in texts]
             # rows may repeat an id with other texts
             same = pa.array([identity(s) == x for s, x in zip(sets, nodes, strict=True)])
-            out = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "block", "k", "chunk", "copies", "shingles"])
+            out = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tasks", "copies", "shingles"])
             yield out.filter(same)
 
-    return both.mapInArrow(run, "node bigint, block bigint, k bigint, chunk bigint, copies bigint, shingles binary")
+    schema = f"node bigint, tasks {both.schema['tasks'].dataType.simpleString()}, copies bigint, shingles binary"
+    return both.mapInArrow(run, schema)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -235,9 +242,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = keys.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("sig", "low")
     blocks = components(keys.join(shared, "sig").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     members = written(blocks.withColumnRenamed("root", "block").join(classes, "node"), "members")
-    weight = members.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(chunk)).cast("bigint").alias("k"))
-    wanted = members.join(weight, "block").select("node", "rep", "block", "k", F.pmod(F.xxhash64("node"), "k").alias("chunk"), "copies")
-    found = _sets_of(docs, wanted, id_col, text_col)
+    # bands of sizes a quarter apart: a set meets the sets of its own band and of the next
+    banded = members.withColumn("own", F.floor(F.log("n") / F.lit(np.log(1.25)) - 1e-9).cast("bigint"))
+    lower = banded.select("block", F.col("own").alias("band")).distinct()
+    each = banded.select("*", F.explode(F.array("own", F.col("own") - 1)).alias("band")).join(lower, ["block", "band"])
+    weight = each.groupBy("block", "band").agg(F.ceil(F.sum("n") / F.lit(chunk)).cast("bigint").alias("k"))
+    task = F.struct("block", "band", "k", (F.col("own") == F.col("band")).alias("low"), F.pmod(F.xxhash64("node"), "k").alias("chunk"))
+    wanted = each.join(weight, ["block", "band"]).groupBy("node", "rep", "copies").agg(F.collect_list(task).alias("tasks"))
+    found = _sets_of(docs, wanted, id_col, text_col).select("node", "copies", "shingles", F.explode("tasks").alias("t")).select("*", "t.*")
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)).alias("other")
     tasks = found.select("*", other).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
     links = written(_search(tasks), "links")
