@@ -19,7 +19,6 @@ from .common import WORDS_ONLY, shared, text_bytes
 from .quality import statistics
 
 BUCKETS = 1 << 17
-WORDS_HELD = 400_000
 # Domains of the labelled table and the share of tokens that each shall have.
 TARGETS = {"clean": 0.92, "low": 0.07, "toxic": 0.01}
 
@@ -29,29 +28,15 @@ def labelled_domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
 
 
-class Features:
-    """Buckets of a text's distinct words and of its statistics, rounded."""
-
-    def __init__(self):
-        self.seen: dict[bytes, int] = {}
-
-    def _bucket(self, key: bytes) -> int:
-        return xxhash.xxh3_64_intdigest(key) % BUCKETS
-
-    def __call__(self, text: bytes) -> tuple[int, np.ndarray]:
-        words = text.translate(WORDS_ONLY).split()
-        if len(self.seen) > WORDS_HELD:
-            self.seen.clear()
-        distinct = set(words)
-        for w in distinct:
-            if w not in self.seen:
-                self.seen[w] = self._bucket(w)
-        marks = [
-            self._bucket(b"\0%d:%d:%d" % (scale, k, round(scale * x)))
-            for k, x in enumerate(statistics(text)) for scale in (3, 10, 30)
-        ] if text else []
-        own = np.fromiter(map(self.seen.__getitem__, distinct), np.int64, len(distinct))
-        return len(words), np.unique(np.concatenate([own, np.array(marks, np.int64)]))
+def features(text: bytes) -> tuple[int, np.ndarray]:
+    """Number of words of a text, and buckets of its distinct words and of its rounded statistics."""
+    words = text.translate(WORDS_ONLY).split()
+    keys = set(words)
+    if text:
+        keys.update(b"\0%d:%d:%d" % (scale, k, round(scale * x)) for k, x in enumerate(statistics(text)) for scale in (3, 10, 30))
+    # hashing a short word costs less than finding it in a large table
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+    return len(words), np.unique(hashes % np.uint64(BUCKETS)).astype(np.int64)
 
 
 class Domains:
@@ -98,7 +83,7 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str, text_
     known = docs.select(F.col(id_col).alias("_id"), text_bytes(text_col).alias("_text")).join(F.broadcast(learned), F.col("_id") == F.col("_mark"))
 
     def run(batches):
-        features, counts, rows = Features(), np.zeros((len(names), BUCKETS), np.int64), np.zeros(len(names), np.int64)
+        counts, rows = np.zeros((len(names), BUCKETS), np.int64), np.zeros(len(names), np.int64)
         for batch in batches:
             for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 d = names.index(name)
@@ -191,7 +176,7 @@ def mixing_rates(
     slim = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(id_col).alias("_id"), text_bytes(text_col).alias("_text"))
 
     def run(batches):
-        domains, features = get(), Features()
+        domains = get()
         for batch in batches:
             pairs = [features(t) for t in batch.column(len(held) + 1).to_pylist()]
             rows = np.array([domains.logits(b) for _, b in pairs]).reshape(-1, n)
