@@ -52,10 +52,14 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their rate and ``copies``, the rate rounded; those with no copy go."""
+    """Documents with their rate and ``copies``, the rate rounded; those with no copy go.
+
+    A document that is clean with 0.8 or more is taken once at least: the targets may repeat it, not drop it.
+    """
     keep = {c: F.col(f"`{c}`") for c in docs.columns}
     rated = mixing.mixing_rates(docs, table(spark, sf_dir, "labels"), keep)
-    copies = F.floor(F.col("rate") + 0.5).cast("bigint")
+    rounded = F.floor(F.col("rate") + 0.5).cast("bigint")
+    copies = F.when(F.col("p_clean") >= 0.8, F.greatest(rounded, F.lit(1).cast("bigint"))).otherwise(rounded)
     return rated.select(*_columns(docs), "rate", copies.alias("copies")).filter("copies > 0")
 
 
