@@ -97,10 +97,9 @@ class Matcher:
         return np.vstack(out) if out else np.empty((0, repetitions), np.int64)
 
     def windows(self, words: np.ndarray) -> list[tuple[int, int]]:
-        """(start, size) of the windows that hold enough word pairs of items of that size.
+        """(start, size) of all windows that hold enough word pairs of items of that size.
 
-        Of overlapping windows those with the most pairs stay, ties included: where a passage starts, a shift by up
-        to a quarter of its size holds fewer of its pairs.
+        Windows do not compete: one beside a passage may hold more pairs, of other items or of a fragment.
         """
         size = len(self.vocabulary) + 1
         inside = words < len(self.vocabulary)
@@ -125,9 +124,7 @@ class Matcher:
             starts = np.unique(np.concatenate([np.arange(max(0, b - n + 2), a + 1) for a, b in zip(first[good], last[good], strict=True)]))
             begin, end = np.searchsorted(places, starts, "left"), np.searchsorted(places, starts + n - 2, "right")
             held = np.array([self._held(pairs[a:b], most) for a, b in zip(begin, end, strict=True)])
-            starts, held = starts[held >= need], held[held >= need]
-            low, high = np.searchsorted(starts, starts - n // 4), np.searchsorted(starts, starts + n // 4, "right")
-            out += [(int(p), n) for p, h, a, b in zip(starts, held, low, high, strict=True) if h == held[a:b].max()]
+            out += [(int(p), n) for p in starts[held >= need]]
         return out
 
     @staticmethod

@@ -135,6 +135,27 @@ def test_leaks(spark, docs_of):
     assert set(exact) <= set(got)
 
 
+def test_leaks_beside_other_items(spark, docs_of):
+    """An edited item counts right after a whole item, a fragment of another one and a fragment of itself."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
+    items = [[word() for _ in range(20)] for _ in range(30)]
+    rows, want = [], {}
+    for i in range(180):
+        x, other = rng.sample(range(30), 2)
+        before = [items[other], items[other][12:], items[x][12:]][i % 3]
+        edited = [word() if at in (12, 14, 16, 18) else w for at, w in enumerate(items[x])]
+        words = [word() for _ in range(30)] + before + edited + [word() for _ in range(30)]
+        rows.append((i, " ".join(words)))
+        want |= {(i, k): far for k, item in enumerate(items) if (far := plain_edits(item, words)) <= 4}
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.benchmark_leaks(docs_of(rows), bench).collect()}
+    for kind in range(3):
+        expected = {key for key in want if key[0] % 3 == kind}
+        assert len(expected) >= 60 and len(expected & set(got)) >= 0.97 * len(expected)
+    assert got.items() <= want.items()
+
+
 def test_mixing_reaches_targets(spark, docs_of):
     rng = random.Random(6)
     kinds = {"clean": ["lorem", "ipsum", "dolor"], "toxic": ["grr", "argh"], "low": ["buy", "now"]}
