@@ -103,6 +103,10 @@ class Scanner:
             [(self.lengths[t], t) for t, where in ends.items() if t < self.n_phrases and self.lengths[t] - 1 in where]
             for ends in self.machine.ends
         ]
+        # a longer match ends in all phrases that its suffixes end in
+        for s in sorted(range(1, len(self.whole)), key=self.machine.length.__getitem__):
+            shorter = self.machine.link[s]
+            self.whole[s] += [x for x in self.whole[shorter] if x[0] <= self.machine.length[shorter] and x not in self.whole[s]]
 
     def statistics(self, words: list[bytes]):
         """(word number, state, length) wherever two or more words match."""

@@ -37,6 +37,25 @@ def test_license_base_columns(docs_of):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == plain_base(t)
 
 
+def test_license_phrases_inside_templates(docs_of):
+    """A phrase counts after any number of the words that precede it in a template, and so do nested phrases."""
+    texts = []
+    for template, _ in licenses.TEMPLATES:
+        words = template.split()
+        for phrase, _ in licenses.PHRASES:
+            n = len(phrase.split())
+            texts += [" ".join([*words[start : i + n], "x"]) for i in range(len(words)) if words[i : i + n] == phrase.split() for start in range(i + 1)]
+            texts += [template] * (phrase in template)
+    texts += ["Licensed under the Apache License, Version 2.0", "released under the MIT license", "GNU General Public License version 3"]
+    assert len(texts) > 40
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs_of(texts)).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert r["n_base"] == 1 and (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == plain_base(t)
+    nested = licenses.Scanner((("x a b c d", "t"),), (("a b c", "long"), ("b c", "short")), 3, 0.6, 12).scan(b"x a b c d b c")
+    assert nested[1:5] == (3, 1, 5, "long,short")
+
+
 def test_license_statistics_are_longest_fragments():
     """The automaton's lengths against all substrings of the templates."""
     rng = random.Random(2)
