@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinionweave.llm import decontaminate, language, line_dedup, mixing, ngram_join
@@ -52,15 +52,20 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their rate and ``copies``, the rate rounded; those with no copy go.
+    """Documents with their rate and ``copies``; those with no copy go.
 
-    A document that is clean with 0.8 or more is taken once at least: the targets may repeat it, not drop it.
+    Documents that are most likely clean have a rate of 1 or more, which the operator takes into account for the
+    others. The part of a rate after the point is the share of documents, by a hash of id and text, that get one copy more.
     """
     keep = {c: F.col(f"`{c}`") for c in docs.columns}
-    rated = mixing.mixing_rates(docs, table(spark, sf_dir, "labels"), keep)
-    rounded = F.floor(F.col("rate") + 0.5).cast("bigint")
-    copies = F.when(F.col("p_clean") >= 0.8, F.greatest(rounded, F.lit(1).cast("bigint"))).otherwise(rounded)
-    return rated.select(*_columns(docs), "rate", copies.alias("copies")).filter("copies > 0")
+    rated = mixing.mixing_rates(docs, table(spark, sf_dir, "labels"), keep, least={"clean": 1.0})
+    return rated.select(*_columns(docs), "rate", copies(F.col("rate"), F.xxhash64("doc_id", "text")).alias("copies")).filter("copies > 0")
+
+
+def copies(rate: Column, number: Column) -> Column:
+    """Whole copies that come to the rates in sum: one more where the number, as a part of its range, is below the fraction."""
+    whole = F.floor(rate)
+    return (whole + (F.pmod(number, F.lit(1 << 32)) < (rate - whole) * (1 << 32)).cast("int")).cast("bigint")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

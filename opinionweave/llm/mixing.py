@@ -103,10 +103,10 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str, text_
     return Domains(names, rows, counts, strength, least_evidence), chosen
 
 
-def _rates(a: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+def _rates(a: np.ndarray, low: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     r = np.ones(len(a))
     for g in steps:
-        r = np.maximum(0.0, r - a @ g)
+        r = np.maximum(low, r - a @ g)
     return r
 
 
@@ -114,13 +114,13 @@ def _cells(batch: pa.RecordBatch, column: int, n: int) -> np.ndarray:
     return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
 
 
-def _expected(batch: pa.RecordBatch, prior: np.ndarray, heat: float) -> np.ndarray:
-    """Expected tokens per domain of the rows of a batch that ends with n_tokens and log ratios."""
+def _expected(batch: pa.RecordBatch, prior: np.ndarray, heat: float, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens per domain, and least rate, of the rows of a batch that ends with n_tokens and log ratios."""
     p = _posterior(_cells(batch, batch.num_columns - 1, len(prior)), prior, heat)
-    return p * batch.column(batch.num_columns - 2).to_numpy()[:, None]
+    return p * batch.column(batch.num_columns - 2).to_numpy()[:, None], least[p.argmax(axis=1)]
 
 
-def solve(scored: DataFrame, prior: np.ndarray, heat: float, targets: np.ndarray, rounds: int, tolerance: float) -> list[np.ndarray]:
+def solve(scored: DataFrame, prior: np.ndarray, heat: float, targets: np.ndarray, least: np.ndarray, rounds: int, tolerance: float) -> list[np.ndarray]:
     """Steps of the projected gradient over the expected tokens per domain of all rows.
 
     The metric comes from the rows whose rate is above 0; a step that does not bring the sums nearer is halved.
@@ -131,8 +131,8 @@ def solve(scored: DataFrame, prior: np.ndarray, heat: float, targets: np.ndarray
         def run(batches):
             reached, gram = np.zeros(n), np.zeros((n, n))
             for batch in batches:
-                a = _expected(batch, prior, heat)
-                r = _rates(a, steps)
+                a, low = _expected(batch, prior, heat, least)
+                r = _rates(a, low, steps)
                 reached += r @ a
                 gram += a[r > 0].T @ a[r > 0]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + n * n)), pa.array(np.r_[reached, gram.ravel()])], ["k", "v"])
@@ -159,11 +159,13 @@ def solve(scored: DataFrame, prior: np.ndarray, heat: float, targets: np.ndarray
 def mixing_rates(
     docs: DataFrame, labels: DataFrame, keep: dict[str, Column] | None = None, targets: dict[str, float] = TARGETS, domain: Column | None = None,
     id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, strength: float = 1.0, least_evidence: float = 15.0, rounds: int = 60, tolerance: float = 1e-4,
+    least: dict[str, float] | None = None,
 ) -> DataFrame:
     """Per input row the columns of ``keep`` (the id), ``n_tokens``, ``p_<domain>`` per domain and ``rate``.
 
     The rate says how often a document is taken so that the expected tokens of every domain come to its target
-    share of all tokens, as nearly as rates of 0 or more allow; rates start at 1. Labels without id or mark are not
+    share of all tokens, as nearly as rates of 0 or more allow, and for documents whose most likely domain (the first
+    of equals) is in ``least`` rates of that value, 1 at most, or more; rates start at 1. Labels without id or mark are not
     learned from; an id with several labels counts once for each. Null and empty texts have no tokens, the prior as
     posterior and rate 1. Without labels posteriors are equal. Repeated rows count each. Shares are scaled to sum to
     1. An empty table gives no rows. Columns in ``keep`` win over new ones with the same name: name them otherwise.
@@ -191,12 +193,13 @@ def mixing_rates(
 
     tokens = scored.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     shares = np.array([targets[x] for x in names], np.float64)
-    steps = solve(scored, prior, heat, shares / shares.sum() * tokens, rounds, tolerance)
+    low = np.array([(least or {}).get(x, 0.0) for x in names])
+    steps = solve(scored, prior, heat, shares / shares.sum() * tokens, low, rounds, tolerance)
 
     def rated(batches):
         for batch in batches:
             p = _posterior(_cells(batch, batch.num_columns - 1, n), prior, heat)
-            r = _rates(_expected(batch, prior, heat), steps)
+            r = _rates(*_expected(batch, prior, heat, low), steps)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(list(p), pa.list_(pa.float64())), pa.array(r)], [*held, "n_tokens", "_p", "rate"]
             )

@@ -176,6 +176,35 @@ def test_mixing_reaches_targets(spark, docs_of):
     assert np.allclose(got[[f"p_{x}" for x in targets]].sum(axis=1), 1)
 
 
+def test_copies_meet_the_rates(spark, docs_of, tmp_path):
+    """Copies come to the rates in sum, a rate below one half is not 0, and what is most likely clean stays."""
+    import corpus_pipeline
+
+    for rate in (0.0, 0.3, 0.5, 1.0, 1.7, 3.2):
+        number = F.xxhash64(F.col("id"), F.lit("text"))
+        got = spark.range(20_000).select(corpus_pipeline.copies(F.lit(rate), number).alias("n")).agg(F.avg("n"), F.min("n"), F.max("n")).first()
+        assert abs(got[0] - rate) < 0.015 and got[1] == int(rate) and got[2] <= int(rate) + 1
+    rng = random.Random(9)
+    kinds = {"clean": ["lorem", "ipsum", "dolor"], "toxic": ["grr", "argh"], "low": ["buy", "now"]}
+    rows, marks, kind_of = [], [], {}
+    for i in range(600):
+        kind_of[i] = kind = rng.choice(["clean"] * 6 + ["toxic", "low"])
+        sure = rng.random() < 0.8  # the others have nothing but their prior
+        words = [rng.choice(["the", "a", "of", "in"]) for _ in range(rng.randint(20, 300))]
+        rows.append((i, " ".join(words + (rng.sample(kinds[kind], 2) if sure else []))))
+        if i % 2:
+            marks.append((i, int(kind != "low"), int(kind == "toxic")))
+    docs, labels = docs_of(rows), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rated = {r["doc_id"]: r for r in mixing.mixing_rates(docs, labels, least={"clean": 1.0}).collect()}
+    clean = {i for i, r in rated.items() if r["p_clean"] >= max(r["p_low"], r["p_toxic"])}
+    assert any(rated[i]["p_clean"] < 0.8 for i in clean) and all(rated[i]["rate"] >= 1 for i in clean)
+    out = {r["doc_id"]: r for r in corpus_pipeline.mixed(spark, docs, str(tmp_path)).collect()}
+    assert clean <= set(out) and all(abs(r["rate"] - rated[i]["rate"]) < 1e-9 and -1 < r["copies"] - r["rate"] < 1 for i, r in out.items())
+    solved, taken = (sum(n * rated[i]["n_tokens"] for i, n in what) for what in (((i, r["rate"]) for i, r in rated.items()), ((i, r["copies"]) for i, r in out.items())))
+    assert abs(taken - solved) < 0.05 * solved
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "mit license"), (2, None)], "item_id bigint, text string")
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
