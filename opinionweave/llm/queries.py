@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_tools, decontaminate, language, licenses, line_dedup, merkle, mixing, ngram_join, oracles, quality, suffix_tree
+from . import chat_tools, covering, decontaminate, language, licenses, line_dedup, merkle, mixing, ngram_join, oracles, quality, suffix_tree
 from .common import remainder, table
 
 QUERIES: dict = {}
@@ -73,3 +73,8 @@ def op8(spark, sf_dir):
 @query("op4_mixing_rates")
 def op4(spark, sf_dir):
     return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_simhash_near_dedup")
+def op13(spark, sf_dir):
+    return covering.simhash_components(table(spark, sf_dir, "documents"))
