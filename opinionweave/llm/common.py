@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +41,28 @@ def shared(spark: SparkSession, model) -> Callable[[], object]:
 
     return get
 
+
+
+def bitmap_of(rows: DataFrame, hashed: Column, bits: int) -> DataFrame:
+    """(part, map): a bitmap of 2^``bits`` places that marks the low bits of the hashes, in parts of 32,768 places."""
+    place = hashed.bitwiseAND(F.lit((1 << bits) - 1))
+    marked = rows.select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(F.lit(32767)).alias("place"))
+    return marked.groupBy("part").agg(F.bitmap_construct_agg("place").alias("map"))
+
+
+class Marked:
+    """Which hashes the bitmap marks; others may share a place with one that it does."""
+
+    def __init__(self, parts: list, bits: int):
+        self.mask, self.map = (1 << bits) - 1, np.zeros(max(1, 1 << bits >> 3), np.uint8)
+        for part, places in parts:
+            self.map[part * 4096 : part * 4096 + len(places)] = np.frombuffer(places, np.uint8)[: len(self.map)]
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes & self.mask
+        return (self.map[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def shared_bits(spark: SparkSession, parts: DataFrame, bits: int) -> Callable[[], Marked]:
+    """The bitmap, of a size that ``bits`` alone sets, inside the tasks."""
+    return shared(spark, Marked([(r[0], bytes(r[1])) for r in parts.collect()], bits))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_tools, covering, decontaminate, language, licenses, line_dedup, merkle, mixing, ngram_join, oracles, quality, suffix_tree
+from . import chat_tools, covering, decontaminate, impact_search, language, licenses, line_dedup, merkle, mixing, ngram_join, oracles, quality, suffix_tree
 from .common import remainder, table
 
 QUERIES: dict = {}
@@ -78,3 +78,8 @@ def op4(spark, sf_dir):
 @query("op13_simhash_near_dedup")
 def op13(spark, sf_dir):
     return covering.simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query("op12_ranked_search", oracles.RANKED)
+def op12(spark, sf_dir):
+    return impact_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
