@@ -112,3 +112,34 @@ x AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf +
   FROM q JOIN w USING (term) JOIN tf USING (term), s GROUP BY ALL),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM x WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10"""
+
+
+def _grams(k: int) -> str:
+    return (
+        f"g{k} AS (SELECT lang, g, count(*) AS a FROM (SELECT lang, unnest(list_transform(range(1, len(ws) - {k - 2}), lambda i: list_slice(ws, i, i + {k - 1}))) AS g "
+        f"FROM p WHERE len(ws) >= {k}) GROUP BY ALL HAVING count(*) >= 10)"
+    )
+
+
+def _cut(a: str, left: str, right: str) -> str:
+    return f"CAST((CAST({a} AS HUGEINT) * {a} * 1000000) // (CAST({left} AS HUGEINT) * {right}) AS BIGINT)"
+
+
+COLLOCATIONS = f"""
+WITH q AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM q),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+{_grams(1)}, {_grams(2)}, {_grams(3)},
+s AS (SELECT lang, g, max(a) AS longer FROM (SELECT lang, list_slice(g, 1, 2) AS g, a FROM g3 UNION ALL SELECT lang, list_slice(g, 2, 3) AS g, a FROM g3) GROUP BY ALL),
+c AS (
+  SELECT g2.lang, g2.g, g2.a, x.a AS l, y.a AS r, {_cut('g2.a', 'x.a', 'y.a')} AS score
+  FROM g2 JOIN g1 x ON x.lang = g2.lang AND x.g = list_slice(g2.g, 1, 1) JOIN g1 y ON y.lang = g2.lang AND y.g = list_slice(g2.g, 2, 2)
+  LEFT JOIN s ON s.lang = g2.lang AND s.g = g2.g WHERE s.longer IS NULL OR 100 * s.longer < 50 * g2.a
+  UNION ALL
+  SELECT lang, g, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM (
+    SELECT g3.lang, g3.g, g3.a, x.a AS l1, y.a AS r1, u.a AS l2, v.a AS r2, {_cut('g3.a', 'x.a', 'y.a')} AS s1, {_cut('g3.a', 'u.a', 'v.a')} AS s2
+    FROM g3 JOIN g1 x ON x.lang = g3.lang AND x.g = list_slice(g3.g, 1, 1) JOIN g2 y ON y.lang = g3.lang AND y.g = list_slice(g3.g, 2, 3)
+    JOIN g2 u ON u.lang = g3.lang AND u.g = list_slice(g3.g, 1, 2) JOIN g1 v ON v.lang = g3.lang AND v.g = list_slice(g3.g, 3, 3))),
+k AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) WHERE rank <= 2000"""

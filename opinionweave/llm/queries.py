@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_tools, covering, decontaminate, impact_search, language, licenses, line_dedup, merkle, mixing, ngram_join, oracles, quality, suffix_tree
+from . import chat_tools, collocations, covering, decontaminate, impact_search, language, licenses, line_dedup, merkle, mixing, ngram_join, oracles, quality, suffix_tree
 from .common import remainder, table
 
 QUERIES: dict = {}
@@ -83,3 +83,8 @@ def op13(spark, sf_dir):
 @query("op12_ranked_search", oracles.RANKED)
 def op12(spark, sf_dir):
     return impact_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_phrase_collocations", oracles.COLLOCATIONS)
+def op11(spark, sf_dir):
+    return collocations.phrase_collocations(table(spark, sf_dir, "documents"))
