@@ -30,11 +30,37 @@ def run(v: Views, name: str, stream: DataFrame) -> DataFrame:
     return v.spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-@query("stream_mention_dedup", with_views("mentions") + " SELECT DISTINCT external_id FROM mentions")
+@query(
+    "stream_mention_dedup",
+    with_views("mentions") + """ SELECT event_id, project_id, external_id, source, published_at, author, engagement, sentiment, narrative, topic_id
+    FROM (SELECT *, row_number() OVER (PARTITION BY project_id, external_id ORDER BY published_at, event_id) AS rn FROM mentions) WHERE rn = 1""",
+)
 def stream_mention_dedup(v: Views) -> DataFrame:
-    # the repeated id may sit in another project, so the key is the external id alone
-    out = ms.dedup_mentions(StreamViews(v).mentions(), ["external_id"])
-    return run(v, "mention-dedup", out.select("external_id"))
+    """A repeated id in another project stays."""
+    rows = StreamViews(v).mentions().select(
+        "event_id", "project_id", "external_id", "source", "published_at", "author", "engagement", "sentiment", "narrative", "topic_id"
+    )
+    path = fresh_path(v.spark, "mention-dedup")
+    ms.ingest_mentions(rows, f"{path}/out", f"{path}/offsets", ["project_id", "external_id"], ["published_at", "event_id"]).awaitTermination()
+    out = v.spark.read.parquet(f"{path}/out").drop("batch")
+    return out.withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+
+
+@query(
+    "stream_author_sessions",
+    with_views("mentions") + """, g AS (SELECT *, CASE WHEN published_at - lag(published_at) OVER w < INTERVAL 1 DAY THEN 0 ELSE 1 END AS opens
+      FROM mentions WINDOW w AS (PARTITION BY project_id, author ORDER BY published_at, event_id)),
+    n AS (SELECT *, sum(opens) OVER (PARTITION BY project_id, author ORDER BY published_at, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
+    SELECT project_id, author, min(published_at) AS session_start, max(published_at) AS session_end, count(*) AS mentions,
+      CAST(sum(engagement) AS BIGINT) AS engagement, round(avg(sentiment), 6) AS mean_sentiment
+    FROM n GROUP BY project_id, author, session HAVING max(published_at) + INTERVAL 1 DAY <= (SELECT max(published_at) - INTERVAL 1 DAY FROM mentions)""",
+)
+def stream_author_sessions(v: Views) -> DataFrame:
+    out = run(v, "author-sessions", ms.author_sessions(StreamViews(v).mentions()))
+    return out.withColumns({
+        "session_start": F.col("session_start").cast("timestamp_ntz"), "session_end": F.col("session_end").cast("timestamp_ntz"),
+        "mean_sentiment": F.round("mean_sentiment", 6),
+    })
 
 
 @query(
@@ -63,7 +89,7 @@ def stream_momentum(v: Views) -> DataFrame:
 
 
 def respondent_documents(v: Views) -> DataFrame:
-    """Orders as nested respondent documents with their eight answers."""
+    """Orders as nested respondent documents with their eight answers; a customer who orders again in a year repeats."""
     key = F.col("o_orderkey")
 
     def answer(q):
@@ -79,9 +105,10 @@ def respondent_documents(v: Views) -> DataFrame:
     return v.raw("orders").select(
         F.lit("org").alias("org_id"),
         F.year("o_orderdate").cast("string").alias("survey_id"),
-        F.col("o_orderdate").cast("timestamp").alias("completed_at"),
+        # no two at the same time
+        F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + key).alias("completed_at"),
         F.struct(
-            key.cast("string").alias("anon_code"), nothing.alias("age_band"), F.col("o_orderstatus").alias("gender"),
+            F.col("o_custkey").cast("string").alias("anon_code"), nothing.alias("age_band"), F.col("o_orderstatus").alias("gender"),
             nothing.alias("education"), nothing.alias("occupation"), nothing.alias("province_code"),
             F.col("o_orderpriority").alias("urbanicity"), F.floor(F.col("o_totalprice") / 400).cast("int").alias("duration_sec"),
         ).alias("respondent"),
@@ -91,19 +118,30 @@ def respondent_documents(v: Views) -> DataFrame:
 
 @query(
     "stream_respondent_ingest",
-    with_views("responses") + f""", r AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS survey_id, CAST(o_orderkey AS VARCHAR) AS anon_code, o_orderkey AS respondent_id, CAST(floor(o_totalprice/400) AS INTEGER) AS dur FROM orders),
-    m AS (SELECT survey_id, quantile_cont(dur, 0.5) AS med FROM r GROUP BY 1),
+    with_views("responses") + f""", r AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS survey_id, CAST(o_custkey AS VARCHAR) AS anon_code, o_orderkey AS respondent_id,
+      CAST(floor(o_totalprice/400) AS INTEGER) AS dur, (month(o_orderdate) + 5) // 6 AS half, o_orderdate FROM orders),
+    k AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY survey_id, anon_code) AS sent FROM r WINDOW w AS (PARTITION BY survey_id, anon_code ORDER BY o_orderdate, respondent_id)),
+    m AS (SELECT survey_id, h.half, quantile_cont(dur, 0.5) AS med FROM k JOIN (VALUES (1), (2)) h(half) ON k.half <= h.half WHERE rn = 1 GROUP BY ALL),
     f AS (SELECT respondent_id, min(value_num) = max(value_num) AS flat, stddev_pop(value_num) < 0.25 AS low FROM responses GROUP BY 1),
-    j AS (SELECT survey_id, anon_code, med > 0 AND dur < med*CAST(0.35 AS DOUBLE) AS speed, flat, low AND NOT flat AS low FROM r JOIN m USING (survey_id) JOIN f USING (respondent_id))
-    SELECT survey_id, anon_code, CAST(100 - CASE WHEN speed THEN 30 ELSE 0 END - CASE WHEN flat THEN 35 WHEN low THEN 10 ELSE 0 END AS INTEGER) AS quality_score,
-      {joined(('SPEEDING', 'speed'), ('STRAIGHT_LINING', 'flat'))} AS quality_flags FROM j""",
+    j AS (SELECT survey_id, anon_code, sent, half, med > 0 AND dur < med*CAST(0.35 AS DOUBLE) AS speed, flat, low AND NOT flat AS low
+      FROM k JOIN m USING (survey_id, half) JOIN f USING (respondent_id) WHERE rn = 1)
+    SELECT survey_id, anon_code, CAST(half - 1 AS INTEGER) AS batch, CAST(100 - CASE WHEN speed THEN 30 ELSE 0 END - CASE WHEN flat THEN 35 WHEN low THEN 10 ELSE 0 END AS INTEGER) AS quality_score,
+      {joined(('SPEEDING', 'speed'), ('STRAIGHT_LINING', 'flat'))} AS quality_flags, sent - 1 AS repeats FROM j""",
 )
 def stream_respondent_ingest(v: Views) -> DataFrame:
+    """The documents of each half of the year land and are ingested one after the other; repeats are rejected in both."""
     root = fresh_path(v.spark, "respondent-ingest")
     cores = v.spark.sparkContext.defaultParallelism
-    ingest_stream(respondent_documents(StreamViews(v)), root, f"{root}/offsets", cores).awaitTermination()
-    return v.spark.read.parquet(f"{root}/respondents").select(
-        "survey_id", "anon_code", "quality_score", F.array_join("quality_flags", ",").alias("quality_flags")
+    docs = respondent_documents(v)
+    for half in (1, 2):
+        docs.filter(F.ceil(F.month("completed_at") / 6) == half).write.mode("append").parquet(f"{root}/landing")
+        landing = v.spark.readStream.schema(docs.schema).parquet(f"{root}/landing")
+        ingest_stream(landing, root, f"{root}/offsets", cores).awaitTermination()
+    repeats = v.spark.read.parquet(f"{root}/rejected_documents").groupBy("survey_id", "anon_code").agg(F.count(F.lit(1)).alias("repeats"))
+    people = v.spark.read.parquet(f"{root}/respondents").join(repeats, ["survey_id", "anon_code"], "left")
+    return people.select(
+        "survey_id", "anon_code", "batch", "quality_score", F.array_join("quality_flags", ",").alias("quality_flags"),
+        F.coalesce("repeats", F.lit(0)).alias("repeats"),
     )
 
 

@@ -289,6 +289,27 @@ def dataset_quality(counts: DataFrame) -> DataFrame:
     return out.withColumn("overall", half_even(overall / sum(C.DATASET_WEIGHTS.values()), 0).cast("int"))
 
 
+def scored_respondents(people: DataFrame, medians: DataFrame) -> DataFrame:
+    """Respondents with score and flags out of their ``answers`` and the medians (survey_id, _med) of their surveys.
+
+    All answers of a respondent sit in one row, so they are summed up inside it, without a shuffle.
+    """
+    columns = [c for c in people.columns if c != "answers"]
+    values = F.array_compact(F.transform("answers", lambda a: a["value_num"]))
+    mean = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x) / F.col("scale_items")
+    squares = F.aggregate("_v", F.lit(0.0), lambda s, x: s + (x - F.col("_mean")) * (x - F.col("_mean")))
+    scored = (
+        people.withColumn("_v", values)
+        .withColumn("scale_items", F.size("_v"))
+        .withColumn("_mean", F.when(F.col("scale_items") > 0, mean))
+        .withColumn("_sd", F.when(F.col("scale_items") > 0, F.sqrt(squares / F.col("scale_items"))))
+        .withColumn("_lo", F.array_min("_v"))
+        .withColumn("_hi", F.array_max("_v"))
+        .join(medians, "survey_id", "left")
+    )
+    return scored.select(*columns, *quality_columns(F.lit(False))).drop("scale_items", "median_duration_sec", "reasons")
+
+
 def ingest_batch(
     docs: DataFrame, stored_respondents: DataFrame | None = None, spread: int | None = None
 ) -> dict[str, DataFrame]:
@@ -322,23 +343,8 @@ def ingest_batch(
     if stored_respondents is not None:
         durations = durations.unionByName(stored_respondents.select("survey_id", "duration_sec"))
     medians = median_duration(durations).withColumnRenamed("median_duration_sec", "_med")
-    values = F.array_compact(F.transform("answers", lambda a: a["value_num"]))
-    mean = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x) / F.col("scale_items")
-    squares = F.aggregate("_v", F.lit(0.0), lambda s, x: s + (x - F.col("_mean")) * (x - F.col("_mean")))
-    people = (
-        kept.withColumn("_v", values)
-        .withColumn("scale_items", F.size("_v"))
-        .withColumn("_mean", F.when(F.col("scale_items") > 0, mean))
-        .withColumn("_sd", F.when(F.col("scale_items") > 0, F.sqrt(squares / F.col("scale_items"))))
-        .withColumn("_lo", F.array_min("_v"))
-        .withColumn("_hi", F.array_max("_v"))
-        .join(medians, "survey_id", "left")
-    )
-    columns = [c for c in kept.columns if c != "answers"]
     return {
-        "respondents": people.select(*columns, *quality_columns(F.lit(False))).drop(
-            "scale_items", "median_duration_sec", "reasons"
-        ),
+        "respondents": scored_respondents(kept, medians),
         "responses": good,
         "rejected_documents": rejected,
         "rejected_responses": bad,

@@ -49,3 +49,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def list_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in any store that Spark reads."""
+    at, files = _files(spark, pattern)
+    return [f.getPath().toString() for f in files.globStatus(at) or ()]
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    at, files = _files(spark, path)
+    files.delete(at, True)

@@ -44,16 +44,18 @@ def _middle(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> Data
 
 
 def median_of_integers(
-    df: DataFrame, keys: Sequence[str], value: str, name: str = "median"
+    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", count: Column | None = None
 ) -> DataFrame:
     """Exact interpolated median of a 32-bit integer column per group; NULLs ignored.
 
+    Each row stands for ``count`` equal ones, if given.
+
     Rows are first counted per distinct value, combined on the map side, and kept.
     The middle is located among buckets of 65,536 values, then among the values of
     the bucket, so no task holds more than 65,536 rows of a group.
     """
     counts = cut_lineage(
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count(F.lit(1)) if count is None else F.sum(count)).alias("_w"))
     )
     counts = counts.withColumn("_bucket", F.floor(F.col(value) / BUCKET_WIDTH))
     buckets = counts.groupBy(*keys, "_bucket").agg(F.sum("_w").alias("_c"))

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_even
+from ..sources.sinks import overwrite_partitions
+from .arrivals import each_batch
 
 
 def event_time(df: DataFrame, column: str = "published_at") -> DataFrame:
@@ -26,6 +28,48 @@ def dedup_mentions(
     return event_time(mentions, time).withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def ingest_mentions(
+    mentions: DataFrame,
+    path: str,
+    checkpoint: str,
+    keys: Sequence[str] = ("project_id", "connector", "external_id"),
+    order: Sequence[str] = ("published_at",),
+):
+    """Start a stream that stores the whole row of the first arrival per key, over all batches.
+
+    Unlike ``dedup_mentions`` it forgets no key, and which row of a batch is kept does not depend on the partitions.
+    The table is partitioned by batch number, so a batch that is run again replaces itself.
+    """
+
+    def write(first: DataFrame, repeats: DataFrame, number: int) -> None:
+        overwrite_partitions(first.withColumn("batch", F.lit(number)), path, ["batch"])
+
+    return each_batch(mentions, [F.col(k) for k in keys], order, checkpoint, write)
+
+
+def author_sessions(
+    mentions: DataFrame,
+    keys: Sequence[str] = ("project_id", "author"),
+    time: str = "published_at",
+    gap: str = "1 day",
+    delay: str = "1 day",
+) -> DataFrame:
+    """Sessions per author: mentions with less than ``gap`` between one and the next; a session appears once it is closed.
+
+    ``session_end`` is the last mention; mentions later than the watermark are left out.
+    """
+    return (
+        event_time(mentions, time)
+        .withWatermark(time, delay)
+        .groupBy(F.session_window(time, gap).alias("w"), *keys)
+        .agg(
+            F.count(F.lit(1)).alias("mentions"), F.max(time).alias("session_end"), F.sum("engagement").alias("engagement"),
+            F.avg("sentiment").alias("mean_sentiment"),
+        )
+        .select(*keys, F.col("w.start").alias("session_start"), "session_end", "mentions", "engagement", "mean_sentiment")
+    )
+
+
 def weekly_signals(
     mentions: DataFrame,
     keys: Sequence[str] = ("project_id", "source"),
