@@ -157,23 +157,14 @@ def exact_dedup(v: Views) -> DataFrame:
     return text.exact_duplicates(v.raw("documents"))
 
 
-_KEYS = ", ".join(
-    f"({b}, concat_ws('-', {', '.join(f'm[{(i + k) % 16 + 1}]' for k in range(n))}))"
-    for b, (i, n) in enumerate([(i, 2) for i in range(0, 16, 2)] + [(i, 4) for i in range(0, 16, 2)])
-)
-
-
 @query(
     "near_dedup_minhash",
-    f"""WITH RECURSIVE d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents),
+    """WITH RECURSIVE d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents),
     f AS (SELECT t, min(doc_id) AS id FROM d GROUP BY 1), w AS (SELECT id, string_split(t, ' ') AS w FROM f WHERE t IS NOT NULL),
-    s AS (SELECT id, list_distinct(list_transform(range(greatest(1, len(w) - 2)), lambda i: md5(array_to_string(w[i + 1:i + 3], ' ')))) AS s FROM w),
-    m AS (SELECT id, list_transform(string_split('0123456789abcdef', ''), lambda c: coalesce(list_min(list_filter(s, lambda h: h[1] = c)), '')) AS m FROM s),
-    k AS (SELECT id, unnest([{_KEYS}]) AS k FROM m), b AS (SELECT id, k[1] AS band, k[2] AS key FROM k WHERE length(k[2]) > 3),
-    l AS (SELECT band, key, min(id) AS leader FROM b GROUP BY 1, 2),
-    p AS (SELECT DISTINCT id, leader FROM b JOIN l USING (band, key) WHERE id <> leader),
-    e AS (SELECT p.id AS a, leader AS b FROM p JOIN s x ON x.id = p.id JOIN s y ON y.id = leader
-          WHERE len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) >= 0.8),
+    s AS (SELECT id, list_distinct(list_transform(range(greatest(1, len(w) - 4)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s FROM w),
+    u AS (SELECT id, len(s) AS n, unnest(s) AS h FROM s),
+    o AS (SELECT x.id AS a, y.id AS b, any_value(x.n) + any_value(y.n) AS n, count(*) AS c FROM u x JOIN u y ON x.h = y.h AND x.id < y.id GROUP BY 1, 2),
+    e AS (SELECT a, b FROM o WHERE c / (n - c) >= 0.8),
     g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
     r AS (SELECT id, id AS o FROM s UNION SELECT r.id, g.b FROM r JOIN g ON g.a = r.o),
     c AS (SELECT id, min(o) AS canonical_id FROM r GROUP BY 1)

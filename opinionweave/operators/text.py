@@ -25,45 +25,66 @@ def exact_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text"
     )
 
 
-def shingles(text: Column, size: int = 3) -> Column:
-    """Set of hashed runs of ``size`` words over the whole text; a shorter text is one run."""
+def shingles(text: Column, size: int = 5) -> Column:
+    """Set of 64-bit hashes of the runs of ``size`` words over the whole text; a shorter text is one run."""
 
     def runs(words: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - size))
-        return F.transform(starts, lambda i: F.md5(F.array_join(F.slice(words, i + 1, F.lit(size)), " ")))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)]))
 
-    # the text is split once, not once per shingle
-    return F.when(text.isNotNull(), F.array_distinct(bind(F.split(normalised(text), " "), runs)))
+    # the text is split and its words are hashed once, not once per shingle; a place past the end changes no hash
+    words = F.transform(F.split(normalised(text), " "), lambda w: F.xxhash64(w))
+    return F.when(text.isNotNull(), F.array_distinct(bind(words, runs)))
 
 
-DIGITS = "0123456789abcdef"
+#: Rows of a prefix bucket that are all compared; of larger buckets, rows of a chunk.
+SMALL, CHUNK = 16, 256
 
 
-def band_keys(sets: DataFrame) -> DataFrame:
-    """(id, band, key): MinHash in one permutation.
+def prefix_keys(sets: DataFrame, threshold: float) -> DataFrame:
+    """(h, id, n, left): prefix shingles of every set (id, s), rarest first, that other sets have, too.
 
-    The first digit of a hash deals it into one of 16 bins, whose least hashes are the signature. Two bins are a
-    band, and two neighbouring bands are one more, narrower key; bins that are all empty give none.
+    Linked sets share a shingle of both prefixes, the first n - ceil(threshold n) + 1 in the order of frequency. ``left``
+    counts the shared shingles from this one on, which bounds the overlap of two sets that meet here first. A shingle
+    that no other set has stands first in its prefix and meets nobody, so a set with enough of them has no rows.
     """
-    least = sets.select("id", F.explode("s").alias("h")).groupBy("id").agg(
-        *[F.min(F.when(F.substring("h", 1, 1) == d, F.col("h"))).alias(f"m{d}") for d in DIGITS]
-    )
-    bins = [F.coalesce(F.col(f"m{d}"), F.lit("")) for d in DIGITS]
-    keys = [F.concat_ws("-", *bins[i : i + 2]) for i in range(0, 16, 2)] + [F.concat_ws("-", *(bins * 2)[i : i + 4]) for i in range(0, 16, 2)]
-    listed = F.array(*[F.struct(F.lit(b).alias("band"), F.md5(k).alias("key"), (F.length(k) > 3).alias("some")) for b, k in enumerate(keys)])
-    return least.select("id", F.explode(listed).alias("b")).filter("b.some").select("id", "b.band", "b.key")
+    each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
+    several = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = each.join(several, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    # no more shared shingles may be passed over than the prefix has places beside the unshared ones
+    places = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.size("shared"))
+    known = shared.withColumn("places", places.cast("int")).filter("places > 0")
+    return known.select(
+        "id", "n", F.size("shared").alias("m"), F.posexplode(F.slice("shared", F.lit(1), F.col("places"))).alias("p", "x")
+    ).select("x.h", "id", "n", (F.col("m") - F.col("p")).alias("left"))
+
+
+def _able(a: str, b: str, threshold: float) -> Column:
+    """Sizes and shared shingles of two sets that meet in a bucket leave a similarity of ``threshold`` possible."""
+    n, left = (F.col(f"{a}.n"), F.col(f"{b}.n")), F.least(F.col(f"{a}.left"), F.col(f"{b}.left"))
+    return (left >= (n[0] + n[1]) * (threshold / (1 + threshold)) - 1e-9) & (F.least(*n) >= F.greatest(*n) * threshold - 1e-9)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of ``threshold`` or more; a set may be in very many of them."""
+    left, right = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    both = salted_join(salted_join(pairs, left, ["a"], ["b"], sparse=True), right, ["b"], ["a"], sparse=True)
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(common / (F.size("sa") + F.size("sb") - common) >= threshold).select("a", "b")
 
 
 def near_duplicates(
-    docs: DataFrame, row_id: str = "doc_id", text: str = "text", threshold: float = 0.8, shingle_size: int = 3, spread: int | None = None,
+    docs: DataFrame, row_id: str = "doc_id", text: str = "text", threshold: float = 0.8, shingle_size: int = 5, spread: int | None = None,
+    small: int = SMALL, chunk: int = CHUNK,
 ) -> DataFrame:
-    """(row_id, canonical_id): the smallest id among the texts that verified links lead to.
-
-    Every text is compared with the first text of each of its band buckets, and linked if their word shingles have
-    a Jaccard similarity of ``threshold`` or more; components of the links share a canonical text. So comparisons
-    are linear in the bucket rows however large a bucket is, its minimum is combined before the shuffle, and rounds
-    grow with the logarithm of the links. Exact copies are collapsed first. A row without text is nobody's copy.
-    ``spread`` redistributes the texts over that many tasks first, for inputs with fewer file splits than cores.
+    """(row_id, canonical_id): the smallest id among the texts that links lead to, with every link counted.
+
+    Texts are linked if their word shingles have a Jaccard similarity of ``threshold`` or more. Pairs come from a
+    self-join on prefix shingles with bounds on sizes and overlap, and are verified. Buckets of up to ``small`` sets give
+    all their pairs. In a larger one everyone first meets the bucket's first set; after that only pairs of sets in
+    different components are left to test, so a group of copies of any size costs linear work. Those pairs are made
+    chunk by chunk, so no task holds a bucket. Exact copies are collapsed first. A row without text is nobody's
+    copy. ``spread`` redistributes the texts over that many tasks first, for inputs with fewer file splits than cores.
     """
     base = docs.select(F.col(row_id).alias("id"), F.col(text).alias("t"))
     if spread:
@@ -73,16 +94,36 @@ def near_duplicates(
     firsts = hashes.groupBy("h").agg(F.min("id").alias("first_id"))
     copies = salted_join(hashes, firsts, ["h"], ["id"], sparse=True).select("id", "first_id")
     # a group of copies may be huge: only its first id is joined back to a text
-    unique = base.join(firsts.select(F.col("first_id").alias("id")), "id", "left_semi")
-    sets = written(unique.select("id", shingles(F.col("t"), shingle_size).alias("s")).filter("s is not null"), "shingles")
-    keys = written(band_keys(sets), "bands")
-    leaders = keys.groupBy("band", "key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").drop("last")
-    pairs = keys.join(leaders, ["band", "key"]).filter("id <> leader").select("id", "leader").distinct()
-    # one leader may face very many texts, so its set is spread
-    led = sets.select(F.col("id").alias("leader"), F.col("s").alias("ls"))
-    both = salted_join(pairs.join(sets, "id"), led, ["leader"], ["id"], sparse=True)
-    common = F.size(F.array_intersect("s", "ls"))
-    links = both.filter(common / (F.size("s") + F.size("ls") - common) >= threshold)
-    roots = components(links.select(F.col("id").alias("a"), F.col("leader").alias("b")))
-    named = copies.join(roots.withColumnRenamed("node", "first_id"), "first_id", "left")
-    return named.select(F.col("id").alias(row_id), F.coalesce("root", "first_id").alias("canonical_id"))
+    unique = base.filter("t is not null").join(firsts.select(F.col("first_id").alias("id")), "id", "left_semi")
+    sets = written(unique.select("id", shingles(F.col("t"), shingle_size).alias("s")), "shingles")
+    keys = written(prefix_keys(sets, threshold), "prefixes")
+    member = F.struct("id", "n", "left")
+    buckets = written(keys.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(member).alias("x")).filter("c > 1"), "buckets")
+    sized = salted_join(keys, buckets, ["h"], ["id"], sparse=True).select("h", "c", "x", member.alias("y"))
+    few = sized.filter(F.col("c") <= small).groupBy("h").agg(F.sort_array(F.collect_list("y")).alias("all"))
+    listed = few.select(F.posexplode("all").alias("p", "x"), "all").select("x", F.explode(F.slice("all", F.col("p") + 2, F.lit(small))).alias("y"))
+    met = listed.unionByName(sized.filter((F.col("c") > small) & (F.col("x.id") != F.col("y.id"))).select("x", "y"))
+    tested = met.filter(_able("x", "y", threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    roots = components(written(_verified(tested, sets, threshold), "links"))
+    # large buckets that hold several components
+    large = salted_join(keys, buckets.filter(F.col("c") > small).select("h"), ["h"], ["id"], sparse=True)
+    placed = large.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = written(placed, "placed")
+    per_root = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = per_root.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("c"), F.max("c").alias("most")).filter("c > most")
+    chunks = lambda c: F.ceil(c / F.lit(chunk)).cast("bigint")
+    mixed = mixed.select("h", "main", chunks(F.col("c")).alias("kj"), chunks(F.col("c") - F.col("most")).alias("ki"))
+    spread_out = salted_join(placed, mixed, ["h"], ["id"], sparse=True).withColumn("v", F.struct("id", "n", "left", "root"))
+    each = lambda k, name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(k) - 1)).alias(name)
+    own = lambda k, name: F.pmod(F.xxhash64("id"), k).alias(name)
+    # of two components at least one is not the bucket's largest
+    others = spread_out.filter("root <> main").select("h", own("ki", "i"), each("kj", "j"), F.col("v").alias("x"))
+    anyone = spread_out.select("h", each("ki", "i"), own("kj", "j"), F.col("v").alias("y"))
+    cross = others.join(anyone, ["h", "i", "j"]).filter("x.root <> y.root").filter(_able("x", "y", threshold))
+    cross = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    more = _verified(cross, sets, threshold)
+    rooted = placed.select("id", "root").distinct()
+    between = more.join(rooted.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(rooted.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
+    merged = components(written(between.select(F.col("ra").alias("a"), F.col("rb").alias("b")), "merged")).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    named = copies.join(roots.withColumnRenamed("node", "first_id"), "first_id", "left").withColumn("old", F.coalesce("root", "first_id"))
+    return named.join(merged, "old", "left").select(F.col("id").alias(row_id), F.coalesce("new", "old").alias("canonical_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from opinionweave.operators import text, vectors
 
 
-def shingle_set(t, size=3):
+def shingle_set(t, size=5):
     words = " ".join(t.lower().split()).split(" ")
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
@@ -34,8 +34,9 @@ def corpus():
     return docs
 
 
-def test_near_duplicates_are_verified_components(spark, corpus):
-    sets = {i: shingle_set(t) for i, t in corpus}
+def all_links(docs, size=5):
+    """Smallest id of every text's component, by all pairs."""
+    sets = {i: shingle_set(t, size) for i, t in docs}
     root = {i: i for i in sets}
 
     def find(x):
@@ -48,20 +49,43 @@ def test_near_duplicates_are_verified_components(spark, corpus):
             if j < i and jaccard(sets[i], sets[j]) >= 0.8:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    df = spark.createDataFrame(corpus, "doc_id long, text string")
-    out = {r.doc_id: r.canonical_id for r in text.near_duplicates(df, spread=4).collect()}
-    assert out == {r.doc_id: r.canonical_id for r in text.near_duplicates(df.repartition(7)).collect()}
-    # no link is made up, and hardly one is missed
-    assert set(out) == set(sets) and all(find(i) == find(c) and c <= i for i, c in out.items())
-    assert sum(out[i] == find(i) for i in sets) >= 0.98 * len(sets)
+    return {i: find(i) for i in sets}
 
 
-def test_unlike_texts_in_one_bucket(spark):
-    """Texts that share the least hashes of all bins but little else: linear work, no links."""
+@pytest.mark.parametrize(("small", "chunk"), [(16, 256), (1, 3)])
+def test_near_duplicates_are_all_links(spark, corpus, small, chunk):
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    out = {r.doc_id: r.canonical_id for r in text.near_duplicates(df, spread=4, small=small, chunk=chunk).collect()}
+    assert out == all_links(corpus)
+    if small == 1:
+        assert out == {r.doc_id: r.canonical_id for r in text.near_duplicates(df.repartition(7), shingle_size=5, small=2, chunk=2).collect()}
+
+
+def test_links_between_others_than_the_first(spark):
+    """Chains in which neighbours are linked and the ends are not, all in the buckets of one passage."""
+    rnd = random.Random(5)
+    docs = []
+    for c in range(6):
+        words = [f"p{i}" for i in range(80)] + [f"c{c}x{i}" for i in range(6)]
+        for step in range(12):
+            words[rnd.randrange(80, 86)] = f"c{c}s{step}"
+            if step % 3 == 0:
+                words[rnd.randrange(0, 80)] = f"c{c}t{step}"
+            docs.append((1000 * rnd.randrange(1000) + len(docs), " ".join(words)))
+    want = all_links(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.canonical_id for r in text.near_duplicates(df, small=3, chunk=5).collect()} == want
+    assert 1 < len(set(want.values())) < len(docs)
+
+
+def test_unlike_texts_that_share_a_passage(spark):
+    """Texts with a common passage and little else: bounds leave no pairs, no links."""
     common = " ".join(f"c{i}" for i in range(60))
     rows = [(i, common + " " + " ".join(f"t{i}x{j}" for j in range(200))) for i in range(300)]
-    out = text.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert all(r.doc_id == r.canonical_id for r in out)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.doc_id == r.canonical_id for r in text.near_duplicates(df).collect())
+    sets = df.select(F.col("doc_id").alias("id"), text.shingles(F.col("text")).alias("s"))
+    assert text.prefix_keys(sets, 0.8).count() == 0
 
 
 def test_short_and_empty_texts(spark):
