@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, DoubleType
 
-from ..plans.lineage import cut_lineage, written
-from ..plans.ranking import top_n_per_key
+from ..plans.lineage import written
+from ..plans.skew import salted_join
+from .vector_index import cosine_topk  # noqa: F401 (part of this module's interface)
 
 # Query vectors carried to every task in one pass; more queries mean more passes.
 BLOCK_ROWS = 8192
@@ -30,69 +30,6 @@ def _blocks(queries: DataFrame, query_id: str, vector: str):
         yield ids, rows
 
 
-def cosine_topk(
-    base: DataFrame,
-    queries: DataFrame,
-    k: int,
-    base_id: str = "vec_id",
-    query_id: str = "query_id",
-    vector: str = "embedding",
-    digits: int = 6,
-) -> DataFrame:
-    """Exact k nearest base vectors per query (ties by base id).
-
-    Each task multiplies its batches with a bounded block of queries and keeps its
-    own k best per query; only those meet in the shuffle. Further blocks of
-    queries are further passes over the base; the result of each is written before
-    the next is read, so memory does not grow with them.
-    """
-    id_field, q_field = base.schema[base_id], queries.schema[query_id]
-    schema = StructType([
-        StructField(query_id, q_field.dataType), StructField(base_id, id_field.dataType), StructField("similarity", DoubleType()),
-    ])
-    result = None
-    for ids, rows in _blocks(queries, query_id, vector):
-        part = base.filter(F.col(vector).isNotNull()).select(base_id, vector).mapInPandas(_scan_for(ids, rows, k, base_id, query_id, vector, digits), schema)
-        if len(ids) == BLOCK_ROWS:
-            part = written(part, "topk")
-        result = part if result is None else result.unionByName(part)
-    if result is None:
-        return base.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    return top_n_per_key(result, [query_id], [F.col("similarity").desc(), F.col(base_id).asc()], k, "rank", spread_by=[base_id])
-
-
-def _scan_for(ids, rows, k, base_id, query_id, vector, digits):
-    def scan(batches):
-        import numpy as np
-        import pandas as pd
-
-        def unit(m):
-            norm = np.linalg.norm(m, axis=1, keepdims=True)
-            return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-        q = unit(np.asarray(rows, dtype=float))
-        best = None
-        step = max(1, CELLS // max(1, len(q)))
-        for pdf in (whole.iloc[i : i + step] for whole in batches for i in range(0, len(whole), step)):
-            sims = np.round(unit(np.vstack(pdf[vector].to_numpy()).astype(float)) @ q.T, digits)
-            keep = min(k, len(pdf))
-            bar = np.partition(sims, len(pdf) - keep, axis=0)[len(pdf) - keep]
-            row, query = np.nonzero(sims >= bar)
-            found = pd.DataFrame({
-                "_q": query, base_id: pdf[base_id].to_numpy()[row], "similarity": sims[row, query],
-            })
-            best = found if best is None else pd.concat([best, found])
-            best = best.sort_values(["_q", "similarity", base_id], ascending=[True, False, True]).groupby("_q").head(k)
-        if best is not None:
-            names = pd.Series(ids)
-            yield pd.DataFrame({
-                query_id: names.iloc[best["_q"]].to_numpy(), base_id: best[base_id].to_numpy(),
-                "similarity": best["similarity"].to_numpy(),
-            })
-
-    return scan
-
-
 def nearest_centroid(
     vectors: DataFrame,
     centroids: DataFrame,
@@ -100,6 +37,7 @@ def nearest_centroid(
     topic: str = "topic",
     vector: str = "embedding",
     digits: int = 6,
+    with_vector: bool = False,
 ) -> DataFrame:
     """Topic with the highest cosine per vector (ties to the smaller topic), no shuffle.
 
@@ -114,7 +52,7 @@ def nearest_centroid(
         out = out.mapInPandas(_assign_from(ids, rows, topic, vector, digits), schema)
         if len(ids) == BLOCK_ROWS:
             out = written(out, "assigned")
-    return out.drop(vector)
+    return out if with_vector else out.drop(vector)
 
 
 def _assign_from(ids, rows, topic, vector, digits):
@@ -181,8 +119,8 @@ def kmeans_topics(
     current = [(i, r[1]) for i, r in enumerate(seeds.collect())]
     schema = f"topic bigint, {vector} array<double>"
     for _ in range(rounds):
-        assigned = nearest_centroid(data, vectors.sparkSession.createDataFrame(current, schema), row_id, vector=vector)
-        means = centroids(assigned.select(row_id, "topic").join(data, row_id).filter("topic is not null"), vector=vector)
+        assigned = nearest_centroid(data, vectors.sparkSession.createDataFrame(current, schema), row_id, vector=vector, with_vector=True)
+        means = centroids(assigned.filter("topic is not null"), vector=vector)
         moved = {r["topic"]: r[vector] for r in means.collect()}
         after = [(i, moved.get(i, c)) for i, c in current]
         still = all(max((abs(x - y) for x, y in zip(a[1], b[1])), default=0.0) <= tolerance for a, b in zip(current, after))
@@ -195,26 +133,23 @@ def kmeans_topics(
 def topic_rollup(topics: DataFrame, volumes: DataFrame) -> DataFrame:
     """Own volume and subtree volume per topic.
 
-    ``topics``: topic, parent (NULL for a root). ``volumes``: topic, volume, already
-    one row per topic. The tree is walked upwards level by level; as each level is
-    a step nearer to the roots, more levels than topics mean a cycle, an error.
+    ``topics``: topic, parent (NULL for a root, and like it a parent that is no topic). ``volumes``: topic, volume, already
+    one row per topic. Pointers double: after r rounds a topic has the sum of all topics less than 2^r levels below and
+    points 2^r levels up, where it hands its sum on; so rounds grow with the logarithm of the depth. Pointers that
+    are left after as many levels as there are topics mean a cycle, an error.
     """
     own = topics.join(volumes, "topic", "left").select("topic", "parent", F.coalesce("volume", F.lit(0)).alias("volume"))
-    own = cut_lineage(own)
-    parents = own.select(F.col("topic").alias("at"), F.col("parent").alias("up"))
-    walk = own.select("topic", F.col("topic").alias("ancestor"), "volume", F.col("parent").alias("next"))
-    reached = walk.select("ancestor", "volume")
-    frontier = walk.filter(F.col("next").isNotNull())
-    for _ in range(own.count() + 1):
-        # sums of equal ancestors are merged at every level, so the walk shrinks upwards
-        level = cut_lineage(
-            frontier.groupBy(F.col("next").alias("at")).agg(F.sum("volume").alias("volume")).join(parents, "at")
-        )
-        if level.isEmpty():
+    state = written(own.withColumns({"total": F.col("volume"), "up": F.col("parent")}), "rollup")
+    for _ in range(max(1, state.count()).bit_length() + 1):
+        moving = state.filter("up is not null")
+        if moving.isEmpty():
             break
-        reached = reached.unionByName(level.select(F.col("at").alias("ancestor"), "volume"))
-        frontier = level.filter(F.col("up").isNotNull()).select("volume", F.col("up").alias("next"))
+        # one ancestor may be that of very many: sums are combined before the shuffle, pointers looked up by a salted join
+        handed = moving.groupBy(F.col("up").alias("topic")).agg(F.sum("total").alias("more"))
+        above = salted_join(moving.select("topic", "up"), state.select(F.col("topic").alias("up"), F.col("up").alias("next")), ["up"], ["topic"])
+        after = state.drop("up").join(handed, "topic", "left").join(above.select("topic", "next"), "topic", "left")
+        after = after.select("topic", "parent", "volume", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"), F.col("next").alias("up"))
+        state = written(after, "rollup")
     else:
         raise ValueError("topic tree has a cycle")
-    total = reached.groupBy("ancestor").agg(F.sum("volume").alias("subtree_volume"))
-    return own.join(total, own.topic == total.ancestor).select("topic", "parent", "volume", "subtree_volume")
+    return state.select("topic", "parent", "volume", F.col("total").alias("subtree_volume"))

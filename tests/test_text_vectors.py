@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opinionweave.operators import text, vectors
+from opinionweave.operators import text, vector_index, vectors
 
 
 def shingle_set(t, size=5):
@@ -130,8 +130,8 @@ def sims(a, b):
 
 @pytest.mark.parametrize("block", [8192, 3])
 def test_topk(spark, vecs, monkeypatch, block):
-    monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
-    monkeypatch.setattr(vectors, "CELLS", 20 * block)
+    monkeypatch.setattr(vector_index, "BLOCK_ROWS", block)
+    monkeypatch.setattr(vector_index, "CHUNK_ROWS", 4 * block)
     base, q = vecs
     out = vectors.cosine_topk(frame(spark, base, "vec_id"), frame(spark, q, "query_id"), 5).collect()
     s = sims(base, q)
@@ -139,6 +139,41 @@ def test_topk(spark, vecs, monkeypatch, block):
     assert {(r.query_id, r.rank): r.vec_id for r in out} == want
 
 
+def clustered(n=3000, seed=3):
+    rnd = np.random.default_rng(seed)
+    middle = rnd.normal(size=(40, 16))
+    return middle[rnd.integers(40, size=n) * (rnd.random(n) < 0.7)] + 0.4 * rnd.normal(size=(n, 16))
+
+
+def test_index_recall(spark):
+    """A few of many cells find nearly all of the nearest; all cells find them all. One cell holds a third of the rows."""
+    m = clustered()
+    base = frame(spark, m, "vec_id")
+    asked = base.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id").repartition(2)
+    index = vector_index.build_index(base, cells=32, sample=800)
+    assert {r.id for r in index.chunks.select(F.explode("ids").alias("id")).collect()} == set(range(len(m)))
+    exact = vector_index.cosine_topk(base, asked, 10)
+    s = sims(m, m[::50])
+    want = {(50 * j, r + 1): i for j in range(s.shape[1]) for r, i in enumerate(sorted(range(len(m)), key=lambda i: (-s[i, j], i))[:10])}
+    assert {(r.query_id, r.rank): r.vec_id for r in exact.collect()} == want
+    some = vector_index.index_topk(index, asked, 10, probes=6)
+    measured = vector_index.recall(some, exact).first()
+    assert (measured["queries"], measured["wanted"]) == (60, 600) and 0.9 <= measured["recall"] <= 1
+    every = vector_index.index_topk(index, asked, 10, probes=32).collect()
+    assert {(r.query_id, r.rank): r.vec_id for r in every} == want
+
+
+def test_index_odd_rows(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [2.0, 0.0]), (4, [0.0, 1.0])]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(7, [3.0, 0.0]), (8, None)], "query_id long, embedding array<double>")
+    index = vector_index.build_index(base, cells=4)
+    for found in (vector_index.cosine_topk(base, asked, 3), vector_index.index_topk(index, asked, 3, probes=4)):
+        assert [(r.query_id, r.vec_id, r.similarity) for r in found.orderBy("rank").collect()] == [(7, 1, 1.0), (7, 4, 1.0), (7, 3, 0.0)]
+    nothing = vector_index.build_index(base.limit(0))
+    assert vector_index.index_topk(nothing, asked, 3).collect() == [] and vector_index.cosine_topk(base.limit(0), asked, 3).collect() == []
+
+
 @pytest.mark.parametrize("block", [8192, 3])
 def test_nearest_centroid(spark, vecs, monkeypatch, block):
     monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
@@ -160,6 +195,9 @@ def test_rollup(spark):
     vol = spark.createDataFrame([("a", 1), ("c", 10), ("d", 100), ("b", 1000)], "topic string, volume long")
     got = {r.topic: (r.volume, r.subtree_volume) for r in vectors.topic_rollup(tree, vol).collect()}
     assert got == {"r": (0, 1111), "a": (1, 111), "b": (1000, 1000), "c": (10, 110), "d": (100, 100), "z": (0, 0)}
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(300)] + [(1000, 999)], "topic long, parent long")
+    sums = {r.topic: r.subtree_volume for r in vectors.topic_rollup(chain, chain.select("topic", F.lit(1).alias("volume"))).collect()}
+    assert sums == {i: 300 - i for i in range(300)} | {1000: 1}
     loop = spark.createDataFrame([("a", "b"), ("b", "a")], "topic string, parent string")
     with pytest.raises(ValueError, match="cycle"):
         vectors.topic_rollup(loop, vol)
