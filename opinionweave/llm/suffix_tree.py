@@ -2,9 +2,9 @@
 
 A text is its lower-cased words, joined by one blank, then an end symbol; symbols are UTF-8 bytes. Counts of all
 windows of ``depth`` + 1 symbols over the whole training part are summed by Spark. A context of up to ``depth``
-symbols is a candidate when it makes up ``min_share`` of all symbols, and is retained when its next-symbol
-distribution diverges from that of its longest proper suffix; its suffixes are retained with it. Distributions are
-smoothed towards those of the suffix. For scoring the tree becomes an automaton whose state after each symbol knows
+symbols is a candidate when it makes up ``min_share`` of all symbols. It is retained, with its suffixes, when its next-symbol
+distribution diverges from that of its longest proper suffix: count times divergence, the log likelihood that the
+context gains on the training part, has to reach ``min_evidence``. Distributions are smoothed towards those of the suffix. For scoring the tree becomes an automaton whose state after each symbol knows
 the longest retained context; texts are cut into pieces that start ``depth`` symbols early and run side by side.
 """
 
@@ -24,7 +24,8 @@ from .common import shared, text_bytes
 END = 0xFF  # no byte of UTF-8; also stands before the first symbol
 PIECE = 512
 #: Distinct words, or symbols of text, that a task holds before it hands counts on.
-WORDS_HELD, SYMBOLS_HELD = 300_000, 4 << 20
+WORDS_HELD, SYMBOLS_HELD = 200_000, 1 << 20
+ROWS = 500
 
 
 def _symbols(texts: list[bytes], depth: int) -> np.ndarray:
@@ -51,25 +52,17 @@ def corpus_counts(docs: DataFrame, learn: Column, depth: int, text_col: str = "t
     """(word, code, n): counts of words (code -1; the end is the empty word) and of windows (null word)."""
 
     def run(batches):
-        words, codes, held, size = Counter(), Counter(), [], 0
-
-        def windows():
-            keys, counts = _windows(held, depth)
-            for k, c in zip(keys.tolist(), counts.tolist(), strict=True):
-                codes[k] += c
-            held.clear()
-
-        def rows():
-            out = pa.RecordBatch.from_arrays([
-                pa.array([*words.keys(), *[None] * len(codes)], pa.binary()),
-                pa.array([*[-1] * len(words), *codes.keys()], pa.int64()),
-                pa.array([*words.values(), *codes.values()], pa.int64()),
+        words, held, size = Counter(), [], 0
+
+        def rows(found, codes, counts):
+            return pa.RecordBatch.from_arrays([
+                pa.array([*found.keys(), *[None] * len(codes)], pa.binary()),
+                pa.array(np.r_[np.full(len(found), -1, np.int64), codes]),
+                pa.array([*found.values(), *counts.tolist()], pa.int64()),
             ], ["word", "code", "n"])
-            words.clear()
-            codes.clear()
-            return out
 
-        for batch in batches:
+        none = np.empty(0, np.int64)
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             for text in batch.column(0).to_pylist():
                 found = text.lower().split()
                 words.update(found)
@@ -77,13 +70,14 @@ def corpus_counts(docs: DataFrame, learn: Column, depth: int, text_col: str = "t
                 held.append(b" ".join(found))
                 size += len(held[-1])
                 if size >= SYMBOLS_HELD:
-                    windows()
-                    size = 0
-                if len(words) >= WORDS_HELD or len(codes) >= 2 * WORDS_HELD:
-                    yield rows()
+                    yield rows({}, *_windows(held, depth))
+                    held, size = [], 0
+                if len(words) >= WORDS_HELD:
+                    yield rows(words, none, none)
+                    words.clear()
         if held:
-            windows()
-        yield rows()
+            yield rows({}, *_windows(held, depth))
+        yield rows(words, none, none)
 
     slim = docs.filter(learn).select(text_bytes(text_col).alias("text"))
     return slim.mapInArrow(run, "word binary, code bigint, n bigint").groupBy("word", "code").agg(F.sum("n").alias("n"))
@@ -92,40 +86,54 @@ def corpus_counts(docs: DataFrame, learn: Column, depth: int, text_col: str = "t
 class SuffixTree:
     """Retained contexts as an automaton over symbols; ``step`` and ``cost`` are indexed by state and symbol."""
 
-    def __init__(self, rows: list[tuple[int, int, int, int]], depth: int, min_divergence: float):
+    def __init__(self, rows, depth: int, min_evidence: float):
         """rows: (context length, context code, symbol, count) of candidates, the empty context among them."""
         self.depth = depth
-        seen = sorted({s for d, _, s, _ in rows if d == 0} | {END})
+        table = np.asarray(rows, np.int64).reshape(-1, 4)
+        seen = sorted({*table[table[:, 0] == 0, 2].tolist(), END})
         self.number = np.full(256, len(seen), np.int64)  # the last number: symbols never seen
         self.number[seen] = np.arange(len(seen))
         size = len(seen) + 1
-        counts: dict[bytes, np.ndarray] = {b"": np.zeros(size)}
-        for d, code, s, n in rows:
-            counts.setdefault(code.to_bytes(d), np.zeros(size))[self.number[s]] += n
-        smooth: dict[bytes, np.ndarray] = {}
-        kept: set[bytes] = set()
-        for c in sorted(counts, key=len):
-            n = counts[c]
+        table = table[np.lexsort((table[:, 1], table[:, 0]))]
+        first = np.flatnonzero(np.r_[True, (table[1:, :2] != table[:-1, :2]).any(axis=1)]) if len(table) else np.empty(0, np.int64)
+        part = {
+            int(c).to_bytes(int(d)): slice(i, j)
+            for (d, c), i, j in zip(table[first, :2], first.tolist(), np.r_[first, len(table)][1:].tolist(), strict=True)
+        }
+
+        def counted(c: bytes) -> np.ndarray:
+            n = np.zeros(size)
+            if c in part:
+                np.add.at(n, self.number[table[part[c], 2]], table[part[c], 3])
+            return n
+
+        kept: set[bytes] = {b""}
+        for c, own in part.items():  # an extension may tell nothing while the next one does: all are tested
             if not c:
-                smooth[c] = (n + 0.5) / (n.sum() + 0.5 * size)
                 continue
-            up, seen_n = smooth[c[1:]], np.count_nonzero(n)
-            smooth[c] = (n + seen_n * up) / (n.sum() + seen_n)
-            p, q = n / n.sum(), counts[c[1:]] / counts[c[1:]].sum()
-            if np.sum(p[p > 0] * np.log(p[p > 0] / q[p > 0])) >= min_divergence:
+            q, n = counted(c[1:]), table[own, 3].astype(float)
+            gain = np.sum(n * np.log(n / n.sum() * (q.sum() / q[self.number[table[own, 2]]])))
+            if gain >= min_evidence:
                 kept |= {c[i:] for i in range(len(c))}
-        kept.add(b"")
+        n = counted(b"")
+        smooth = {b"": (n + 0.5) / (n.sum() + 0.5 * size)}
+        for c in sorted(kept - {b""}, key=len):
+            n = counted(c)
+            some = np.count_nonzero(n)
+            smooth[c] = ((n + some * smooth[c[1:]]) / (n.sum() + some)).astype(np.float32)
         states = sorted(kept | {c[:i] for c in kept for i in range(len(c))}, key=lambda c: (len(c), c))
         at = {c: i for i, c in enumerate(states)}
+        longer: dict[bytes, list[bytes]] = {}
+        for c in states[1:]:
+            longer.setdefault(c[:-1], []).append(c)
         self.step = np.zeros((len(states), size), np.int32)
         self.cost = np.zeros((len(states), size), np.float32)
         for c, i in at.items():
             if c:
                 self.step[i] = self.step[at[c[1:]]]
             self.cost[i] = np.log10(smooth[c]) if c in kept else self.cost[at[c[1:]]]
-            for s in seen:
-                if (j := at.get(c + bytes([s]))) is not None:
-                    self.step[i, self.number[s]] = j
+            for d in longer.get(c, ()):
+                self.step[i, self.number[d[-1]]] = at[d]
         self.states = states
 
     def log10(self, texts: list[bytes]) -> np.ndarray:
@@ -152,7 +160,7 @@ class SuffixTree:
         return total[stop] - total[start]
 
 
-def _candidates(codes: DataFrame, depth: int, min_share: float) -> list[tuple[int, int, int, int]]:
+def _candidates(codes: DataFrame, depth: int, min_share: float) -> np.ndarray:
     """Counts of all contexts with at least ``min_share`` of the symbols: depth / min_share contexts at most."""
     tails = [F.struct(F.lit(d).alias("d"), F.col("code").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("code")) for d in range(depth + 1)]
     each = codes.select(F.explode(F.array(*tails)).alias("x"), "n").select("x.d", "x.code", "n")
@@ -160,13 +168,13 @@ def _candidates(codes: DataFrame, depth: int, min_share: float) -> list[tuple[in
     sums = written(sums.select("d", F.shiftright("code", 8).alias("context"), F.col("code").bitwiseAND(F.lit(255)).alias("symbol"), "n"), "windows")
     total = sums.filter("d = 0").agg(F.sum("n")).first()[0] or 0
     large = sums.groupBy("d", "context").agg(F.sum("n").alias("all")).filter(F.col("all") >= min_share * total)
-    got = sums.join(large.select("d", "context"), ["d", "context"], "left_semi").select("d", "context", "symbol", "n").toPandas()
-    return list(zip(*(got[c].tolist() for c in got.columns), strict=True))
+    got = sums.join(large.select("d", "context"), ["d", "context"], "left_semi").select("d", "context", "symbol", "n")
+    return np.stack([c.to_numpy() for c in got.toArrow().columns], axis=1).astype(np.int64)
 
 
 def lm_scores(
-    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 5,
-    min_share: float = 2e-5, min_divergence: float = 0.02, frequent_words: int = 400_000,
+    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 6,
+    min_share: float = 4e-6, min_evidence: float = 4.0, frequent_words: int = 400_000,
 ) -> DataFrame:
     """Base and suffix-tree log10 probability of every text.
 
@@ -184,13 +192,13 @@ def lm_scores(
     n_all, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = vocabulary.filter(F.col("n") * frequent_words >= n_all).toArrow().combine_chunks()
     rows = _candidates(counts.filter("code >= 0").select("code", "n"), depth, min_share)
-    tree = shared(docs.sparkSession, SuffixTree(rows, depth, min_divergence))
+    tree = shared(docs.sparkSession, SuffixTree(rows, depth, min_evidence))
     common_words, common_n = common.column("word").combine_chunks(), common.column("n").to_numpy()
     bottom = n_all + 0.1 * (distinct + 1)
 
     def run(batches):
         model = tree()
-        for whole in batches:
+        for whole in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             texts, start = whole.column(1).to_pylist(), 0
             while start < len(texts):
                 stop, size = start, 0
