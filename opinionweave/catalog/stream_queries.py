@@ -88,8 +88,8 @@ def stream_momentum(v: Views) -> DataFrame:
     return ms.momentum_of_windows(run(v, "momentum", ms.sliding_counts(named)))
 
 
-def respondent_documents(v: Views) -> DataFrame:
-    """Orders as nested respondent documents with their eight answers; a customer who orders again in a year repeats."""
+def respondent_documents(v: Views, code: str = "o_orderkey") -> DataFrame:
+    """Orders as nested respondent documents with their eight answers, one per value of ``code`` and year."""
     key = F.col("o_orderkey")
 
     def answer(q):
@@ -108,7 +108,7 @@ def respondent_documents(v: Views) -> DataFrame:
         # no two at the same time
         F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + key).alias("completed_at"),
         F.struct(
-            F.col("o_custkey").cast("string").alias("anon_code"), nothing.alias("age_band"), F.col("o_orderstatus").alias("gender"),
+            F.col(code).cast("string").alias("anon_code"), nothing.alias("age_band"), F.col("o_orderstatus").alias("gender"),
             nothing.alias("education"), nothing.alias("occupation"), nothing.alias("province_code"),
             F.col("o_orderpriority").alias("urbanicity"), F.floor(F.col("o_totalprice") / 400).cast("int").alias("duration_sec"),
         ).alias("respondent"),
@@ -132,7 +132,7 @@ def stream_respondent_ingest(v: Views) -> DataFrame:
     """The documents of each half of the year land and are ingested one after the other; repeats are rejected in both."""
     root = fresh_path(v.spark, "respondent-ingest")
     cores = v.spark.sparkContext.defaultParallelism
-    docs = respondent_documents(v)
+    docs = respondent_documents(v, "o_custkey")  # a customer who orders again in a year repeats
     for half in (1, 2):
         docs.filter(F.ceil(F.month("completed_at") / 6) == half).write.mode("append").parquet(f"{root}/landing")
         landing = v.spark.readStream.schema(docs.schema).parquet(f"{root}/landing")
