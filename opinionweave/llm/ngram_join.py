@@ -6,11 +6,11 @@ on its own. In a block each set asks the inverted lists for the larger sets with
 short lists are merged and counted, whoever has T minus the number of long lists is probed in the long ones by
 binary search. Blocks of many shingles are cut into chunks, and every pair of chunks is a task.
 
-Signatures. Sets of up to 64 shingles: the T = 2 prefix filter, exactly: the smallest n - ceil(0.8 n) + 2 hashes of
-linked sets have two in common, and every pair of them is a signature. Larger sets: the hash range is cut into about
-n / 2 parts by powers of two (both cuts near a power); linked sets differ in n / 4 hashes at most, so at threshold a
-part is equal and has two hashes or more with a chance of a third or more, and 65 parts are signatures. All fail with
-a chance below 1e-11 a link.
+Signatures. Sets of up to 32 shingles: the T = 2 prefix filter, exactly: the smallest n - ceil(0.8 n) + 2 hashes of
+linked sets have two in common, and every pair of them is a signature. Larger sets: the least of the set's hashes in
+each of 108 orders, three orders to a signature. Linked sets agree in an order with a chance of 0.8 or more and in one
+of the 36 signatures but for a chance below 1e-11. Only one set of every class has signatures; texts never move:
+the sets that a block needs are built in a second scan, which a bitmap of the wanted rows cuts short.
 
 Only sets whose sizes are within a quarter can link, so a block is searched by bands of sizes: every task takes one
 band and the next.
@@ -26,14 +26,19 @@ from pyspark.sql import functions as F
 
 from ..plans.components import components
 from ..plans.lineage import written
-from .common import text_bytes
+from .common import bitmap_of, shared_bits, text_bytes
 
 SHINGLE = 5
-PARTS, SHORT = 65, 64
+SHORT = 32
+#: Signatures of a larger set, and orders in each.
+BANDS, ROWS = 36, 3
+#: Places of the bitmaps of wanted rows and sets, 2^27: 16 MB each at any size of the input.
+BITS = 27
 #: Shingles of one chunk of a block, 8 bytes each.
 CHUNK = 1 << 20
 WORDS_HELD = 400_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_ORDERS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,16 +83,13 @@ def signatures(s: np.ndarray) -> np.ndarray:
         i, j = np.triu_indices(len(head), 1)
         out.append(_mix(head[i]) + head[j])
     if n > SHORT:
-        g = n.bit_length() - 1
-        for k in (g, g - 1) if 4 * n < 5 << g else (g,):
-            m = np.uint64((1 << k) // 2 + 1)
-            part = ((s >> np.uint64(32)) * m) >> np.uint64(32)
-            part = part[: np.searchsorted(part, PARTS)]
-            if len(part):
-                start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                sums = np.add.reduceat(_mix(s[: len(part)]), start)
-                several = np.diff(np.r_[start, len(part)]) > 1
-                out.append(_mix(sums + part[start] * _M1 + np.uint64(k))[several])
+        least = np.full(BANDS * ROWS, ~np.uint64(0))
+        for k in range(0, n, 4096):
+            least = np.minimum(least, (s[k : k + 4096, None] * _ORDERS).min(axis=0))
+        key = np.arange(BANDS, dtype=np.uint64)
+        for column in least.reshape(BANDS, ROWS).T:
+            key = _mix(key) + column
+        out.append(_mix(key))
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
 
 
@@ -209,22 +211,30 @@ def _search(rows: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``wanted`` with the set of their representative's text."""
-    slim = docs.select(F.col(id_col).alias("_id"), text_bytes(text_col).alias("text"))
-    both = slim.join(wanted, slim["_id"].eqNullSafe(wanted["rep"])).select("text", "node", "tasks", "copies")
+    """The rows of ``wanted`` with the set of their representative's text.
+
+    Rows whose id is no representative's are left out before their set is built, sets that are not wanted before the
+    shuffle; what shares a place of a bitmap with a wanted one is left out by the join.
+    """
+    spark = docs.sparkSession
+    ids = shared_bits(spark, bitmap_of(wanted, F.xxhash64("rep"), BITS), BITS)
+    nodes = shared_bits(spark, bitmap_of(wanted, F.col("node"), BITS), BITS)
+    slim = docs.select(F.xxhash64(id_col).alias("key"), text_bytes(text_col).alias("text"))
 
     def run(batches):
-        shingler = Shingler()
+        shingler, by_id, by_node, sent = Shingler(), ids(), nodes(), set()
         for batch in batches:
-            texts, nodes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sets = [shingler(t) for t in texts]
-            # rows may repeat an id with other texts
-            same = pa.array([identity(s) == x for s, x in zip(sets, nodes, strict=True)])
-            out = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tasks", "copies", "shingles"])
-            yield out.filter(same)
+            found = {}
+            for text in batch.column(1).filter(pa.array(by_id(batch.column(0).to_numpy()))):
+                held = shingler(text.as_py())
+                node = identity(held)
+                # a row may repeat an id with another text, or a text of this task
+                if node not in sent and by_node(np.array([node]))[0]:
+                    found[node] = held.tobytes()
+            sent.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "shingles"])
 
-    schema = f"node bigint, tasks {both.schema['tasks'].dataType.simpleString()}, copies bigint, shingles binary"
-    return both.mapInArrow(run, schema)
+    return slim.mapInArrow(run, "node bigint, shingles binary").join(wanted.select("node", "tasks", "copies"), "node")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -237,8 +247,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     other columns are not read. Nothing is capped: a block of any size is searched, in chunks.
     """
     sets = written(set_table(docs, id_col, text_col), "sets")
-    classes = sets.filter("n > 0").groupBy("node").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"))
-    keys = sets.select("node", F.explode("sigs").alias("sig"))
+    # one row per distinct set; all its copies have the same signatures
+    classes = written(sets.filter("n > 0").groupBy("node").agg(
+        F.min("_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.first("sigs").alias("sigs"),
+    ), "distinct")
+    keys = classes.select("node", F.explode("sigs").alias("sig"))
+    classes = classes.drop("sigs")
     shared = keys.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("sig", "low")
     blocks = components(keys.join(shared, "sig").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     members = written(blocks.withColumnRenamed("root", "block").join(classes, "node"), "members")
@@ -248,7 +262,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     each = banded.select("*", F.explode(F.array("own", F.col("own") - 1)).alias("band")).join(lower, ["block", "band"])
     weight = each.groupBy("block", "band").agg(F.ceil(F.sum("n") / F.lit(chunk)).cast("bigint").alias("k"))
     task = F.struct("block", "band", "k", (F.col("own") == F.col("band")).alias("low"), F.pmod(F.xxhash64("node"), "k").alias("chunk"))
-    wanted = each.join(weight, ["block", "band"]).groupBy("node", "rep", "copies").agg(F.collect_list(task).alias("tasks"))
+    wanted = written(each.join(weight, ["block", "band"]).groupBy("node", "rep", "copies").agg(F.collect_list(task).alias("tasks")), "wanted")
     found = _sets_of(docs, wanted, id_col, text_col).select("node", "copies", "shingles", F.explode("tasks").alias("t")).select("*", "t.*")
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)).alias("other")
     tasks = found.select("*", other).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
