@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..functions.scalars import half_even
 from ..operators import divergence, forecast, index, reporting, risk
 from ..sources.views import Views
 from .base_sql import he, hei, joined, with_views
@@ -419,3 +420,17 @@ def polarization(v: Views) -> DataFrame:
     return risk.polarization(v.segments()).select(
         "project_id", "polarization_score", "state", "pole_mass", "middle_mass", "spread"
     )
+
+
+@query(
+    "trend_at_events",
+    with_views("snapshots") + f""", tr AS (SELECT project_id, period_end, {he('value', 4)} AS value FROM snapshots WHERE metric = 'approval'),
+    se AS (SELECT *, value - lag(value) OVER (PARTITION BY project_id ORDER BY period_end) AS change FROM tr)
+    SELECT e.event_id, e.project_id, s.period_end, s.value, {he('s.change', 4)} AS change
+    FROM ev e ASOF LEFT JOIN se s ON e.project_id = s.project_id AND e.ts >= CAST(s.period_end AS TIMESTAMP)""",
+)
+def trend_at_events(v: Views) -> DataFrame:
+    series = v.snapshots().filter(F.col("metric") == "approval").select("project_id", "period_end", half_even(F.col("value"), 4).alias("value"))
+    events = v.events().select("event_id", "project_id", F.col("ts").alias("occurred_at"))
+    found = reporting.trend_at_events(series, events)
+    return found.select("event_id", "project_id", "period_end", "value", half_even(F.col("change"), 4).alias("change"))

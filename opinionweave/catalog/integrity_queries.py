@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -64,6 +65,31 @@ def respondents_page(v: Views) -> DataFrame:
     return tables.page(v.respondents().select("respondent_id", "completed_at"), 100, 200, row_id="respondent_id")
 
 
+@query(
+    "respondents_deep_page",
+    with_views("respondents") + " SELECT respondent_id, completed_at FROM respondents ORDER BY completed_at DESC NULLS FIRST, respondent_id LIMIT 100 OFFSET 900",
+)
+def respondents_deep_page(v: Views) -> DataFrame:
+    path = fresh_path(v.spark, "pages")
+    tables.write_pages(v.respondents().select("respondent_id", "completed_at"), path, row_id="respondent_id")
+    return tables.read_page(v.spark, path, 100, 900, row_id="respondent_id")
+
+
+# positions run against the ids, so that the order is not that of the ids
+@query(
+    "questions_in_order",
+    with_views("respondents", "responses") + """ SELECT survey_id, CAST(row_number() OVER (PARTITION BY survey_id ORDER BY 9 - question_id, question_id) AS INTEGER) AS place,
+      CAST(question_id AS INTEGER) AS question_id, count(*) AS answers FROM responses JOIN respondents USING (respondent_id) GROUP BY survey_id, question_id""",
+)
+def questions_in_order(v: Views) -> DataFrame:
+    asked = v.responses().join(v.respondents().select("respondent_id", "survey_id"), "respondent_id").groupBy("survey_id", "question_id").agg(
+        F.count("*").alias("answers")
+    )
+    listed = tables.ordered_questions(asked.withColumn("position", 9 - F.col("question_id")))
+    place = F.row_number().over(W.partitionBy("survey_id").orderBy("position", "question_id"))
+    return listed.select("survey_id", place.alias("place"), "question_id", "answers")
+
+
 @query(
     "newest_first",
     with_views("mentions") + " SELECT event_id, published_at FROM mentions WHERE source = 'SOCIAL' AND narrative IN ('A', 'B') ORDER BY published_at DESC, event_id LIMIT 50",

@@ -52,7 +52,7 @@ _MOMENTUM_STEPS = f""", dd AS (SELECT project_id, CAST(published_at AS DATE) AS
                   bf AS (PARTITION BY project_id, narrative ORDER BY day RANGE BETWEEN INTERVAL 13 DAY PRECEDING AND INTERVAL 7 DAY PRECEDING)),
     mo AS (SELECT project_id, day, narrative, {he('coalesce(n_now, 0)/CAST(t_now AS DOUBLE)*100', 2)} AS volume_pct,
              {he('coalesce(n_now, 0)/CAST(t_now AS DOUBLE)*100 - coalesce(n_prev, 0)/CAST(t_prev AS DOUBLE)*100', 2)} AS momentum_7d, {he('s_now/n_now', 3)} AS sentiment,
-             CAST(coalesce(m_now, 0) AS BIGINT) AS media_pickup, {he('u_now/CAST(t_now AS DOUBLE)*100', 2)} AS unclustered_pct FROM fw)"""
+             CAST(coalesce(m_now, 0) AS BIGINT) AS media_pickup, {he('u_now/CAST(t_now AS DOUBLE)*100', 2)} AS unclustered_pct FROM fw WHERE n_now > 0 OR n_prev > 0)"""
 
 
 @query("narrative_momentum", with_views("mentions") + _MOMENTUM_STEPS + " SELECT * FROM mo")

@@ -92,6 +92,16 @@ def stratum_balance(v: Views) -> DataFrame:
     return rows
 
 
+@query(
+    "strata_in_order",
+    _BALANCE + f""" SELECT project_id, survey_id, CAST(row_number() OVER (PARTITION BY project_id, survey_id ORDER BY age_band NULLS FIRST) AS INTEGER) AS position,
+      age_band, achieved, {he('(got - census_share)*100', 2)} AS deviation_pp FROM b""",
+)
+def strata_in_order(v: Views) -> DataFrame:
+    rows, _ = sampling.stratum_balance(v.respondents(), v.census(), "age_band", KEYS, target_n=450)
+    return sampling.strata_in_order(rows, "age_band", KEYS).select(*KEYS, "position", "age_band", "achieved", "deviation_pp")
+
+
 @query(
     "balance_report",
     _BALANCE + f""", r AS (SELECT project_id, survey_id, any_value(t) AS achieved_n, CAST(450 AS BIGINT) AS target_n, max(abs((got - census_share)*100)) AS mx, count_if(achieved = 0) AS e FROM b GROUP BY 1, 2)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.scalars import half_even, index_z
+from ..plans.asof import asof_join
 from ..plans.ranking import last_periods, top_n_per_key
 from ..sources.tables import national
 from .index import latest_snapshots
@@ -45,6 +46,19 @@ def timeline(events: DataFrame, limit: int = 20, keys: Sequence[str] = ("project
     return newest.orderBy(*keys, "occurred_at", row_id)
 
 
+def trend_at_events(
+    trend_rows: DataFrame, events: DataFrame, keys: Sequence[str] = ("project_id",), time: str = "occurred_at", period: str = "period_end",
+    rows_per_slice: int = 500_000,
+) -> DataFrame:
+    """Events with the newest value of the trend at or before them and its change against the period before.
+
+    ``trend_rows``: keys, ``period``, value; one series per key. Columns ``period``, ``value`` and ``change``
+    come after those of the events. Order in time is not cause.
+    """
+    series = period_deltas(trend_rows, list(keys), period=period).withColumnRenamed("delta", "change")
+    return asof_join(events, series, keys, time, period, [period, "value", "change"], rows_per_slice)
+
+
 def province_table(
     snapshots: DataFrame,
     metrics: Sequence[str] = ("poi", "trust", "approval"),

@@ -151,3 +151,12 @@ def stratum_balance(
         )
     )
     return strata_out, report
+
+
+def strata_in_order(strata: DataFrame, stratum: str, keys: Sequence[str] = ("survey_id",)) -> DataFrame:
+    """Stratum rows with their place in the report, by name (UTF-8 byte order, a missing name first).
+
+    Strata come from the census, one row each, so a key has as many rows as there are categories.
+    """
+    w = W.partitionBy(*keys).orderBy(F.col(stratum).asc_nulls_first())
+    return strata.withColumn("position", F.row_number().over(w)).orderBy(*keys, "position")

@@ -168,7 +168,12 @@ def narrative_momentum(mentions: DataFrame, keys: Sequence[str] = ("project_id",
 
 
 def momentum_from_daily(daily: DataFrame, keys: Sequence[str], days: int = 7) -> DataFrame:
-    """Momentum out of daily counts (keys, day, narrative, n, media, sent)."""
+    """Momentum out of daily counts (keys, day, narrative, n, media, sent).
+
+    A row for every day of the project on which the narrative has mentions in the last ``days`` days or the ``days``
+    before. A daily count enters its window on its day, passes to the window before after ``days`` days and leaves
+    that after as many more: three steps a count, summed in order, hold both windows until the next step.
+    """
     day_no = F.datediff("day", F.lit("1970-01-01"))
     totals = daily.groupBy(*keys, "day").agg(
         F.sum("n").alias("all_n"), F.sum(F.when(F.col("narrative").isNull(), F.col("n")).otherwise(0)).alias("none_n")
@@ -176,32 +181,38 @@ def momentum_from_daily(daily: DataFrame, keys: Sequence[str], days: int = 7) ->
     wt = W.partitionBy(*keys).orderBy("d")
     now, before = wt.rangeBetween(-days + 1, 0), wt.rangeBetween(-2 * days + 1, -days)
     totals = totals.select(
-        *keys, "day",
+        *keys, "day", "d",
         F.sum("all_n").over(now).alias("t_now"),
         F.sum("all_n").over(before).alias("t_prev"),
         F.sum("none_n").over(now).alias("none_now"),
     )
-    # every narrative gets every day of its project, so quiet days still show its window
-    names = daily.filter(F.col("narrative").isNotNull()).groupBy(*keys, "narrative").agg(F.sum("n").alias("_ever")).drop("_ever")
-    frame = totals.join(names, list(keys)).join(
-        daily.select(*keys, "day", "narrative", "n", "media", "sent"), [*keys, "day", "narrative"], "left"
-    ).withColumn("d", day_no)
-    wn = W.partitionBy(*keys, "narrative").orderBy("d")
-    now, before = wn.rangeBetween(-days + 1, 0), wn.rangeBetween(-2 * days + 1, -days)
-    share_now = F.try_divide(F.coalesce("n_now", F.lit(0)), F.col("t_now")) * 100
-    share_prev = F.try_divide(F.coalesce("n_prev", F.lit(0)), F.col("t_prev")) * 100
-    return frame.select(
-        *keys, "day", "narrative", "t_now", "t_prev", "none_now",
-        F.sum("n").over(now).alias("n_now"),
-        F.sum("n").over(before).alias("n_prev"),
-        F.sum("media").over(now).alias("media_now"),
-        F.sum("sent").over(now).alias("sent_now"),
-    ).select(
+    amounts = ("n", "media", "sent", "rated")
+    counted = daily.filter(F.col("narrative").isNotNull() & F.col("day").isNotNull()).select(
+        *keys, "narrative", day_no.alias("d"), "n", "media", F.coalesce("sent", F.lit(0.0)).alias("sent"),
+        F.when(F.col("sent").isNotNull(), F.col("n")).otherwise(0).alias("rated"),
+    )
+    nothing = [F.lit(0).alias(f"{c}_now") for c in amounts]
+    enters = F.struct(F.col("d").alias("at"), *[F.col(c).alias(f"{c}_now") for c in amounts], F.lit(0).alias("n_prev"))
+    passes = F.struct((F.col("d") + days).alias("at"), *[(-F.col(c)).alias(f"{c}_now") for c in amounts], F.col("n").alias("n_prev"))
+    leaves = F.struct((F.col("d") + 2 * days).alias("at"), *nothing, (-F.col("n")).alias("n_prev"))
+    moved = [*[f"{c}_now" for c in amounts], "n_prev"]
+    steps = counted.select(*keys, "narrative", F.inline(F.array(enters, passes, leaves))).groupBy(*keys, "narrative", "at").agg(
+        *[F.sum(c).alias(c) for c in moved]
+    )
+    wn = W.partitionBy(*keys, "narrative").orderBy("at")
+    upto = wn.rowsBetween(W.unboundedPreceding, W.currentRow)
+    held = steps.select(*keys, "narrative", "at", F.lead("at").over(wn).alias("next"), *[F.sum(c).over(upto).alias(c) for c in moved])
+    held = held.filter("n_now > 0 or n_prev > 0").select(
+        *keys, "narrative", *moved, F.explode(F.sequence(F.col("at"), F.col("next") - 1)).alias("d")
+    )
+    share_now = F.try_divide("n_now", "t_now") * 100
+    share_prev = F.try_divide("n_prev", "t_prev") * 100
+    return held.join(totals, [*keys, "d"]).select(
         *keys, "day", "narrative",
         half_even(share_now, 2).alias("volume_pct"),
         half_even(share_now - share_prev, 2).alias("momentum_7d"),
-        half_even(F.try_divide("sent_now", "n_now"), 3).alias("sentiment"),
-        F.coalesce("media_now", F.lit(0)).alias("media_pickup"),
+        half_even(F.when(F.col("rated_now") > 0, F.try_divide("sent_now", "n_now")), 3).alias("sentiment"),
+        F.col("media_now").alias("media_pickup"),
         half_even(F.try_divide("none_now", "t_now") * 100, 2).alias("unclustered_pct"),
     )
 

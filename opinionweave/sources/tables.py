@@ -5,8 +5,10 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.ranking import ordered_slices
 from .schemas import SCHEMAS
 
 
@@ -71,3 +73,31 @@ class Tables:
 
 def page(df: DataFrame, limit: int = 100, offset: int = 0, time: str = "completed_at", row_id: str = "id") -> DataFrame:
     return df.orderBy(F.col(time).desc_nulls_first(), F.col(row_id)).offset(offset).limit(limit)
+
+
+def write_pages(df: DataFrame, path: str, time: str = "completed_at", row_id: str = "id", rows_per_slice: int = 500_000) -> None:
+    """Store rows in the order of ``page``, cut into range slices, with the number of rows in each.
+
+    A page at any offset then reads the slices that it stands in and no others (``read_page``).
+    """
+    newest = -F.unix_micros(F.col(time).cast("timestamp"))
+    sliced = ordered_slices(df.withColumn("_newest", newest), [], ["_newest", row_id], rows_per_slice)
+    sliced.write.partitionBy("_slice").parquet(f"{path}/rows")
+    sliced.limit(0).write.parquet(f"{path}/columns")  # an empty table has no slice to read its columns from
+    sliced.groupBy("_slice").agg(F.count("*").alias("n")).coalesce(1).write.parquet(f"{path}/counts")
+
+
+def read_page(spark: SparkSession, path: str, limit: int = 100, offset: int = 0, row_id: str = "id") -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of the stored order; only the slices that hold them are read."""
+    counts = spark.read.parquet(f"{path}/counts")
+    # one row a slice
+    ends = counts.withColumn("end", F.sum("n").over(W.orderBy("_slice")))
+    held = ends.filter((F.col("end") > offset) & (F.col("end") - F.col("n") < offset + limit)).orderBy("_slice").collect()
+    rows = spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/rows").filter(F.col("_slice").isin([r["_slice"] for r in held]))
+    before = held[0]["end"] - held[0]["n"] if held else 0
+    return rows.orderBy("_newest", row_id).offset(offset - before if held else 0).limit(limit).drop("_newest", "_slice")
+
+
+def ordered_questions(questions: DataFrame, survey: str = "survey_id", position: str = "position", row_id: str = "question_id") -> DataFrame:
+    """Questions of every survey in the order of their position; equal positions by id."""
+    return questions.orderBy(survey, F.col(position).asc_nulls_first(), row_id)

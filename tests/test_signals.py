@@ -1,3 +1,5 @@
+import datetime as dt
+import random
 from datetime import datetime
 
 import pytest
@@ -38,6 +40,34 @@ def test_snapshots_have_totals_provinces_and_segments(survey):
     assert got[(None, "y")].value == pytest.approx(66.667)
 
 
+def plain_momentum(rows, days):
+    """Windows of every narrative counted day by day."""
+    out = {}
+    for day in {d for d, _ in rows}:
+        now = [n for d, n in rows if day - days < d <= day]
+        before = [n for d, n in rows if day - 2 * days < d <= day - days]
+        for name in {n for n in now + before if n}:
+            share = 100 * now.count(name) / len(now)
+            out[day, name] = (round(share, 2), round(share - 100 * before.count(name) / len(before), 2) if before else None)
+    return out
+
+
+def test_momentum_of_sparse_narratives(spark):
+    rng = random.Random(2)
+    rows = [(d, rng.choice(["A", "B", None, f"rare{d}"])) for d in sorted(rng.choices(range(1, 90), k=150))]
+    start = dt.date(2026, 1, 1)
+    df = spark.createDataFrame(
+        [(1, start + dt.timedelta(days=d), n, 1, 0, None) for d, n in rows], "project_id int, day date, narrative string, n int, media int, sent double"
+    ).groupBy("project_id", "day", "narrative").agg(F.sum("n").alias("n"), F.sum("media").alias("media"), F.sum("sent").alias("sent"))
+    got = signals.momentum_from_daily(df, ["project_id"], 7).collect()
+    want = plain_momentum(rows, 7)
+    assert len(got) == len(want) and all(r.sentiment is None for r in got)
+    for r in got:
+        volume, change = want[(r.day - start).days, r.narrative]
+        assert abs(r.volume_pct - volume) < 0.011
+        assert (r.momentum_7d is None) == (change is None) and (change is None or abs(r.momentum_7d - change) < 0.011)
+
+
 def test_momentum(spark):
     def mention(day, narrative, source="SOCIAL"):
         return (1, datetime(2024, 1, day, 12), narrative, source, 0.5)
