@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
 
 
 def parsed_messages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text and, where the text is such JSON, the calls it makes or the call it answers.
+    """conv_id, turn, nth, role, text and, where the text is such JSON, the calls it makes or the call it answers.
+
+    ``nth`` numbers the messages of one turn, by role and text, so that (turn, nth) names one message.
 
     An assistant message makes calls with ``{"tool_calls": [{"id", "name", "arguments"}]}``; a tool message answers
     with ``{"tool_call_id", "content"}``. Any other text is plain.
     """
+    nth = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text"))
     body = F.try_parse_json(F.when(F.col("role").isin("assistant", "tool"), F.col("text")))
-    got = messages.select("conv_id", "turn", "role", "text", body.alias("_body"))
+    got = messages.select("conv_id", "turn", nth.alias("nth"), "role", "text", body.alias("_body"))
     calls = F.try_variant_get("_body", "$.tool_calls", "array<variant>")
     return got.select(
-        "conv_id", "turn", "role", "text",
-        F.when(F.col("role") == "assistant", calls).alias("calls"),
+        "conv_id", "turn", "nth", "role", "text",
+        F.when((F.col("role") == "assistant") & (F.size(calls) > 0), calls).alias("calls"),
         F.when(F.col("role") == "tool", F.try_variant_get("_body", "$.tool_call_id", "string")).alias("answers"),
         F.try_variant_get("_body", "$.content", "variant").alias("content"),
     )
@@ -27,18 +31,20 @@ def parsed_messages(messages: DataFrame) -> DataFrame:
 
 def calls_of(parsed: DataFrame) -> DataFrame:
     """One row per call: id, tool, arguments (text that holds JSON is parsed) and the call it comes after."""
-    rows = parsed.filter("calls is not null").select("conv_id", "turn", F.posexplode("calls").alias("pos", "call"))
+    rows = parsed.filter("calls is not null").select("conv_id", "turn", "nth", F.posexplode("calls").alias("pos", "call"))
     rows = rows.select(
-        "conv_id", "turn", "pos", F.try_variant_get("call", "$.id", "string").alias("call_id"),
+        "conv_id", "turn", "nth", "pos", F.try_variant_get("call", "$.id", "string").alias("call_id"),
         F.try_variant_get("call", "$.name", "string").alias("tool"),
         F.coalesce(F.try_parse_json(F.try_variant_get("call", "$.arguments", "string")), F.try_variant_get("call", "$.arguments", "variant")).alias("arguments"),
     )
-    first = rows.filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "pos")).alias("first"))
+    first = rows.filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "nth", "pos")).alias("first"))
     rows = rows.join(first, ["conv_id", "call_id"], "left")
     return rows.select(
-        "conv_id", "turn", "pos", "call_id", "tool", "arguments",
+        "conv_id", "turn", "nth", "pos", "call_id", "tool", "arguments",
         F.try_variant_get("arguments", "$.after", "string").alias("after"),
-        (F.col("first.turn").eqNullSafe(F.col("turn")) & F.col("first.pos").eqNullSafe(F.col("pos"))).alias("own_id"),
+        F.coalesce(
+            F.col("first.turn").eqNullSafe(F.col("turn")) & (F.col("first.nth") == F.col("nth")) & (F.col("first.pos") == F.col("pos")), F.lit(False)
+        ).alias("own_id"),
     )
 
 
@@ -112,19 +118,21 @@ def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     ``n_linked``, ``n_orphans`` (results without call), ``n_invalid`` (calls with violations) and ``chat``.
 
     A call without identifier, or with one that an earlier call has, links to nothing (``repeated_id``); of several
-    results the earliest counts and the others are orphans; a call that comes after itself is flagged ``cycle`` and
-    keeps its turn. Null and empty texts are plain messages, null roles too; JSON that cannot be read, or repeats a
-    key, is plain text. Rows without conversation belong to one conversation, null. Repeated messages are repeated
-    in the chat. Only conv_id, turn, role and text are read; an empty table gives no rows.
+    results the earliest counts and the others are orphans. Orphans stand at their turns as messages with
+    ``"orphan":true``, the content of a message that makes calls before its calls. A call that comes after itself is
+    flagged ``cycle`` and keeps its turn. Messages of one turn stand in the order of role and text. Null and empty
+    texts are plain messages, null roles too, and so is an empty list of calls; JSON that cannot be read, or repeats
+    a key, is plain text. Identifiers of conversations may have any type that casts to text; rows without one belong to one
+    conversation, null. Repeated messages are repeated in the chat, a repeated call as one with a repeated identifier. Only conv_id, turn, role and text are read; an empty table gives no rows.
     """
-    rows = written(parsed_messages(messages.select("conv_id", "turn", "role", "text")), "messages")
-    rows = rows.withColumn("_null", F.col("conv_id").isNull()).withColumn("conv_id", F.coalesce("conv_id", F.lit(0)))
-    rows = rows.withColumn("conv_id", F.struct("_null", "conv_id")).drop("_null")
+    named = F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("name"))
+    kept = messages.select(named.alias("conv_id"), F.col("turn"), F.col("role"), F.col("text"))
+    rows = written(parsed_messages(kept), "messages")
     calls = calls_of(rows)
     order = ordered_calls(calls)
-    results = rows.filter("answers is not null").groupBy("conv_id", F.col("answers").alias("call_id")).agg(
-        F.min_by("content", "turn").alias("result"), F.count("*").alias("n_results"),
-    )
+    answers = rows.filter("answers is not null").withColumnRenamed("answers", "call_id")
+    at = F.struct("turn", "nth")
+    results = answers.groupBy("conv_id", "call_id").agg(F.min_by("content", at).alias("result"), F.min(at).alias("first"), F.count("*").alias("n_results"))
     linked = calls.join(order, ["conv_id", "call_id"], "left").join(results, ["conv_id", "call_id"], "left")
     linked = linked.join(tool_schemas(schemas), "tool", "left")
     own = F.col("own_id")
@@ -139,7 +147,7 @@ def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
         "conv_id",
         F.struct(
             F.when(placed, F.col("latest")).otherwise(F.col("turn")).alias("a"), F.when(placed, F.col("depth")).otherwise(0).alias("b"),
-            F.col("turn").alias("c"), F.col("pos").alias("d"),
+            F.col("turn").alias("c"), F.col("nth").alias("e"), F.col("pos").alias("d"),
             F.to_json(F.struct(
                 "arguments", F.col("call_id").alias("id"), F.col("tool").alias("name"),
                 F.when(is_linked, F.col("result")).alias("result"), F.when(F.size("faults") > 0, F.col("faults")).alias("violations"),
@@ -147,26 +155,27 @@ def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
         ).alias("item"),
         F.lit(1).alias("calls"), is_linked.cast("int").alias("linked"), F.lit(0).alias("orphans"), (F.size("faults") > 0).cast("int").alias("invalid"),
     )
-    plain = rows.filter("calls is null and answers is null").select(
-        "conv_id",
-        F.struct(
-            F.col("turn").alias("a"), F.lit(-1).alias("b"), F.col("turn").alias("c"), F.lit(0).alias("d"),
-            F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("content"), "role")).alias("json"),
-        ).alias("item"),
-        *[F.lit(0).alias(c) for c in ("calls", "linked", "orphans", "invalid")],
-    )
-    mine = calls.filter("own_id").select("conv_id", "call_id", F.lit(1).alias("called"))
-    orphans = results.join(mine, ["conv_id", "call_id"], "left").select(
-        "conv_id", F.lit(None).cast(plain.schema["item"].dataType).alias("item"), F.lit(0).alias("calls"), F.lit(0).alias("linked"),
-        (F.col("n_results") - F.coalesce("called", F.lit(0))).alias("orphans"), F.lit(0).alias("invalid"),
+    def messages_of(some: DataFrame, body: Column, orphans: int) -> DataFrame:
+        item = F.struct(
+            F.col("turn").alias("a"), F.lit(-1).alias("b"), F.col("turn").alias("c"), F.col("nth").alias("e"), F.lit(0).alias("d"),
+            F.to_json(body).alias("json"),
+        )
+        return some.select("conv_id", item.alias("item"), F.lit(0).alias("calls"), F.lit(0).alias("linked"), F.lit(orphans).alias("orphans"), F.lit(0).alias("invalid"))
+
+    plain = messages_of(rows.filter("calls is null and answers is null"), F.struct(F.coalesce("text", F.lit("")).alias("content"), "role"), 0)
+    said = messages_of(rows.filter("calls is not null and content is not null"), F.struct("content", "role"), 0)
+    used = results.join(calls.filter("own_id").select("conv_id", "call_id"), ["conv_id", "call_id"]).select("conv_id", "call_id", "first")
+    left = answers.join(used, ["conv_id", "call_id"], "left").filter(
+        F.col("first").isNull() | ~(F.col("first.turn").eqNullSafe(F.col("turn")) & (F.col("first.nth") == F.col("nth")))
     )
+    orphans = messages_of(left, F.struct("content", F.lit(True).alias("orphan"), "role", F.col("call_id").alias("tool_call_id")), 1)
     totals = rows.groupBy("conv_id").agg(F.count("*").alias("n_messages"))
-    chats = call_items.unionByName(plain).unionByName(orphans).groupBy("conv_id").agg(
+    chats = call_items.unionByName(plain).unionByName(said).unionByName(orphans).groupBy("conv_id").agg(
         F.sum("calls").alias("n_calls"), F.sum("linked").alias("n_linked"), F.sum("orphans").alias("n_orphans"),
         F.sum("invalid").alias("n_invalid"), F.array_sort(F.collect_list("item")).alias("items"),
     )
     out = totals.join(chats, "conv_id")
-    ident = F.when(F.col("conv_id._null"), None).otherwise(F.col("conv_id.conv_id"))
+    ident = F.when(~F.col("conv_id.none"), F.col("conv_id.name")).cast(messages.schema["conv_id"].dataType)
     body = F.concat(F.lit('{"messages":['), F.array_join(F.transform("items", lambda x: x["json"]), ","), F.lit("]}"))
     return out.select(
         ident.alias("conv_id"), "n_messages", *[F.col(c).cast("bigint").alias(c) for c in ("n_calls", "n_linked", "n_orphans", "n_invalid")], body.alias("chat")

@@ -76,7 +76,9 @@ FROM docs LEFT JOIN kept ON kept.doc_id = docs.doc_id GROUP BY docs.doc_id
 CHATS = """
 WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, 'c' || conv_id || '-' AS stem FROM conversations),
 calls AS (SELECT *, stem || turn AS id, CASE WHEN turn >= 2 THEN stem || (turn - 2) END AS after FROM m WHERE role = 'user'),
-results AS (SELECT conv_id, stem || (turn - 1) AS id, min_by(text, turn) AS result, count(*) AS n FROM m WHERE role = 'assistant' GROUP BY 1, 2),
+answers AS (SELECT conv_id, turn, text, stem || (turn - 1) AS id, row_number() OVER (PARTITION BY conv_id, stem || (turn - 1) ORDER BY turn, text) AS place FROM m WHERE role = 'assistant'),
+results AS (SELECT conv_id, id, text AS result FROM answers WHERE place = 1),
+spare AS (SELECT * FROM answers a WHERE place > 1 OR NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = a.conv_id AND c.id = a.id)),
 items AS (
   SELECT c.conv_id, turn, 1 AS calls, (result IS NOT NULL)::INT AS linked, (turn % 3 = 2)::INT AS invalid,
          '{"arguments":{' || CASE WHEN after IS NULL THEN '' ELSE '"after":' || to_json(after)::VARCHAR || ',' END
@@ -88,11 +90,12 @@ items AS (
   FROM calls c LEFT JOIN results r ON r.conv_id = c.conv_id AND r.id = c.id
   UNION ALL
   SELECT conv_id, turn, 0, 0, 0, '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}' FROM m
-  WHERE role NOT IN ('user', 'assistant')),
+  WHERE role NOT IN ('user', 'assistant')
+  UNION ALL
+  SELECT conv_id, turn, 0, 0, 0, '{"content":' || to_json(text)::VARCHAR || ',"orphan":true,"role":"tool","tool_call_id":' || to_json(id)::VARCHAR || '}' FROM spare),
 chats AS (SELECT conv_id, sum(calls)::BIGINT AS n_calls, sum(linked)::BIGINT AS n_linked, sum(invalid)::BIGINT AS n_invalid,
                  string_agg(json, ',' ORDER BY turn) AS items FROM items GROUP BY 1),
-orphans AS (SELECT r.conv_id, sum(r.n - CASE WHEN c.id IS NULL THEN 0 ELSE 1 END)::BIGINT AS n_orphans
-            FROM results r LEFT JOIN calls c ON c.conv_id = r.conv_id AND c.id = r.id GROUP BY 1),
+orphans AS (SELECT conv_id, count(*) AS n_orphans FROM spare GROUP BY 1),
 totals AS (SELECT conv_id, count(*) AS n_messages FROM m GROUP BY 1)
 SELECT conv_id, n_messages, coalesce(n_calls, 0) AS n_calls, coalesce(n_linked, 0) AS n_linked, coalesce(n_orphans, 0) AS n_orphans,
        coalesce(n_invalid, 0) AS n_invalid, '{"messages":[' || coalesce(items, '') || ']}' AS chat

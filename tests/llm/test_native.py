@@ -115,19 +115,46 @@ def test_calls_link_order_and_validate(spark):
         (None, 0, "user", "hello"), (None, 0, "user", "hello"),
     ])
     first = json.loads(got[1]["chat"])["messages"]
-    assert [m.get("id", m.get("role")) for m in first] == ["system", "a", "b", "user"]
+    assert [m.get("id", m.get("role")) for m in first] == ["system", "a", "b", "tool", "user"]
+    assert first[3] == {"content": 1, "orphan": True, "role": "tool", "tool_call_id": "gone"}
     assert first[1]["result"] == {"y": [1.5, None], "z": 1} and "violations" not in first[1]
     assert '{"arguments":{"question":"q","turn":1},"id":"a","name":"answer","result":{"y":[1.5,null],"z":1}}' in got[1]["chat"]
     assert (got[1]["n_calls"], got[1]["n_linked"], got[1]["n_orphans"], got[1]["n_invalid"]) == (2, 1, 1, 0)
     second = json.loads(got[2]["chat"])["messages"]
     assert second[0]["violations"] == ["missing:question", "type:turn", "unknown:extra"] and second[0]["result"] == "first"
     assert second[1]["violations"] == ["repeated_id"] and second[2]["violations"] == ["unknown_tool"]
-    assert second[3] == {"content": "{not json", "role": "assistant"}
+    assert second[3] == {"content": "second", "orphan": True, "role": "tool", "tool_call_id": "a"}
+    assert second[4] == {"content": "{not json", "role": "assistant"}
     assert (got[2]["n_calls"], got[2]["n_linked"], got[2]["n_orphans"], got[2]["n_invalid"]) == (3, 1, 1, 3)
     assert all(m["violations"] == ["cycle"] for m in json.loads(got[3]["chat"])["messages"])
     assert got[None]["n_messages"] == 2 and got[None]["chat"].count("hello") == 2
 
 
+def test_nothing_is_lost_or_squared(spark):
+    """Copies of a call, results of one turn, words beside calls, empty lists of calls, null turns."""
+    good = {"question": "q", "turn": 1}
+    talk = json.dumps({"content": "let me see", "tool_calls": json.loads(call("t", **good))["tool_calls"]})
+    got = chats(spark, [
+        (1, 0, "assistant", call("a", **good)), (1, 0, "assistant", call("a", **good)), (1, 1, "assistant", call("b", after="a", **good)),
+        (2, 0, "assistant", talk), (2, 1, "tool", result("t", "y")), (2, 1, "tool", result("t", "x")), (2, 1, "tool", result("t", "x")),
+        (3, 0, "assistant", '{"tool_calls": []}'), (3, 1, "tool", result("none", "kept")), (3, None, "tool", result("none", None)),
+    ])
+    first = json.loads(got[1]["chat"])["messages"]
+    assert (got[1]["n_messages"], got[1]["n_calls"], got[1]["n_invalid"]) == (3, 3, 1)
+    assert [(m["id"], m.get("violations")) for m in first] == [("a", None), ("a", ["repeated_id"]), ("b", None)]
+    second = json.loads(got[2]["chat"])["messages"]
+    assert second[0] == {"content": "let me see", "role": "assistant"} and second[1]["result"] == "x"
+    assert [m["content"] for m in second[2:]] == ["x", "y"] and (got[2]["n_linked"], got[2]["n_orphans"]) == (1, 2)
+    third = json.loads(got[3]["chat"])["messages"]
+    assert [m.get("content") for m in third] == [None, '{"tool_calls": []}', "kept"] and got[3]["n_orphans"] == 2
+
+
+def test_conversations_named_by_text(spark):
+    schemas = spark.createDataFrame(chat_tools.SCHEMAS, "tool string, name string, type string, required boolean")
+    rows = spark.createDataFrame([("x", 0, "user", "hi"), ("", 0, "user", "hi"), (None, 0, "user", "hi")], "conv_id string, turn int, role string, text string")
+    assert {r["conv_id"]: r["n_messages"] for r in chat_tools.format_chats(rows, schemas).collect()} == {"x": 1, "": 1, None: 1}
+
+
 def test_long_chain_is_ordered(spark):
     """Every call waits for one that was written later: the order is the reverse of the turns."""
     n = 40
@@ -145,3 +172,21 @@ def test_odd_rows(spark, odd_docs, no_docs):
     extra = chat_tools.calls_from_turns(spark.createDataFrame([(1, 0, None, None), (None, None, "user", "x")], MESSAGES).withColumn("calls", F.lit(1)))
     schemas = spark.createDataFrame([], "tool string, name string, type string, required boolean")
     assert len(chat_tools.format_chats(extra, schemas).collect()) == 2
+
+
+def test_chats_equal_sql_on_odd_turns(spark):
+    """Conversations that open with an assistant, or hold two assistants or two users in a row."""
+    import duckdb
+
+    from opinionweave.llm import oracles
+
+    rng = random.Random(8)
+    rows = [(c, t, rng.choice(["system", "user", "assistant", "assistant"]), rng.choice(["hi", "é \"x\"", "", None])) for c in range(40) for t in range(rng.randint(1, 9))]
+    schemas = spark.createDataFrame(chat_tools.SCHEMAS, "tool string, name string, type string, required boolean")
+    got = chat_tools.format_chats(chat_tools.calls_from_turns(spark.createDataFrame(rows, MESSAGES)), schemas).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = con.execute(oracles.CHATS).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sum(r["n_orphans"] for r in got) > 0
