@@ -197,8 +197,9 @@ def flag_short_durations(respondents: DataFrame, threshold_sec: int) -> DataFram
 
 
 def answer_vectors(responses: DataFrame) -> DataFrame:
-    """Hash of a respondent's whole answer set (bounded by the questionnaire length)."""
-    answers = F.sort_array(F.collect_list(F.struct("question_id", "value_num")))
+    """Hash of a respondent's whole answer set (bounded by the questionnaire length): numbers, texts and JSON answers."""
+    values = [c for c in ("value_num", "value_text", "value_json") if c in responses.columns]
+    answers = F.sort_array(F.collect_list(F.struct("question_id", *values)))
     return responses.groupBy("respondent_id").agg(F.unhex(F.sha2(F.to_json(answers), 256)).alias("vector"))
 
 

@@ -130,6 +130,9 @@ def test_duplicates_and_quota(spark):
     )
     out = {r.respondent_id: r.copies for r in responses.duplicate_suspects(people, resp).collect()}
     assert out == {0: 3, 1: 3, 3: 3}
+    texts = {0: "x", 1: "y", 2: "x", 3: "x", 4: None, 5: None}
+    spoken = resp.withColumn("value_text", F.when(F.col("question_id") == 1, F.create_map(*[F.lit(k) for kv in texts.items() for k in kv])[F.col("respondent_id")]))
+    assert {r.respondent_id: r.copies for r in responses.duplicate_suspects(people, spoken).collect()} == {0: 2, 3: 2}
     quotas = spark.createDataFrame([(1, "a", 3), (1, "b", 5)], "survey_id int, age_band string, quota int")
     late = responses.out_of_quota(people, quotas, "age_band").collect()
     assert [r.respondent_id for r in late] == [3]
