@@ -11,6 +11,10 @@ counts that tasks sum before the shuffle:
    both words may be frequent: bitmaps of fixed size mark the hashes of the frequent ones, so none is missed (Apriori).
 3. three-word phrases beside the trie whose two halves may be frequent, likewise.
 
+Scans 2 and 3 hand on the counts of a stretch packed by bucket of the phrase's hash, a row per bucket, so that the many
+phrases met once are no rows of their own. Buckets grow in number with the corpus and not in size; a frequent phrase
+stands in its bucket once per stretch. One task sums a bucket after the other.
+
 So trie, bitmaps and driver hold bounded data at any size of the corpus, and which way a phrase takes changes no figure.
 """
 
@@ -36,7 +40,9 @@ LONGEST = 3
 #: Phrases a length in the trie, and places of a bitmap, as powers of two.
 HEAD, BITS = 18, 26
 #: Positions, and distinct words, of the texts that are counted at once.
-STRETCH, WORDS_HELD = 1 << 22, 1 << 20
+STRETCH, WORDS_HELD = 1 << 21, 1 << 19
+#: Words of the corpus per bucket and per partition of packed counts, as powers of two; most partitions; bytes of a batch.
+BUCKET, PARTITION, MOST_PARTITIONS, BATCH = 18, 20, 1 << 14, 1 << 22
 
 
 class Numbered(dict):
@@ -108,6 +114,64 @@ def _rows(hashes: np.ndarray, phrases: np.ndarray, counts: np.ndarray) -> pa.Rec
 
 
 COUNTS = "h1 bigint, h2 bigint, h3 bigint, n bigint"
+PACKED = "bucket bigint, phrases binary, counts binary"
+MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def _packed(phrases: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Distinct phrases of one length, a row of hashes each, and their counts, in a row per bucket that has any."""
+    length = phrases.shape[1]
+    mixed = (phrases.view(np.uint64) * MULTIPLIERS[:length]).sum(axis=1, dtype=np.uint64)
+    bucket = ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, phrases, counts = bucket[order], np.ascontiguousarray(phrases[order]), counts[order].astype(np.uint32)
+    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+    stop = np.r_[start[1:], len(bucket)]
+    at = 0
+    while at < len(start):
+        end = max(at + 1, int(np.searchsorted(stop, start[at] + BATCH // (8 * length))))
+        low, high = start[at], stop[end - 1]
+        edges = np.r_[start[at:end], high] - low
+        cells = [
+            pa.Array.from_buffers(pa.binary(), end - at, [None, pa.py_buffer((edges * width).astype(np.int32)), pa.py_buffer(data[low:high].tobytes())])
+            for data, width in ((phrases, 8 * length), (counts, 4))
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[start[at:end]] * (LONGEST + 1) + length), *cells], ["bucket", "phrases", "counts"])
+        at = end
+
+
+def _merged(length: int, phrases: list[bytes], counts: list[bytes], least: int) -> pa.RecordBatch:
+    """The phrases of one bucket that have ``least`` occurrences or more in sum."""
+    rows = np.frombuffer(b"".join(phrases), np.int64).reshape(-1, length)
+    n = np.frombuffer(b"".join(counts), np.uint32).astype(np.int64)
+    order = np.lexsort(rows.T)
+    rows = rows[order]
+    first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)])
+    n = np.add.reduceat(n[order], first)
+    enough = n >= least
+    rows = rows[first[enough]]
+    columns = [pa.array(np.ascontiguousarray(rows[:, k])) if k < length else pa.nulls(len(rows), pa.int64()) for k in range(LONGEST)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(n[enough])], ["h1", "h2", "h3", "a"])
+
+
+def _summed_buckets(packed: DataFrame, least: int, words: int) -> DataFrame:
+    """(h1, h2, h3, a) of the phrases with ``least`` occurrences or more; ``words``: those of the corpus."""
+
+    def run(batches):
+        at, phrases, counts = None, [], []
+        for batch in batches:
+            for bucket, some, n in zip(*(batch.column(k) for k in range(3)), strict=True):
+                if bucket.as_py() != at:
+                    if at is not None:
+                        yield _merged(at % (LONGEST + 1), phrases, counts, least)
+                    at, phrases, counts = bucket.as_py(), [], []
+                phrases.append(some.as_py())
+                counts.append(n.as_py())
+        if at is not None:
+            yield _merged(at % (LONGEST + 1), phrases, counts, least)
+
+    parts = min(MOST_PARTITIONS, 1 + (words >> PARTITION))
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "h1 bigint, h2 bigint, h3 bigint, a bigint")
 
 
 def _first_scan(slim: DataFrame, seed: int, head: int) -> DataFrame:
@@ -205,8 +269,8 @@ def _pair_place(a, b):
     return F.shiftleft(a, 7).bitwiseXOR(F.shiftrightunsigned(a, 57)).bitwiseXOR(b)
 
 
-def _trie_scan(slim: DataFrame, seed: int, trie, may_be) -> DataFrame:
-    """Counts of the phrases in the trie, and of two-word phrases beside it whose words may be frequent."""
+def _trie_scan(slim: DataFrame, seed: int, trie, may_be, buckets: int) -> DataFrame:
+    """Packed counts of the phrases in the trie, and of two-word phrases beside it whose words may be frequent."""
 
     def run(batches):
         tree, marked = trie(), may_be()
@@ -221,17 +285,18 @@ def _trie_scan(slim: DataFrame, seed: int, trie, may_be) -> DataFrame:
                 counts += np.bincount(accepted[accepted >= 0], minlength=len(counts))
                 if level == 1:
                     beside = accepted < 0
-            met = np.flatnonzero(counts)
-            columns = [pa.array(np.ascontiguousarray(tree.phrases[met, k]), mask=tree.phrases[met, k] == 0) for k in range(LONGEST)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts[met])], ["h1", "h2", "h3", "n"])
+            for length in range(2, LONGEST + 1):
+                met = np.flatnonzero((counts > 0) & ((tree.phrases != 0).sum(axis=1) == length))
+                yield from _packed(np.ascontiguousarray(tree.phrases[met, :length]), counts[met], buckets)
             able = marked(hashes)[numbers]
-            yield _rows(hashes, *_phrases(numbers, 2, beside & able & np.r_[able[1:], False]))
+            phrases, n = _phrases(numbers, 2, beside & able & np.r_[able[1:], False])
+            yield from _packed(hashes[phrases], n, buckets)
 
-    return slim.mapInArrow(run, COUNTS)
+    return slim.mapInArrow(run, PACKED)
 
 
-def _rest_scan(slim: DataFrame, seed: int, trie, may_be) -> DataFrame:
-    """Counts of three-word phrases beside the trie whose first two and last two words may be frequent phrases."""
+def _rest_scan(slim: DataFrame, seed: int, trie, may_be, buckets: int) -> DataFrame:
+    """Packed counts of three-word phrases beside the trie whose first two and last two words may be frequent phrases."""
 
     def run(batches):
         tree, marked = trie(), may_be()
@@ -244,9 +309,10 @@ def _rest_scan(slim: DataFrame, seed: int, trie, may_be) -> DataFrame:
             beside = np.where(state >= 0, tree.accepts[state], -1) < 0
             h = hashes[numbers]
             pair = np.r_[marked(_pair_place(h[:-1], h[1:])), False]
-            yield _rows(hashes, *_phrases(numbers, 3, beside & pair & np.r_[pair[1:], False]))
+            phrases, n = _phrases(numbers, 3, beside & pair & np.r_[pair[1:], False])
+            yield from _packed(hashes[phrases], n, buckets)
 
-    return slim.mapInArrow(run, COUNTS)
+    return slim.mapInArrow(run, PACKED)
 
 
 def _summed(rows: DataFrame, least: int) -> DataFrame:
@@ -290,10 +356,11 @@ def phrase_collocations(
     got = heavy.select("h1", "h2", F.coalesce("h3", F.lit(0)).alias("h3")).toPandas().to_numpy(np.int64).reshape(-1, LONGEST)
     trie = shared(spark, DoubleArray(got))
     may_be = shared_bits(spark, bitmap_of(frequent, F.col("h1"), bits), bits)
-    second = written(_summed(_trie_scan(slim, seed, trie, may_be), least), "phrases")
+    buckets = 1 + (all_words >> BUCKET)
+    second = written(_summed_buckets(_trie_scan(slim, seed, trie, may_be, buckets), least, all_words), "phrases")
     twos = second.filter("h3 is null").select("h1", "h2", "a")
     may_be = shared_bits(spark, bitmap_of(twos, _pair_place(F.col("h1"), F.col("h2")), bits), bits)
-    rest = _summed(_rest_scan(slim, seed, trie, may_be), least)
+    rest = _summed_buckets(_rest_scan(slim, seed, trie, may_be, buckets), least, all_words)
     threes = written(second.filter("h3 is not null").unionByName(rest).select("h1", "h2", "h3", "a"), "phrases")
 
     def word(side: str) -> DataFrame:

@@ -99,6 +99,33 @@ def test_trie_accepts_just_its_phrases():
             assert accepted < 0 or tuple(x for x in trie.phrases[accepted] if x) == path
 
 
+def test_counts_by_bucket(spark, monkeypatch):
+    """Many buckets and partitions give the same counts as one, and batches keep to their size."""
+    monkeypatch.setattr(collocations, "BUCKET", 4)
+    monkeypatch.setattr(collocations, "PARTITION", 7)
+    rows = corpus(3)
+    assert set(listed(collocations.phrase_collocations(frame(spark, rows), head=3))) == plain_collocations(rows)
+
+
+def test_packed_counts_add_up():
+    rng = np.random.default_rng(5)
+    whole, packed = Counter(), {}
+    for length in (2, 3, 2):
+        phrases = np.unique(rng.integers(-(2**62), 2**62, (40, length))[rng.integers(0, 40, 60)], axis=0)
+        counts = rng.integers(1, 9, len(phrases))
+        whole.update(dict(zip(map(tuple, phrases.tolist()), counts.tolist(), strict=True)))
+        for batch in collocations._packed(phrases, counts, 7):
+            assert batch.nbytes < 2 * collocations.BATCH
+            for bucket, some, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                packed.setdefault(bucket, []).append((some, n))
+    got = {}
+    for bucket, cells in packed.items():
+        out = collocations._merged(bucket % 4, [x for x, _ in cells], [n for _, n in cells], 3)
+        got |= {tuple(v for v in (r["h1"], r["h2"], r["h3"]) if v is not None): r["a"] for r in out.to_pylist()}
+    assert len(packed) > 7 and got == {p: n for p, n in whole.items() if n >= 3}
+    assert not list(collocations._packed(np.empty((0, 2), np.int64), np.empty(0, np.int64), 7))
+
+
 def test_many_words_in_one_text():
     numbers = np.array([1, 2**30, 5, 0, 1, 2**30, 5, 7])
     phrases, counts = collocations._phrases(numbers, 3)
