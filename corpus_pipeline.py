@@ -2,12 +2,15 @@
 
 The stages: language ID, line dedup, n-gram Jaccard join, benchmark decontamination, mixing to target weights. All
 but the last return the columns of their input; the last adds ``rate`` and ``copies``. Nulls, empty and repeated rows
-are treated as the operators say; a stage over an empty table returns none.
+are treated as the operators say; a stage over an empty table returns none. Columns that ``documents`` does not have
+come through every stage as they are, whatever their names; only ``rate`` and ``copies`` of the input give way to those
+of the last stage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +24,28 @@ def _columns(df: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def with_any_columns(stage: Stage) -> Stage:
+    """The stage with all other columns in one struct, so that none has a name that the operators use."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in COLUMNS]
+        if not others:
+            return stage(spark, docs, sf_dir)
+        packed = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("others")
+        out = stage(spark, docs.select(*[c for c in docs.columns if c in COLUMNS], packed), sf_dir)
+        new = [c for c in out.columns if c not in COLUMNS and c != "others"]
+        back = [F.col(f"others.c{others.index(c)}").alias(c) if c in others else F.col(c) for c in docs.columns if c not in new]
+        return out.select(*back, *new)
+
+    return run
+
+
+@with_any_columns
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID learned from the stage's own rows with a language; rows without letters go."""
     model = language.train(docs, F.lit(True))
@@ -28,12 +53,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.filter(F.col("lang_pred") != language.UNKNOWN).drop("lang_pred", "score")
 
 
+@with_any_columns
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document or line has, or has but for one word, go, and so do documents without any left."""
     kept = line_dedup.dedup_lines(docs).filter((F.size("kept") > 0) & (F.trim("text") != ""))
     return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*_columns(docs))
 
 
+@with_any_columns
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id; rows repeated in whole count once."""
     groups = ngram_join.jaccard_components(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias("_id")).agg(
@@ -45,12 +72,14 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return alone.unionByName(first)
 
 
+@with_any_columns
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
     leaks = decontaminate.benchmark_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
 
 
+@with_any_columns
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their rate and ``copies``; those with no copy go.
 
@@ -68,7 +97,7 @@ def copies(rate: Column, number: Column) -> Column:
     return (whole + (F.pmod(number, F.lit(1 << 32)) < (rate - whole) * (1 << 32)).cast("int")).cast("bigint")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language_id", known_language),
     ("line_dedup", without_repeated_lines),
     ("ngram_jaccard_join", without_near_copies),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +30,12 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
+def unclaimed(names: Iterable[str], *own: str) -> None:
+    """Raise where a name, in whatever case, is one that an operator uses itself."""
+    if clash := sorted({n for n in names if n.lower() in {o.lower() for o in own}}):
+        raise ValueError(f"names the operator uses itself: {', '.join(clash)}")
+
+
 def shared(spark: SparkSession, model) -> Callable[[], object]:
     """Send a model of bounded size to the executors once; what is returned gives it back inside a task."""
     kind, state = type(model), spark.sparkContext.broadcast(vars(model))

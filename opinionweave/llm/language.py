@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
-from .common import LETTERS_ONLY, shared, text_bytes
+from .common import LETTERS_ONLY, shared, text_bytes, unclaimed
 
 UNKNOWN = "und"
 ENTRIES_HELD = 300_000
@@ -161,7 +161,8 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
 
 
 def predict(docs: DataFrame, model: Backoff, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
-    """The columns of ``keep``, ``lang_pred`` and ``score`` of every row."""
+    """The columns of ``keep``, ``lang_pred`` and ``score`` of every row; ``keep`` with these names is a ValueError."""
+    unclaimed(keep, "_text", "lang_pred", "score")
     get = shared(docs.sparkSession, model)
     slim = docs.select(*[c.alias(k) for k, c in keep.items()], text_bytes(text_col).alias("_text"))
     names = list(keep)

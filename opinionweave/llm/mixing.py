@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
-from .common import WORDS_ONLY, shared, text_bytes
+from .common import WORDS_ONLY, shared, text_bytes, unclaimed
 from .quality import statistics
 
 BUCKETS = 1 << 17
@@ -168,11 +168,12 @@ def mixing_rates(
     of equals) is in ``least`` rates of that value, 1 at most, or more; rates start at 1. Labels without id or mark are not
     learned from; an id with several labels counts once for each. Null and empty texts have no tokens, the prior as
     posterior and rate 1. Without labels posteriors are equal. Repeated rows count each. Shares are scaled to sum to
-    1. An empty table gives no rows. Columns in ``keep`` win over new ones with the same name: name them otherwise.
+    1. An empty table gives no rows. Names in ``keep`` that the operator uses itself are a ValueError before any job.
     ``sample`` bounds the labelled rows learned from; everything else covers all rows.
     """
     keep = {id_col: F.col(id_col)} if keep is None else keep
     names = sorted(targets)
+    unclaimed(keep, "_id", "_text", "_logits", "_p", "n_tokens", "rate", *[f"p_{x}" for x in names])
     model, chosen = train(docs, labels, labelled_domain() if domain is None else domain, id_col, text_col, names, sample, strength, least_evidence)
     get, n, held = shared(docs.sparkSession, model), len(names), list(keep)
     slim = docs.select(*[c.alias(k) for k, c in keep.items()], F.col(id_col).alias("_id"), text_bytes(text_col).alias("_text"))

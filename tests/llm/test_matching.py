@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opinionweave.llm import decontaminate, mixing, ngram_join
+from opinionweave.llm import decontaminate, language, mixing, ngram_join
 from opinionweave.plans.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -259,3 +259,33 @@ def test_pipeline_of_nothing(spark, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         if os.path.isdir(SF):
             assert stage(spark, no_docs, SF).collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+def test_pipeline_with_clashing_columns(spark, docs_of, tmp_path):
+    """Columns with names that the operators use come through all stages with their values."""
+    import corpus_pipeline
+
+    names = ["score", "lang_pred", "kept", "n_lines", "_id", "_row", "n_tokens", "rate", "copies", "others", "odd name", "_text"]
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice(["ta", "re", "mi"]) for _ in range(4)) for _ in range(40)) for _ in range(12)]
+    work = docs_of([*texts, texts[0], None]).withColumns({n: F.concat(F.lit(f"{n} "), "doc_id") for n in names})
+    for name, stage in corpus_pipeline.STAGES:
+        before, work = work, stage(spark, work, SF)
+        if name != "mixing":
+            assert work.schema.names == before.schema.names and [f.dataType for f in work.schema] == [f.dataType for f in before.schema]
+        work.write.parquet(str(tmp_path / name))
+        work = spark.read.parquet(str(tmp_path / name))
+    rows = work.collect()
+    own = [n for n in names if n not in ("rate", "copies")]
+    assert {r["doc_id"] for r in rows} <= set(range(12)) and len(rows) > 6
+    assert all(r[n] == f"{n} {r['doc_id']}" for r in rows for n in own) and all(r["copies"] >= 1 for r in rows)
+    assert work.columns == ["doc_id", "text", "lang", "source", "n_chars", *own, "rate", "copies"]
+
+
+def test_names_the_operators_use(docs_of):
+    docs = docs_of(["a text"])
+    with pytest.raises(ValueError, match="Score"):
+        language.predict(docs, None, {"Score": F.col("doc_id")})
+    with pytest.raises(ValueError, match="rate"):
+        mixing.mixing_rates(docs, docs, {"rate": F.col("doc_id")})
