@@ -20,6 +20,7 @@ So trie, bitmaps and driver hold bounded data at any size of the corpus, and whi
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +56,6 @@ class Numbered(dict):
     def __missing__(self, word: bytes) -> int:
         pool = self.pool
         h = xxhash.xxh3_64_intdigest(self.salt + word, pool.seed)
-        pool.words.append((self.lang, word))
         pool.hashes.append(h - (1 << 64) if h >> 63 else h)
         self[word] = number = len(pool.hashes) - 1
         return number
@@ -66,7 +66,7 @@ class Pool:
 
     def __init__(self, seed: int):
         self.seed = seed
-        self.words, self.hashes, self.langs = [("", END)], [0], {}
+        self.hashes, self.langs = array("q", [0]), {}
 
     def numbers(self, lang: str | None, text: bytes) -> np.ndarray:
         lang = "und" if lang is None else lang
@@ -74,7 +74,13 @@ class Pool:
             self.langs[lang] = Numbered(self, lang)
         words = text.translate(PIECES).replace(END, b" . ").split()
         words.append(END)
-        return np.fromiter(map(self.langs[lang].__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.langs[lang].__getitem__, words), np.int32, len(words))
+
+    def words(self) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
+        """Language, numbers and words of every language in the pool."""
+        for lang, own in self.langs.items():
+            numbers = np.fromiter(own.values(), np.int64, len(own))[1:]
+            yield lang, numbers, list(own)[1:]
 
 
 def _stretches(batches, seed: int) -> Iterator[tuple[np.ndarray, Pool]]:
@@ -85,8 +91,10 @@ def _stretches(batches, seed: int) -> Iterator[tuple[np.ndarray, Pool]]:
             held.append(pool.numbers(lang, text))
             size += len(held[-1])
             if size >= STRETCH or len(pool.hashes) > WORDS_HELD:
-                yield np.concatenate(held), pool
-                pool, held, size = Pool(seed), [], 0
+                numbers, held = np.concatenate(held), []
+                yield numbers, pool
+                del numbers
+                pool, size = Pool(seed), 0
     if held:
         yield np.concatenate(held), pool
 
@@ -103,8 +111,14 @@ def _phrases(numbers: np.ndarray, length: int, able: np.ndarray | None = None) -
     code = np.zeros(len(whole), np.int64)
     for p in parts:
         code = code << bits | p
-    codes, counts = np.unique(code[whole], return_counts=True)
-    return np.stack([codes >> bits * (length - 1 - k) & (1 << bits) - 1 for k in range(length)], axis=1), counts
+    code = code[whole]
+    code.sort()
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+    counts, code = np.diff(np.r_[first, len(code)]), code[first]
+    out = np.empty((len(code), length), numbers.dtype)
+    for k in range(length):
+        out[:, k] = code >> bits * (length - 1 - k) & (1 << bits) - 1
+    return out, counts
 
 
 def _rows(hashes: np.ndarray, phrases: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -118,25 +132,34 @@ PACKED = "bucket bigint, phrases binary, counts binary"
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def _packed(phrases: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Distinct phrases of one length, a row of hashes each, and their counts, in a row per bucket that has any."""
+def _packed(phrases: np.ndarray, counts: np.ndarray, buckets: int, hashes: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Distinct phrases of one length, a row of hashes each, and their counts, in a row per bucket that has any.
+
+    With ``hashes``, phrases are rows of places in it and become hashes batch by batch, not all at once.
+    """
     length = phrases.shape[1]
-    mixed = (phrases.view(np.uint64) * MULTIPLIERS[:length]).sum(axis=1, dtype=np.uint64)
-    bucket = ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    spelt = (lambda x: x) if hashes is None else hashes.__getitem__
+    bucket = np.zeros(len(phrases), np.uint64)
+    for k in range(length):
+        bucket += spelt(phrases[:, k]).astype(np.uint64) * MULTIPLIERS[k]
+    bucket >>= np.uint64(32)
+    bucket *= np.uint64(buckets)
+    bucket >>= np.uint64(32)
+    bucket = bucket.astype(np.uint32)
     order = np.argsort(bucket, kind="stable")
-    bucket, phrases, counts = bucket[order], np.ascontiguousarray(phrases[order]), counts[order].astype(np.uint32)
+    bucket = bucket[order]
     start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
     stop = np.r_[start[1:], len(bucket)]
     at = 0
     while at < len(start):
         end = max(at + 1, int(np.searchsorted(stop, start[at] + BATCH // (8 * length))))
         low, high = start[at], stop[end - 1]
-        edges = np.r_[start[at:end], high] - low
+        edges, some = np.r_[start[at:end], high] - low, order[low:high]
         cells = [
-            pa.Array.from_buffers(pa.binary(), end - at, [None, pa.py_buffer((edges * width).astype(np.int32)), pa.py_buffer(data[low:high].tobytes())])
-            for data, width in ((phrases, 8 * length), (counts, 4))
+            pa.Array.from_buffers(pa.binary(), end - at, [None, pa.py_buffer((edges * width).astype(np.int32)), pa.py_buffer(data.tobytes())])
+            for data, width in ((spelt(phrases[some]), 8 * length), (counts[some].astype(np.uint32), 4))
         ]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[start[at:end]] * (LONGEST + 1) + length), *cells], ["bucket", "phrases", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[start[at:end]].astype(np.int64) * (LONGEST + 1) + length), *cells], ["bucket", "phrases", "counts"])
         at = end
 
 
@@ -179,10 +202,10 @@ def _first_scan(slim: DataFrame, seed: int, head: int) -> DataFrame:
 
     def run(batches):
         for numbers, pool in _stretches(batches, seed):
-            hashes, n = np.asarray(pool.hashes), np.bincount(numbers, minlength=len(pool.hashes))[1:]
-            langs, words = zip(*pool.words[1:], strict=True) if len(n) else ((), ())
-            out = _rows(hashes, np.arange(1, len(n) + 1)[:, None], n)
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(langs, pa.string()), pa.array(words, pa.binary())], [*out.schema.names, "lang", "word"])
+            hashes, n = np.array(pool.hashes), np.bincount(numbers, minlength=len(pool.hashes))
+            for lang, own, words in pool.words():
+                out, langs = _rows(hashes, own[:, None], n[own]), pa.repeat(pa.scalar(lang, pa.string()), len(own))
+                yield pa.RecordBatch.from_arrays([*out.columns, langs, pa.array(words, pa.binary())], [*out.schema.names, "lang", "word"])
             for length in range(2, LONGEST + 1):
                 phrases, counts = _phrases(numbers, length)
                 # one occurrence is no sign of a frequent phrase in a short stretch
@@ -255,10 +278,18 @@ class DoubleArray:
         at = np.minimum(np.searchsorted(self.symbols, hashes), len(self.symbols) - 1)
         return np.where(self.symbols[at] == hashes, at + 1, 0)
 
+    def states(self, hashes: np.ndarray, numbers: np.ndarray) -> Iterator[np.ndarray]:
+        """Per level, the phrase of the trie that ends there for every position, or -1."""
+        symbols = np.r_[self.codes(hashes).astype(np.int32)[numbers], np.zeros(LONGEST, np.int32)]
+        state = np.zeros(len(numbers), np.int32)
+        for level in range(LONGEST):
+            state = self.advance(state, symbols[level : len(numbers) + level])
+            yield np.where(state >= 0, self.accepts[state], np.int32(-1))
+
     def advance(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """The next state of each position, or -1."""
         to = np.minimum(self.base[np.maximum(state, 0)] + symbols, len(self.check) - 1)
-        return np.where((state >= 0) & (symbols > 0) & (self.check[to] == state), to, -1)
+        return np.where((state >= 0) & (symbols > 0) & (self.check[to] == state), to, -1).astype(np.int32)
 
 
 def _pair_place(a, b):
@@ -275,22 +306,22 @@ def _trie_scan(slim: DataFrame, seed: int, trie, may_be, buckets: int) -> DataFr
     def run(batches):
         tree, marked = trie(), may_be()
         for numbers, pool in _stretches(batches, seed):
-            hashes = np.asarray(pool.hashes)
-            symbols = np.r_[tree.codes(hashes)[numbers], np.zeros(LONGEST, np.int64)]
-            state, counts = np.zeros(len(numbers), np.int64), np.zeros(len(tree.phrases), np.int64)
-            beside = None
-            for level in range(LONGEST):
-                state = tree.advance(state, symbols[level : len(numbers) + level])
-                accepted = np.where(state >= 0, tree.accepts[state], -1)
+            hashes, counts = np.array(pool.hashes), np.zeros(len(tree.phrases), np.int64)
+            able = marked(hashes)[numbers]
+            able[:-1] &= able[1:]
+            able[-1:] = False
+            for level, accepted in enumerate(tree.states(hashes, numbers)):
                 counts += np.bincount(accepted[accepted >= 0], minlength=len(counts))
                 if level == 1:
-                    beside = accepted < 0
+                    able &= accepted < 0
+            del accepted
             for length in range(2, LONGEST + 1):
                 met = np.flatnonzero((counts > 0) & ((tree.phrases != 0).sum(axis=1) == length))
-                yield from _packed(np.ascontiguousarray(tree.phrases[met, :length]), counts[met], buckets)
-            able = marked(hashes)[numbers]
-            phrases, n = _phrases(numbers, 2, beside & able & np.r_[able[1:], False])
-            yield from _packed(hashes[phrases], n, buckets)
+                yield from _packed(tree.phrases[met, :length], counts[met], buckets)
+            phrases, n = _phrases(numbers, 2, able)
+            del numbers, pool, able  # a task holds one stretch at a time
+            yield from _packed(phrases, n, buckets, hashes)
+            del phrases, n
 
     return slim.mapInArrow(run, PACKED)
 
@@ -301,16 +332,19 @@ def _rest_scan(slim: DataFrame, seed: int, trie, may_be, buckets: int) -> DataFr
     def run(batches):
         tree, marked = trie(), may_be()
         for numbers, pool in _stretches(batches, seed):
-            hashes = np.asarray(pool.hashes)
-            symbols = np.r_[tree.codes(hashes)[numbers], np.zeros(LONGEST, np.int64)]
-            state = np.zeros(len(numbers), np.int64)
-            for level in range(LONGEST):
-                state = tree.advance(state, symbols[level : len(numbers) + level])
-            beside = np.where(state >= 0, tree.accepts[state], -1) < 0
+            hashes = np.array(pool.hashes)
             h = hashes[numbers]
-            pair = np.r_[marked(_pair_place(h[:-1], h[1:])), False]
-            phrases, n = _phrases(numbers, 3, beside & pair & np.r_[pair[1:], False])
-            yield from _packed(hashes[phrases], n, buckets)
+            able = np.r_[marked(_pair_place(h[:-1], h[1:])), False]
+            del h
+            able[:-1] &= able[1:]
+            for accepted in tree.states(hashes, numbers):
+                pass
+            able &= accepted < 0
+            del accepted
+            phrases, n = _phrases(numbers, 3, able)
+            del numbers, pool, able  # a task holds one stretch at a time
+            yield from _packed(phrases, n, buckets, hashes)
+            del phrases, n
 
     return slim.mapInArrow(run, PACKED)
 

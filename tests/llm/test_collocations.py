@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +138,24 @@ def test_odd_rows(odd_docs, no_docs):
     got = collocations.phrase_collocations(odd_docs.withColumns({"a": odd_docs["doc_id"], "rank": odd_docs["text"]})).collect()
     assert len(got) == 977 and {r["a"] for r in got} == {61, 62} and {r["n"] for r in got} == {60_000 + 4 + 3 + 1 + 1}
     assert collocations.phrase_collocations(no_docs).collect() == []
+
+
+def test_a_scan_holds_little_beside_its_stretch():
+    """Bytes a position of the last scan, with every phrase met once and beside the trie."""
+    rng = random.Random(12)
+    n = 300_000
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    batch = pa.table({"lang": ["en"] * 30, "text": [" ".join(rng.choices(vocabulary, k=n // 30)).encode() for _ in range(30)]}).to_batches()
+    tree = collocations.DoubleArray(np.empty((0, 3), np.int64))
+
+    class Slim:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    run = collocations._rest_scan(Slim(), 0, lambda: tree, lambda: lambda h: np.ones(len(h), bool), 10)
+    tracemalloc.start()
+    counted = sum(len(c.as_py()) // 4 for b in run(batch) for c in b.column(2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0.99 * n < counted <= n
+    assert peak < 100 * n
