@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import bind
 from ..plans.lineage import written
 
 BLANKS = "[ \\t\\r\\f\\x0B]+"
@@ -101,13 +102,23 @@ def variants(able: DataFrame, min_words: int) -> DataFrame:
 
 
 def _one_edit(a: Column, b: Column) -> Column:
-    """Whether two word arrays are one edit apart: what is left between their common ends is at most one word each."""
+    """Whether two word arrays are one edit apart: what is left between their common ends is at most one word each.
+
+    ``a`` and ``b`` are used many times, also per word: bind them.
+    """
     short, long = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    first = F.coalesce(F.get(F.filter(F.sequence(F.lit(0), short), lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i))), F.lit(0)), short)
-    tail = lambda x, skip: F.slice(x, first + skip + 1, F.size(x))
-    return (long - short <= 1) & (
-        F.when(F.size(a) == F.size(b), tail(a, 1) == tail(b, 1)).when(F.size(a) > F.size(b), tail(a, 1) == tail(b, 0)).otherwise(tail(a, 0) == tail(b, 1))
-    )
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int")
+
+    def rest_equal(first: Column) -> Column:
+        tail = lambda x, skip: F.slice(x, first + skip + 1, F.size(x))
+        return F.when(F.size(a) == F.size(b), tail(a, 1) == tail(b, 1)).when(F.size(a) > F.size(b), tail(a, 1) == tail(b, 0)).otherwise(tail(a, 0) == tail(b, 1))
+
+    return (long - short <= 1) & bind(F.when(differs > 0, differs - 1).otherwise(short), rest_equal)
+
+
+def _lines_one_edit(line: Column, other: Column) -> Column:
+    """The same for two lines, each split once."""
+    return bind(_words(line), lambda a: bind(_words(other), lambda b: _one_edit(a, b)))
 
 
 def neighbours(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -126,7 +137,7 @@ def neighbours(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, mi
     to_long = whole.join(earliest, "v").select(F.col("short").alias("o"), "first")
     found = replaced.unionByName(to_short).unionByName(to_long).groupBy("o").agg(F.min("first").alias("first")).filter("first < o")
     pairs = found.join(able.select("o", "h", "n", "line"), "o").join(able.select(F.col("o").alias("first"), F.col("line").alias("other")), "first")
-    return pairs.filter(_one_edit(_words(F.col("line")), _words(F.col("other")))).select("h", "n")
+    return pairs.filter(_lines_one_edit(F.col("line"), F.col("other"))).select("h", "n")
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = STEP) -> DataFrame:

@@ -64,6 +64,19 @@ def plain_kept(rows, least):
     return kept
 
 
+def test_lines_are_split_once_to_compare(spark):
+    lines = [("a b c", "a x c"), ("a b c", "a c"), ("b c", "a b c"), ("a b", "a b c"), ("a b c", "c b a"), ("a b", "a b"), ("a b", "a b c d"), ("a a a", "a a")]
+    df = spark.createDataFrame(lines, "line string, other string")
+    near = df.withColumn("near", line_dedup._lines_one_edit(F.col("line"), F.col("other")))
+    assert [r["near"] for r in near.collect()] == [True, True, True, True, False, True, False, True]
+    plan = near.filter("near")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(other#") == 2  # once to filter, once to show
+    docs = spark.createDataFrame([(1, "a b c d e f g h i"), (2, "a b c d x f g h i")], "doc_id bigint, text string")
+    rows = line_dedup.with_row_key(docs, "doc_id", "text")
+    plan = line_dedup.neighbours(rows, line_dedup.distinct_lines(rows, "doc_id", "text", 4), "doc_id", "text", 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(other#") == 1
+
+
 def test_line_dedup(docs_of):
     rng = random.Random(2)
     pool = [[rng.choice("abcde") for _ in range(rng.randint(0, 7))] for _ in range(25)]
