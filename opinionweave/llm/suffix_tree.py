@@ -25,6 +25,8 @@ END = 0xFF  # no byte of UTF-8; also stands before the first symbol
 PIECE = 512
 #: Distinct words, or symbols of text, that a task holds before it hands counts on.
 WORDS_HELD, SYMBOLS_HELD = 200_000, 1 << 20
+#: Windows of several stretches that a task sums before it hands them on, and rows of a batch of them.
+WINDOWS_HELD, BATCH = 1 << 21, 1 << 17
 ROWS = 500
 
 
@@ -48,20 +50,55 @@ def _windows(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return codes, counts
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of all parts, sorted, and the sums of their counts."""
+    codes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    if codes.max(initial=0) >> 56 or codes.min(initial=0) < 0:
+        order = np.argsort(codes)
+        codes, counts = codes[order], counts[order]
+    else:  # numbers sort much faster than their places: counts go into the free byte, large ones in several pieces
+        codes <<= 8
+        codes = codes.view(np.uint64)
+        large = np.repeat(codes, counts // 255) | np.uint64(255)
+        counts %= 255
+        codes |= counts.view(np.uint64)
+        del counts
+        codes = np.concatenate([codes, large])
+        codes.sort()
+        counts = (codes & np.uint64(255)).view(np.int64)
+        codes >>= np.uint64(8)
+        codes = codes.view(np.int64)
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]][: len(codes)])
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def corpus_counts(docs: DataFrame, learn: Column, depth: int, text_col: str = "text") -> DataFrame:
     """(word, code, n): counts of words (code -1; the end is the empty word) and of windows (null word)."""
 
     def run(batches):
-        words, held, size = Counter(), [], 0
+        words, held, size, parts = Counter(), [], 0, []
 
-        def rows(found, codes, counts):
+        def rows(found):
             return pa.RecordBatch.from_arrays([
-                pa.array([*found.keys(), *[None] * len(codes)], pa.binary()),
-                pa.array(np.r_[np.full(len(found), -1, np.int64), codes]),
-                pa.array([*found.values(), *counts.tolist()], pa.int64()),
+                pa.array(list(found), pa.binary()), pa.repeat(pa.scalar(-1, pa.int64()), len(found)), pa.array(list(found.values()), pa.int64()),
             ], ["word", "code", "n"])
 
-        none = np.empty(0, np.int64)
+        def windows(last):
+            if held:
+                parts.append(_windows(held, depth))
+                held.clear()
+            if not parts or not last and sum(len(codes) for codes, _ in parts) < WINDOWS_HELD:
+                return
+            parts[:] = [_summed(parts)]
+            codes, counts = parts[0]
+            # few windows are new: the sums are held on, for at least a quarter of the room
+            if last or 4 * len(codes) > 3 * WINDOWS_HELD:
+                parts.clear()
+                for i in range(0, len(codes), BATCH):
+                    some = codes[i : i + BATCH]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.binary()), pa.array(some), pa.array(counts[i : i + BATCH])], ["word", "code", "n"])
+
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             for text in batch.column(0).to_pylist():
                 found = text.lower().split()
@@ -70,14 +107,13 @@ def corpus_counts(docs: DataFrame, learn: Column, depth: int, text_col: str = "t
                 held.append(b" ".join(found))
                 size += len(held[-1])
                 if size >= SYMBOLS_HELD:
-                    yield rows({}, *_windows(held, depth))
-                    held, size = [], 0
+                    yield from windows(last=False)
+                    size = 0
                 if len(words) >= WORDS_HELD:
-                    yield rows(words, none, none)
+                    yield rows(words)
                     words.clear()
-        if held:
-            yield rows({}, *_windows(held, depth))
-        yield rows(words, none, none)
+        yield from windows(last=True)
+        yield rows(words)
 
     slim = docs.filter(learn).select(text_bytes(text_col).alias("text"))
     return slim.mapInArrow(run, "word binary, code bigint, n bigint").groupBy("word", "code").agg(F.sum("n").alias("n"))

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from opinionweave.llm import language, licenses, quality, suffix_tree
@@ -182,3 +183,34 @@ def test_odd_rows(spark, odd_docs, no_docs):
     for run in operators:
         assert len(run(odd_docs).collect()) == 10
         assert run(no_docs).collect() == []
+
+
+class Captured:
+    """Stands for a table; keeps the function that tasks would run."""
+
+    def __getattr__(self, name):
+        return lambda *args: self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        self.run = run
+        return self
+
+
+def test_windows_are_summed_before_they_are_handed_on(spark, monkeypatch):
+    rng = random.Random(13)
+    texts = [invented(rng, ["ba", "ce", "di", "É"], 40).encode() for _ in range(200)] + [b""]
+    want = dict(zip(*(x.tolist() for x in suffix_tree._windows([b" ".join(t.lower().split()) for t in texts], 6)), strict=True))
+    batches = pa.table({"text": texts}).to_batches(max_chunksize=50)
+    monkeypatch.setattr(suffix_tree, "SYMBOLS_HELD", 500)
+
+    def rows():
+        docs = Captured()
+        suffix_tree.corpus_counts(docs, F.lit(True), 6)
+        return [(c, n) for b in docs.run(batches) for w, c, n in zip(*(x.to_pylist() for x in b.columns), strict=True) if w is None]
+
+    assert sorted(rows()) == sorted(want.items())
+    monkeypatch.setattr(suffix_tree, "WINDOWS_HELD", 300)  # handed on several times
+    counts = Counter()
+    for code, n in rows():
+        counts[code] += n
+    assert counts == want
